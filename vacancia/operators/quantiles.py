@@ -25,10 +25,9 @@ def _bucketed(weights: DataFrame, by, buckets: int) -> DataFrame:
     cuts = F.percentile_approx("v", points, 100 * buckets).alias("cuts")
     if by:
         table = weights.join(weights.groupBy(*by).agg(cuts), list(by))
-        array = F.col("cuts")
     else:
-        table, array = weights, weights.agg(cuts).scalar()
-    bucket = F.size(F.filter(array, lambda c: c < F.col("v")))
+        table = weights.withColumn("cuts", weights.agg(cuts).scalar())
+    bucket = F.size(F.filter("cuts", lambda c: c < F.col("v")))
     return table.withColumn("bucket", bucket).drop("cuts")
 
 
@@ -45,6 +44,20 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), buckets: int = 64
 
 
 def percentiles_of_weights(weights: DataFrame, probs, by=(), buckets: int = 64) -> DataFrame:
+    def wanted(total: Column):
+        for p in probs:
+            at = (total - 1) * F.lit(p)
+            yield [(F.floor(at), 1 - (at - F.floor(at))), (F.ceil(at), at - F.floor(at))]
+
+    return values_at_ranks(weights, wanted, len(probs), by, buckets)
+
+
+def values_at_ranks(weights: DataFrame, wanted, count: int, by=(), buckets: int = 64) -> DataFrame:
+    """One row per group with `p`: `count` values read at 0-based ranks.
+
+    `wanted(total)` yields, for each value, the (rank, share) pairs it is mixed
+    from: one pair, or a lower and a higher rank.
+    """
     by = list(by)
     table = _bucketed(weights, by, buckets)
 
@@ -56,14 +69,10 @@ def percentiles_of_weights(weights: DataFrame, probs, by=(), buckets: int = 64)
              .withColumn("total", F.sum("size").over(group)))
 
     # Wanted ranks, kept with the bucket that holds them.
-    def wanted(p: float, i: int) -> Column:
-        at = (F.col("total") - 1) * F.lit(p)
-        low = F.floor(at)
-        return F.array(
-            F.struct(F.lit(i).alias("i"), low.alias("rank"), (1 - (at - low)).alias("part")),
-            F.struct(F.lit(i).alias("i"), F.ceil(at).alias("rank"), (at - low).alias("part")))
-
-    ranks = F.flatten(F.array(*[wanted(p, i) for i, p in enumerate(probs)]))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), rank.cast("bigint").alias("rank"),
+                               F.lit(share).cast("double").alias("share"))
+                      for i, pairs in enumerate(wanted(F.col("total")))
+                      for rank, share in pairs])
     here = F.filter(ranks, lambda r: (r["rank"] >= F.col("below")) &
                     (r["rank"] < F.col("below") + F.col("size")))
     targets = (sizes.select(*by, "bucket", "below", here.alias("ranks"))
@@ -77,17 +86,15 @@ def percentiles_of_weights(weights: DataFrame, probs, by=(), buckets: int = 64)
     hits = placed.select(*by, "v", F.explode(F.filter("ranks", lambda r: (
         r["rank"] >= F.col("end") - F.col("n")) & (r["rank"] < F.col("end")))).alias("r"))
 
-    def at(i: int) -> Column:
-        # low and high value, mixed by the fraction; equal ranks give one value.
-        mine = F.when(F.col("r.i") == i, F.col("v"))
-        high = F.max(F.when(F.col("r.i") == i, F.struct(F.col("r.rank"), F.col("v"),
-                                                        F.col("r.part"))))
-        low = F.min(mine)
-        return low + (high["v"] - low) * F.when(high["v"] > low, high["part"]).otherwise(0.0)
+    def value(i: int) -> Column:
+        mine = F.col("r.i") == i
+        low = F.min(F.when(mine, F.col("v")))
+        high = F.max(F.when(mine, F.struct(F.col("r.rank"), F.col("v"), F.col("r.share"))))
+        return low + F.when(high["v"] > low, (high["v"] - low) * high["share"]).otherwise(0.0)
 
-    return hits.groupBy(*by).agg(F.array(*[at(i) for i in range(len(probs))]).alias("p"))
+    return hits.groupBy(*by).agg(F.array(*[value(i) for i in range(count)]).alias("p"))
 
 
 def median(df: DataFrame, value: str) -> DataFrame:
-    """One row, one column: the exact median; no value gives no row (null)."""
+    """One row, one column: the exact median; null without values."""
     return exact_percentiles(df, value, [0.5]).select(F.element_at("p", 1).alias("median"))

@@ -79,33 +79,42 @@ def iqr_outliers(df: DataFrame, value: str, by=(), reach: float = 1.5) -> DataFr
 
 
 def skewness(value) -> Column:
-    """Bias-adjusted sample skewness; fewer than 3 values give null."""
+    """Bias-adjusted sample skewness; fewer than 3 values give null, equal
+    values 0."""
     n = F.count(col(value))
-    return F.when(n >= 3, F.skewness(col(value)) * F.sqrt(n * (n - 1)) / (n - 2))
+    adjusted = F.skewness(col(value)) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n >= 3, F.when(F.var_pop(col(value)) > 0, adjusted).otherwise(0.0))
 
 
 def skewness_by(df: DataFrame, value: str, by=()) -> DataFrame:
     return _rows(df, value, by).groupBy(*by).agg(skewness(value).alias("skewness"))
 
 
+def correlation(x, y) -> Column:
+    """Pearson correlation over rows with both values; null if one is constant."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    spread = (F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def correlations(df: DataFrame, value: str, others, by=()) -> DataFrame:
     """Pearson correlation with each other column over rows that have both."""
     rows = df
     for key in by:
         rows = rows.where(F.col(key).isNotNull())
     return rows.groupBy(*by).agg(*[
-        F.corr(F.col(value).cast("double"), F.col(o).cast("double")).alias(f"corr_{o}")
+        correlation(value, o).alias(f"corr_{o}")
         for o in others])
 
 
 def flag_correlations(df: DataFrame, value: str, names, k: int | None = 5) -> DataFrame:
     """Flags with the strongest correlation to a value, from one aggregate."""
     names = list(names)
-    wide = df.agg(*[F.corr(F.col(value), F.col(f"`{n}`").cast("double")).alias(f"c{i}")
+    wide = df.agg(*[correlation(value, f"`{n}`").alias(f"c{i}")
                     for i, n in enumerate(names)])
     pairs = F.array(*[F.struct(F.lit(n).alias("skill"), F.col(f"c{i}").alias("corr"))
                       for i, n in enumerate(names)])
-    out = wide.select(F.inline(pairs)).where(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    out = wide.select(F.inline(pairs)).where(F.col("corr").isNotNull())
     out = out.orderBy(F.desc(F.abs("corr")), "skill")
     return out if k is None else out.limit(k)
 

@@ -1,22 +1,31 @@
-"""Table schemas."""
-
-from pyspark.sql.types import StructType
-
-# Every field is nullable; CSV text that does not parse becomes null.
-RAW_POSTINGS = StructType.fromDDL("""
-    id string, title string, company string, location string, job_url string,
-    description string, min_amount double, max_amount double, interval string,
-    is_remote boolean, job_type string, date_posted timestamp_ntz,
-    search_term string, search_location string, scraped_date timestamp_ntz
-""".replace("interval string", "`interval` string"))
-
-CANDIDATES = StructType.fromDDL("""
-    candidate_id string, technical_skills array<string>, years_experience double,
-    education string, key_projects array<string>
-""")
-
-MODEL_REGISTRY = StructType.fromDDL("""
-    role string, model_name string, r2 double, mae double, rmse double, n_rows bigint,
-    top_skills array<string>, feature_names array<string>,
-    cv_scores array<struct<model: string, mean_r2: double, std_r2: double>>, path string
-""")
+"""Table schemas. Every field is nullable."""
+
+from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType,
+                               StructField, StructType, TimestampNTZType)
+
+
+def _fields(kind, names: str):
+    return [StructField(n, kind) for n in names.split()]
+
+
+_TEXT, _NUMBER, _TIME = StringType(), DoubleType(), TimestampNTZType()
+
+# CSV text that does not parse as its type becomes null.
+RAW_POSTINGS = StructType(
+    _fields(_TEXT, "id title company location job_url description")
+    + _fields(_NUMBER, "min_amount max_amount") + _fields(_TEXT, "interval")
+    + _fields(BooleanType(), "is_remote") + _fields(_TEXT, "job_type")
+    + _fields(_TIME, "date_posted") + _fields(_TEXT, "search_term search_location")
+    + _fields(_TIME, "scraped_date"))
+
+CANDIDATES = StructType(
+    _fields(_TEXT, "candidate_id") + _fields(ArrayType(_TEXT), "technical_skills")
+    + _fields(_NUMBER, "years_experience") + _fields(_TEXT, "education")
+    + _fields(ArrayType(_TEXT), "key_projects"))
+
+MODEL_REGISTRY = StructType(
+    _fields(_TEXT, "role model_name") + _fields(_NUMBER, "r2 mae rmse")
+    + _fields(LongType(), "n_rows") + _fields(ArrayType(_TEXT), "top_skills feature_names")
+    + _fields(ArrayType(StructType(_fields(_TEXT, "model") + _fields(_NUMBER, "mean_r2 std_r2"))),
+              "cv_scores")
+    + _fields(_TEXT, "path"))

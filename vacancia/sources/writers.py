@@ -18,7 +18,8 @@ def write_table(df: DataFrame, path: str, partition_by=()) -> str:
 def write_csv(df: DataFrame, path: str) -> str:
     """Replace a CSV table: header, quotes doubled, missing values empty."""
     (df.write.mode("overwrite").option("header", True).option("quote", '"')
-     .option("escape", '"').csv(path))
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.merge import fresh_rows
 from ..sources.readers import path_exists
@@ -27,10 +28,12 @@ def incremental_ingest(stream: DataFrame, table: str, checkpoint: str, order: st
     """
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = [p for p in (f"{table}/batch={i}" for i in range(number))
-                   if path_exists(spark, p)]
-        known = (spark.read.schema(batch.schema).parquet(*earlier) if earlier
-                 else spark.createDataFrame([], batch.schema))
+        if path_exists(spark, table):
+            stored = StructType([*batch.schema.fields, StructField("batch", IntegerType())])
+            known = (spark.read.schema(stored).parquet(table)
+                     .where(F.col("batch") < number).drop("batch"))
+        else:
+            known = spark.createDataFrame([], batch.schema)
         rows = fresh_rows(known, batch, order, id_col)
         rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
@@ -58,3 +61,18 @@ def write_stream(stream: DataFrame, table: str, checkpoint: str, mode: str = "ap
     """Run over all available input and stop."""
     return (stream.writeStream.format("parquet").outputMode(mode).option("path", table)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def write_result(stream: DataFrame, table: str, checkpoint: str):
+    """Like `write_stream`, for aggregates whose open windows count as well:
+    each batch replaces the whole (reduced) result under its own number."""
+    def put(result: DataFrame, number: int) -> None:
+        result.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return (stream.writeStream.foreachBatch(put).outputMode("complete")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_result(spark: SparkSession, table: str) -> DataFrame:
+    rows = spark.read.parquet(table)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
