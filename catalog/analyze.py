@@ -25,7 +25,7 @@ def _round(df, digits, *columns):
 
 @case("F1_apply_filters", on_silver(f"select seq, state, education_level from silver where {_SPEC_SQL}"))
 def _(spark, sf):
-    return filters.apply_filters(silver(spark, sf, text=True), _SPEC).select(
+    return filters.apply_filters(silver(spark, sf), _SPEC).select(
         "seq", "state", "education_level")
 
 
@@ -41,7 +41,7 @@ def _(spark, sf):
  select 'Entry Level (0-2 yrs)', seq from silver where years_experience_required <= 2 union all
  select 'Mid-Level (3-5 yrs)', seq from silver where years_experience_required between 3 and 5"""))
 def _(spark, sf):
-    rows = silver(spark, sf, text=True)
+    rows = silver(spark, sf)
     hits = F.array_compact(F.array(*[
         F.when(filters.experience_band("years_experience_required", b), F.lit(b))
         for b in filters.EXPERIENCE_BANDS]))
@@ -132,7 +132,7 @@ def _(spark, sf):
  count(distinct company) filter ({_REMOTE_SQL}) as unique_companies,
  round(avg(average_salary) filter ({_REMOTE_SQL}), 4) as avg_salary, 100e0 as remote_pct from silver"""))
 def _(spark, sf):
-    out = metrics.kpis(silver(spark, sf, text=True), _REMOTE)
+    out = metrics.kpis(silver(spark, sf), _REMOTE)
     return _round(_round(out, 4, "avg_salary"), 6, "pct_of_total")
 
 
@@ -202,7 +202,7 @@ def _(spark, sf):
 
 
 def _flags(spark, sf):
-    return metrics.skill_flag_columns(silver(spark, sf, text=True))
+    return metrics.skill_flags(silver(spark, sf), SKILLS)
 
 
 def _q(name: str) -> str:
@@ -213,6 +213,13 @@ _SHARES = unpivot_skills("flagged", lambda n: f"""cast(count(*) filter ({_q(n)})
  100e0 * count(*) filter ({_q(n)}) / count(*) as share""")
 
 
+@case("A9_skill_share_from_text", f"""with {FLAGGED} select skill, jobs, round(share, 6) as share
+ from ({_SHARES}) order by share desc, skill limit 10""")
+def _(spark, sf):
+    flags = metrics.skill_flag_columns(jobs(spark, sf, text=True))
+    return _round(metrics.skill_share(flags, SKILLS, 10), 6, "share")
+
+
 @case("A9_skill_share", f"""with {FLAGGED} select skill, jobs, round(share, 6) as share
  from ({_SHARES}) order by share desc, skill limit 15""")
 def _(spark, sf):
@@ -301,7 +308,7 @@ def _(spark, sf):
  round(corr(average_salary, years_experience_required), 6) as corr_years_experience_required,
  round(corr(average_salary, cast(is_remote as int)), 6) as corr_is_remote from silver group by 1"""))
 def _(spark, sf):
-    rows = silver(spark, sf, text=True).withColumn("is_remote", F.col("is_remote").cast("int"))
+    rows = silver(spark, sf).withColumn("is_remote", F.col("is_remote").cast("int"))
     others = ["years_experience_required", "is_remote"]
     out = stats.correlations(rows, "average_salary", others, ["role_category"])
     return _round(out, 6, *[f"corr_{o}" for o in others])
@@ -332,14 +339,14 @@ def _(spark, sf):
  round(avg(case when is_remote then 1e0 else 0e0 end) * 100, 6) as remote_pct
 from (select * replace (coalesce(education_level, 'No education') as education_level) from silver)"""))
 def _(spark, sf):
-    rows = silver(spark, sf, text=True).fillna("No education", ["education_level"])
+    rows = silver(spark, sf).fillna("No education", ["education_level"])
     return _round(stats.null_audit(rows, bounds=(90000, 150000)), 6, "share_no_degree", "remote_pct")
 
 
 @case("A19_degree_distribution", on_silver(
     "select education_level, count(*) as count from silver group by 1"))
 def _(spark, sf):
-    return metrics.value_counts(silver(spark, sf, text=True), "education_level", missing=True)
+    return metrics.value_counts(silver(spark, sf), "education_level", missing=True)
 
 
 def _bins(source: str, value: str, bins: int, extra: str = "") -> str:
@@ -389,7 +396,7 @@ def _measure(metric: str, text: str, digits: int = 4) -> str:
     _measure("avg_salary", "avg(average_salary) filter (#)"),
     _measure("remote_pct", "(100e0 * count(*) filter (# and is_remote) / count(*) filter (#))")])))
 def _(spark, sf):
-    out = compare.compare_kpis(silver(spark, sf, text=True), _SET_A, _REMOTE)
+    out = compare.compare_kpis(silver(spark, sf), _SET_A, _REMOTE)
     return _round(out, 4, "a", "b", "delta")
 
 
@@ -397,7 +404,7 @@ def _(spark, sf):
     f"""(select '{s}' as set, company, count(*) as count from silver where {p}
  group by company order by count desc, company limit 5)""" for s, p in _SETS.items())))
 def _(spark, sf):
-    return compare.compare_top(silver(spark, sf, text=True), _SET_A, _REMOTE)
+    return compare.compare_top(silver(spark, sf), _SET_A, _REMOTE)
 
 
 @case("A23_compare_skills", f"with {FLAGGED} " + " union all ".join(
@@ -413,5 +420,5 @@ def _(spark, sf):
     " " + " union all ".join(_bins(f"set_{s}", "average_salary", 20, f", '{s}' as set")
                              for s in _SETS))
 def _(spark, sf):
-    out = compare.compare_histogram(silver(spark, sf, text=True), _SET_A, _REMOTE)
+    out = compare.compare_histogram(silver(spark, sf), _SET_A, _REMOTE)
     return _round(out, 4, "bin_start")

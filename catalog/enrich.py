@@ -120,7 +120,7 @@ def _(spark, sf):
 select seq, coalesce(known, (select quantile_cont(known, 0.5) from paid_rows), 2.0e0) as years
 from paid_rows"""))
 def _(spark, sf):
-    rows = silver(spark, sf, text=True).where(pay.in_pay_range("average_salary"))
+    rows = silver(spark, sf).where(pay.in_pay_range("average_salary"))
     return resolve_experience(rows).select(
         "seq", F.col("years_experience_required").alias("years"))
 
@@ -128,14 +128,14 @@ def _(spark, sf):
 @case("P15_fill_defaults", on_silver("""select seq, cast(coalesce(is_remote, false) as int) as is_remote,
  coalesce(education_level, 'No education') as education_level, role_category, col_tier from silver"""))
 def _(spark, sf):
-    return fill_defaults(silver(spark, sf, text=True)).select(
+    return fill_defaults(silver(spark, sf)).select(
         "seq", "is_remote", "education_level", "role_category", "col_tier")
 
 
 @case("P16_encode_label", on_silver("""select seq, case education_level when 'Bachelor''s' then 0
  when 'Master''s' then 1 when 'PhD' then 3 else 2 end as code from silver"""))
 def _(spark, sf):
-    return silver(spark, sf, text=True).select(
+    return silver(spark, sf).select(
         "seq", rules.encode_label("education_level").alias("code"))
 
 
@@ -157,7 +157,7 @@ def _(spark, sf):
     "least(years_experience_required, 4)",
     "case when years_experience_required is not null then least(years_experience_required, 4) end")))
 def _(spark, sf):
-    return silver(spark, sf, text=True).select(
+    return silver(spark, sf).select(
         "seq", pay.clip_upper("years_experience_required", 4).alias("capped"),
         F.round(F.log1p("average_salary"), 8).alias("log_pay"))
 

@@ -17,7 +17,8 @@ from vacancia.sources import readers, writers
 from vacancia.sources.schema import RAW_POSTINGS
 from vacancia.sources.workspace import new_path
 
-from .jobs import FACTOR, JOBS, ROLE, YEARS, case, jobs, on_jobs, silver, skill_list, table
+from .jobs import (FACTOR, JOBS, ROLE, YEARS, case, jobs, on_jobs, silver, skill_list, table,
+                   write_silver)
 
 _CSV_COLUMNS = ["seq", "id", "title", "company", "location", "min_amount", "is_remote",
                 "date_posted"]
@@ -356,6 +357,11 @@ def _processed(rows):
                        F.concat_ws("|", "skills").alias("skills"))
 
 
+@case("E1_silver_table", f"with {JOBS} {_PROCESSED_SELECT} from jobs")
+def _(spark, sf):
+    return _processed(spark.read.parquet(write_silver(spark, sf)))
+
+
 @case("E1_process_all", f"with {JOBS}, {_PROCESSED} {_PROCESSED_SELECT} from firsts")
 def _(spark, sf):
     return _processed(process_all(jobs(spark, sf, text=True), period="pay_interval"))

@@ -12,7 +12,10 @@ from typing import Callable, NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacancia.functions import fixed_values as V
-from vacancia.plans.enrich import enrich
+from vacancia.plans.enrich import add_categories, add_pay, add_skills
+from vacancia.sources.readers import path_exists
+from vacancia.sources.workspace import new_path
+from vacancia.sources.writers import write_table
 
 
 class Case(NamedTuple):
@@ -100,13 +103,29 @@ def jobs(spark: SparkSession, sf: str, text: bool = False, link: bool = False) -
     return rows.select(*[F.expr(e).alias(n) for n, e in columns.items()])
 
 
-def silver(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
-    """The enriched view; columns a query does not use are pruned."""
-    rows = jobs(spark, sf, text=text)
-    if text:
-        return enrich(rows, "pay_interval")
-    from vacancia.plans.enrich import add_categories, add_pay
-    return add_categories(add_pay(rows, "pay_interval"))
+def enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """The processed postings as a plan over the view."""
+    return add_skills(add_categories(add_pay(jobs(spark, sf, text=True), "pay_interval")))
+
+
+_SILVER: dict[tuple[str, str], str] = {}
+
+
+def silver(spark: SparkSession, sf: str) -> DataFrame:
+    """The processed postings as a stored table, without the texts.
+
+    Texts are searched once, when the table is written (the query
+    `E1_silver_table` shows that cost); every analysis reads the columns it
+    needs, as a dashboard reads the output of the refresh job.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SILVER or not path_exists(spark, _SILVER[key]):
+        _SILVER[key] = write_silver(spark, sf)
+    return spark.read.parquet(_SILVER[key])
+
+
+def write_silver(spark: SparkSession, sf: str) -> str:
+    return write_table(enriched(spark, sf).drop("description"), new_path(spark, "silver"))
 
 
 SKILLS = list(V.SKILL_PATTERNS)
@@ -126,11 +145,15 @@ def ladder(branches, otherwise="null") -> str:
     return "case " + " ".join(f"when {c} then {v}" for c, v in branches) + f" else {otherwise} end"
 
 
+# Orders and customers are joined first, as a step of its own: DuckDB 2.0 fails
+# with an internal error on the four-table join in one step.
 JOBS = ("docs as (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as text from documents),\n"
+        "placed as materialized (select *, o_orderkey % (select count(*) from documents) as doc_key,"
+        " o_orderkey % (select count(*) from pages) as page_key"
+        " from orders join customer on o_custkey = c_custkey),\n"
         "jobs as (select " + ",\n ".join(f"{e} as {n}" for n, e in COLUMNS.items()) +
-        f",\n {_TEXT} as description, url as job_url\nfrom orders join customer on o_custkey = c_custkey"
-        " join docs on doc_id = o_orderkey % (select count(*) from documents)"
-        " join pages on page_id = o_orderkey % (select count(*) from pages))")
+        f",\n {_TEXT} as description, url as job_url\n"
+        "from placed join docs on doc_id = doc_key join pages on page_id = page_key)")
 
 FACTOR = "case pay_interval when 'hourly' then 2080 when 'monthly' then 12 when 'weekly' then 52 else 1 end"
 ROLE = ladder([(has("lower(title)", w), quoted(r)) for r, w in V.ROLE_RULES], "'Other'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacancia.operators import matching
+from vacancia.plans.enrich import add_skills
 
 from .jobs import (SILVER, STRICT, YEARS, case, jobs, on_jobs, on_silver, silver, skill_list, table)
 
@@ -27,7 +28,7 @@ def _(spark, sf):
  array_to_string(({skill_list()})[1:10], '|') as required_skills,
  substring(coalesce(description, ''), 1, 200) as snippet from jobs"""))
 def _(spark, sf):
-    digest = matching.posting_digest(silver(spark, sf, text=True))
+    digest = matching.posting_digest(add_skills(jobs(spark, sf, text=True)))
     return digest.withColumn("required_skills", F.concat_ws("|", "required_skills"))
 
 
@@ -88,7 +89,7 @@ _MINE = f"""with {_SKILLED}, scored as (select seq,
 
 
 def _mine(spark, sf):
-    return matching.score_postings(silver(spark, sf, text=True), _ME)
+    return matching.score_postings(silver(spark, sf), _ME)
 
 
 def _texts(df):
@@ -127,7 +128,7 @@ pairs as (select candidate_id, seq, title,
 
 
 def _pairs(spark, sf):
-    return matching.match_candidates(_candidates(spark, sf), silver(spark, sf, text=True))
+    return matching.match_candidates(_candidates(spark, sf), silver(spark, sf))
 
 
 @case("J7_match_candidates", f"{_PAIRS} select * from pairs")

@@ -25,7 +25,7 @@ prepared as (select *, coalesce(known, (select median(known) from known), 2e0) a
  years as years_experience_required, remote as is_remote, col_tier, round(average_salary, 4) as average_salary
  from prepared"""))
 def _(spark, sf):
-    return model.prepare_training(silver(spark, sf, text=True)).select(
+    return model.prepare_training(silver(spark, sf)).select(
         "seq", "role_category", "education_level", "years_experience_required", "is_remote",
         "col_tier", F.round("average_salary", 4).alias("average_salary"))
 
@@ -35,7 +35,7 @@ def _(spark, sf):
  cast(col_tier as double) as f2, years as f3, """ + ", ".join(
     f"cast(cast({skill(s)} as int) as double) as f{i + 4}" for i, s in enumerate(_SKILLS)) + " from prepared"))
 def _(spark, sf):
-    rows = model.prepare_training(silver(spark, sf, text=True))
+    rows = model.prepare_training(silver(spark, sf))
     data = model.build_features(rows, _SKILLS, keep=["seq"])
     values = data.select("seq", vector_to_array("features").alias("v"))
     return values.select("seq", *[F.get("v", i).alias(f"f{i}") for i in range(4 + len(_SKILLS))])
@@ -45,7 +45,7 @@ def _prepared(spark, sf):
     """Prepared rows, written once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
-        _STORED[key] = model.prepared_table(silver(spark, sf, text=True).drop("description"))
+        _STORED[key] = model.prepared_table(silver(spark, sf))
     return _STORED[key]
 
 

@@ -68,7 +68,7 @@ select day, {key}, count, cum_count, cast(cum_total as bigint) as cum_total,
       "timestamp '1998-01-01'), " + _mix("education_level", "date_posted", "recent"))
 def _(spark, sf):
     start = F.lit("1998-01-01").cast("timestamp_ntz")
-    return _round(trends.cumulative_mix(silver(spark, sf, text=True), start=start), 6, "percentage")
+    return _round(trends.cumulative_mix(silver(spark, sf), start=start), 6, "percentage")
 
 
 _EVENT_MIX = "with " + _mix("event_type", "ts", "events")

@@ -10,9 +10,10 @@ from .text import col
 
 def annualize(low, high, period, factors: dict[str, int] = PERIODS_PER_YEAR):
     """Yearly (min, max). If either bound is missing, both are null."""
-    factor = F.lit(1)
+    factor = F
     for name, n in factors.items():
-        factor = F.when(col(period) == name, n).otherwise(factor)
+        factor = factor.when(col(period) == name, n)
+    factor = factor.otherwise(1)
     both = col(low).isNotNull() & col(high).isNotNull()
     return tuple(F.when(both, col(c).cast("double") * factor) for c in (low, high))
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as V
-from .text import col, contains_any, matches, strip
+from .text import col, contains_any, contains_word, matches, strip
 
 
 def first_hit(rules, otherwise=None) -> Column:
@@ -33,7 +33,7 @@ def extract_years(text, patterns=V.YEARS_PATTERNS,
 
 def _degree_hits(low: Column, rules, words):
     """Plain search for a word of the degree first, its pattern only after."""
-    return [(contains_any(low, words[d]) & low.rlike(p) if d in words else low.rlike(p), d)
+    return [(contains_word(low, words[d]) & low.rlike(p) if d in words else low.rlike(p), d)
             for d, p in rules]
 
 
@@ -87,11 +87,10 @@ def years_from_title(title, rules=V.TITLE_YEARS, strict_words: bool = False) ->
     hits = []
     for years, words, endings in rules:
         if strict_words:
-            found = low.rlike("|".join(rf"(?<!\w){re.escape(w.strip())}(?!\w)" for w in words))
+            whole = "|".join(re.escape(w.strip()) for w in (*words, *endings))
+            found = low.rlike(rf"(?<!\w)(?:{whole})(?!\w)")
         else:
-            found = contains_any(low, words)
-        for ending in endings:
-            found = found | low.endswith(ending)
+            found = contains_any(low, words, endings)
         hits.append((found, years))
     return first_hit(hits)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -61,7 +62,18 @@ def truncate(c: Column | str, n: int = 200) -> Column:
     return F.substring(F.coalesce(col(c), F.lit("")), 1, n)
 
 
-def contains_any(c: Column, words) -> Column:
+def contains_any(c: Column, words, endings=()) -> Column:
+    """Does a short text hold one of the words (or end with one of the endings)?
+
+    One expression, however many words: plans stay small where a rule list is
+    used in filters and repeated by the optimizer.
+    """
+    parts = [re.escape(w) for w in words] + [re.escape(e) + r"\z" for e in endings]
+    return c.rlike("|".join(parts))
+
+
+def contains_word(c: Column, words) -> Column:
+    """The same for long texts and few words, by plain search."""
     return reduce(or_, [c.contains(w) for w in words])
 
 

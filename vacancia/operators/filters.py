@@ -38,8 +38,7 @@ class FilterSpec:
     experience: str = ALL
     role: str = ALL
 
-    def predicate(self) -> Column:
-        """True where a row passes every filter, else false (never null)."""
+    def tests(self) -> list[Column]:
         equal = {"state": self.state, "job_type_norm": self.job_type,
                  "education_level": self.education, "role_category": self.role}
         tests = [F.col(c) == v for c, v in equal.items() if v != ALL]
@@ -47,11 +46,17 @@ class FilterSpec:
             tests.append(F.col("is_remote"))
         if self.experience != ALL:
             tests.append(experience_band("years_experience_required", self.experience))
+        return tests
+
+    def predicate(self) -> Column:
+        """True where a row passes every filter, else false (never null)."""
+        tests = self.tests()
         return F.coalesce(reduce(and_, tests), F.lit(False)) if tests else F.lit(True)
 
 
 def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
-    return df.where(spec.predicate())
+    """Plain conjunction, so each test can reach the scan by itself."""
+    return df.where(reduce(and_, spec.tests(), F.lit(True)))
 
 
 def within_days(posted, as_of: Column, days: int, skip: int = 0) -> Column:

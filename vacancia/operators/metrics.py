@@ -91,6 +91,11 @@ def skill_flag_columns(df: DataFrame, text="description", patterns=SKILL_PATTERN
     return low.select("*", *[f.alias(n) for n, f in keyword_flags("_low", patterns).items()])
 
 
+def skill_flags(df: DataFrame, names, skills: str = "skills") -> DataFrame:
+    """The same from a stored array of skills: the text is not read again."""
+    return df.select("*", *[F.array_contains(skills, n).alias(n) for n in names])
+
+
 def _quoted(name: str):
     return F.col(f"`{name}`")
 

@@ -34,5 +34,6 @@ def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     and a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
