@@ -270,12 +270,12 @@ def _(spark, sf):
 
 def _points(by: str, value: str, source: str) -> str:
     return (f"select {by}, " + ", ".join(
-        f"round(quantile_cont({value}, {p / 100}), 4) as p{p}" for p in (10, 25, 50, 75, 90)) +
+        f"round(quantile_cont({value}, {p / 100}), 6) as p{p}" for p in (10, 25, 50, 75, 90)) +
         f" from {source} where {value} is not null group by {by}")
 
 
 def _rounded_points(df):
-    return _round(df, 4, "p10", "p25", "p50", "p75", "p90")
+    return _round(df, 6, "p10", "p25", "p50", "p75", "p90")
 
 
 @case("A13_pay_percentiles", on_silver(_points("role_category", "average_salary", "silver")))

@@ -8,7 +8,7 @@ from vacancia.functions import fixed_values as V
 from vacancia.functions import pay, rules, text as T
 from vacancia.operators import matching
 from vacancia.operators.model import fill_defaults, resolve_experience
-from vacancia.plans.enrich import add_pay, add_skills
+from vacancia.plans.enrich import add_pay, add_skills, lower_once
 
 from .jobs import (FACTOR, FLAGS, LAST, ROLE, SKILLS, STATE, STRICT, TIER, TYPE, YEARS, case, has,
                    jobs, ladder, on_jobs, on_silver, quoted, silver, skill, skill_list, table,
@@ -58,12 +58,14 @@ def _(spark, sf):
 
 @case("P4_extract_years", on_jobs(f"select seq, {YEARS} as years from jobs"))
 def _(spark, sf):
-    return jobs(spark, sf, text=True).select("seq", rules.extract_years("description").alias("years"))
+    rows = lower_once(jobs(spark, sf, text=True), "description", "low")
+    return rows.select("seq", rules.extract_years("low", lowered=True).alias("years"))
 
 
 @case("P5_degree_strict", on_jobs(f"select seq, {STRICT} as degree from jobs"))
 def _(spark, sf):
-    return jobs(spark, sf, text=True).select("seq", rules.degree_strict("description").alias("degree"))
+    rows = lower_once(jobs(spark, sf, text=True), "description", "low")
+    return rows.select("seq", rules.degree_strict("low", lowered=True).alias("degree"))
 
 
 _DEFAULT = ladder([(f"regexp_matches(lower(description), {quoted(p)})", quoted(d))
@@ -73,8 +75,8 @@ _DEFAULT = ladder([(f"regexp_matches(lower(description), {quoted(p)})", quoted(d
 @case("P6_degree_default", on_jobs(
     f"select seq, case when description is not null then {_DEFAULT} end as degree from jobs"))
 def _(spark, sf):
-    return jobs(spark, sf, text=True).select(
-        "seq", rules.degree_default("description").alias("degree"))
+    rows = lower_once(jobs(spark, sf, text=True), "description", "low")
+    return rows.select("seq", rules.degree_default("low", lowered=True).alias("degree"))
 
 
 @case("P7_degree_source", on_jobs(f"select seq, {STRICT} as education_level from jobs"))

@@ -12,7 +12,7 @@ from typing import Callable, NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacancia.functions import fixed_values as V
-from vacancia.plans.enrich import add_categories, add_pay, add_skills
+from vacancia.plans.enrich import enrich
 from vacancia.sources.readers import path_exists
 from vacancia.sources.workspace import new_path
 from vacancia.sources.writers import write_table
@@ -91,8 +91,11 @@ def jobs(spark: SparkSession, sf: str, text: bool = False, link: bool = False) -
         docs = table(spark, sf, "documents")
         size = docs.agg(F.count("*")).scalar()
         plain = docs.select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-        rows = rows.withColumn("_doc", F.col("o_orderkey") % size).join(
-            plain.hint("merge"), F.col("_doc") == F.col("doc_id"))
+        # A document goes to several postings, so the join is larger than its
+        # inputs: keep one task per core instead of sizing tasks by the inputs.
+        tasks = spark.sparkContext.defaultParallelism
+        rows = (rows.withColumn("_doc", F.col("o_orderkey") % size).repartition(tasks, "_doc")
+                .join(plain.hint("merge"), F.col("_doc") == F.col("doc_id")))
         columns["description"] = _TEXT
     if link:
         pages = table(spark, sf, "pages")
@@ -105,7 +108,7 @@ def jobs(spark: SparkSession, sf: str, text: bool = False, link: bool = False) -
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
     """The processed postings as a plan over the view."""
-    return add_skills(add_categories(add_pay(jobs(spark, sf, text=True), "pay_interval")))
+    return enrich(jobs(spark, sf, text=True), "pay_interval")
 
 
 _SILVER: dict[tuple[str, str], str] = {}

@@ -53,7 +53,7 @@ def _trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PATHS:
         path = new_path(spark, "models")
-        model.train_per_role(_prepared(spark, sf), path, n_skills=5, sizes=SIZES)
+        model.train_per_role(_prepared(spark, sf), path, n_skills=5, sizes=SIZES, roles_at_once=6)
         _PATHS[key] = path
     return _PATHS[key]
 
@@ -120,10 +120,10 @@ def _(spark, sf):
 
 @case("M9_compare_models")
 def _(spark, sf):
-    return model.compare_models(_prepared(spark, sf), n_skills=5, sizes=SIZES)
+    return model.compare_models(_prepared(spark, sf), n_skills=5, sizes=SIZES, roles_at_once=6)
 
 
 @case("M9_log_target_capped_years")
 def _(spark, sf):
     return model.compare_models(_prepared(spark, sf), n_skills=5, sizes=SIZES, log_target=True,
-                                cap_years=25.0)
+                                cap_years=25.0, roles_at_once=6)

@@ -7,7 +7,7 @@ sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from pyspark.sql import SparkSession  # noqa: E402
 
 from catalog import CASES  # noqa: E402
-from tests.compare import connect, difference  # noqa: E402
+from tests.compare import connect, difference_of_rows  # noqa: E402
 
 
 def main(sf: str, parts) -> int:
@@ -23,8 +23,10 @@ def main(sf: str, parts) -> int:
         start = time.time()
         try:
             df = case.run(spark, sf)
-            problem = difference(df, db, case.sql) if case.sql else None
-            note = "" if case.sql else f"{len(df.collect())} rows, no SQL"
+            got = df.collect()
+            spent = time.time() - start
+            problem = difference_of_rows(df, got, db, case.sql) if case.sql else None
+            note = f"{len(got)} rows, Spark {spent:.2f}s" + ("" if case.sql else ", no SQL")
         except Exception as error:  # noqa: BLE001
             problem, note = f"{type(error).__name__}: {str(error)[:600]}", ""
         bad += problem is not None

@@ -35,12 +35,16 @@ def rows_of(names, rows):
 
 def difference(df, db, sql: str) -> str | None:
     """None if both agree, else what differs first."""
+    got = df.collect()
+    return difference_of_rows(df, got, db, sql)
+
+
+def difference_of_rows(df, got, db, sql: str) -> str | None:
     found = db.execute(sql)
     sql_names, sql_types = [d[0] for d in found.description], [str(d[1]) for d in found.description]
     expected = found.fetchall()
     if sorted(df.columns) != sorted(sql_names):
         return f"columns {sorted(df.columns)} / {sorted(sql_names)}"
-    got = df.collect()
     if len(got) != len(expected):
         return f"rows {len(got)} / {len(expected)}"
     a, b = rows_of(df.columns, got), rows_of(sql_names, expected)

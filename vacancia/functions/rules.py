@@ -18,14 +18,20 @@ def first_hit(rules, otherwise=None) -> Column:
     return out.otherwise(F.lit(otherwise))
 
 
+def _lower(text, lowered: bool) -> Column:
+    return col(text) if lowered else F.lower(col(text))
+
+
 def extract_years(text, patterns=V.YEARS_PATTERNS,
-                  zero_pattern: str = V.ENTRY_LEVEL_PATTERN) -> Column:
+                  zero_pattern: str = V.ENTRY_LEVEL_PATTERN, lowered: bool = False) -> Column:
     """Years of experience asked for in a text, as bigint.
 
     The number is the first group of the first pattern that matches. All
-    patterns name years, so texts without that word skip them.
+    patterns name years, so texts without that word skip them. `lowered` says
+    that the text column is in lower case already: for long texts lower-case
+    once, in a projection of its own.
     """
-    low = F.lower(col(text))
+    low = _lower(text, lowered)
     found = F.coalesce(*[F.regexp_extract(low, p, 1).try_cast("bigint") for p in patterns])
     stated = F.when(low.contains("year"), found)
     return F.coalesce(stated, F.when(matches(low, zero_pattern), F.lit(0).cast("bigint")))
@@ -37,15 +43,16 @@ def _degree_hits(low: Column, rules, words):
             for d, p in rules]
 
 
-def degree_strict(text, rules=V.DEGREE_STRICT, words=V.DEGREE_WORDS) -> Column:
+def degree_strict(text, rules=V.DEGREE_STRICT, words=V.DEGREE_WORDS,
+                  lowered: bool = False) -> Column:
     """Highest degree named in a text, else null."""
-    return first_hit(_degree_hits(F.lower(col(text)), rules, words))
+    return first_hit(_degree_hits(_lower(text, lowered), rules, words))
 
 
 def degree_default(text, rules=V.DEGREE_DEFAULT, fallback: str = V.DEGREE_FALLBACK,
-                   words=V.DEGREE_WORDS) -> Column:
+                   words=V.DEGREE_WORDS, lowered: bool = False) -> Column:
     """Highest degree named in a text, else the fallback; null text -> null."""
-    low = F.lower(col(text))
+    low = _lower(text, lowered)
     return F.when(low.isNotNull(), first_hit(_degree_hits(low, rules, words), fallback))
 
 

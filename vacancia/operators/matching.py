@@ -36,8 +36,8 @@ def candidate_profiles(df: DataFrame, text: str, key: str, patterns=SKILL_PATTER
     low = df.withColumn("_low", F.lower(text))
     return low.select(F.col(key).alias("candidate_id"),
                       keyword_list("_low", patterns).alias("technical_skills"),
-                      extract_years("_low").cast("double").alias("years_experience"),
-                      degree_strict("_low").alias("education"))
+                      extract_years("_low", lowered=True).cast("double").alias("years_experience"),
+                      degree_strict("_low", lowered=True).alias("education"))
 
 
 @dataclass(frozen=True)

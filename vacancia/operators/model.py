@@ -150,9 +150,9 @@ def score(predicted: DataFrame, label: str = "label") -> dict[str, float]:
     row = predicted.agg(F.count("*").alias("n"), F.var_pop(y).alias("var"),
                         F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae")).first()
     if not row["n"]:
-        return {"r2": float("nan"), "mae": float("nan"), "rmse": float("nan")}
+        return {"r2": float("nan"), "mae": float("nan"), "rmse": float("nan"), "n": 0}
     r2 = 1.0 - row["mse"] / row["var"] if row["var"] else float(row["mse"] == 0)
-    return {"r2": r2, "mae": row["mae"], "rmse": row["mse"] ** 0.5}
+    return {"r2": r2, "mae": row["mae"], "rmse": row["mse"] ** 0.5, "n": row["n"]}
 
 
 def cross_validate(estimator, data: DataFrame, folds: int = 5, parallelism: int = 4,
@@ -233,33 +233,43 @@ def trainable_roles(prepared: DataFrame, min_rows: int = 15, min_total: int = 20
     return sorted(r[0] for r in kept.select("role_category").collect())
 
 
+def _each_role(run, roles, at_once: int) -> list:
+    """Results of run(role); a role that fails is reported and left out."""
+    def safe(role):
+        try:
+            return run(role)
+        except Exception as problem:  # noqa: BLE001
+            print(f"{role}: {problem}")
+            return None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return [r for r in pool.map(safe, roles) if r is not None]
+
+
 def train_per_role(prepared: DataFrame, path: str, skills=tuple(V.SKILL_PATTERNS), key="seq",
                    n_skills: int = 10, sizes: ModelSizes = ModelSizes(), folds: int = 5,
-                   parallelism: int = 4, min_rows: int = 15) -> DataFrame:
+                   parallelism: int = 4, min_rows: int = 15, roles_at_once: int = 2) -> DataFrame:
     """Train, compare and store a model per role; the registry table results.
 
     `prepared` should be a stored table (see `prepared_table`). A role that
-    fails does not stop the others.
+    fails does not stop the others. Fits of a few roles and folds are submitted
+    at the same time, so small roles do not leave executors idle.
     """
     spark = prepared.sparkSession
-    records = []
-    for role in trainable_roles(prepared, min_rows):
-        try:
-            rows = prepared.where(F.col("role_category") == role)
-            top = select_top_skills(rows, skills, n_skills, sizes)
-            data = role_data(prepared, role, top, key, folds, sizes.seed)
-            data = data.persist(StorageLevel.MEMORY_AND_DISK)
-            best, fitted, fit_scores, cv = train_best(data, estimators(sizes), folds, parallelism)
-            n = data.count()
-            data.unpersist()
-            target = f"{path}/{role.replace(' ', '_')}"
-            PipelineModel([fitted]).write().overwrite().save(target)
-        except Exception as problem:  # noqa: BLE001
-            print(f"{role}: {problem}")
-            continue
+
+    def train(role: str):
+        rows = prepared.where(F.col("role_category") == role)
+        top = select_top_skills(rows, skills, n_skills, sizes)
+        data = role_data(prepared, role, top, key, folds, sizes.seed)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        best, fitted, fit, cv = train_best(data, estimators(sizes), folds, parallelism)
+        data.unpersist()
+        target = f"{path}/{role.replace(' ', '_')}"
+        PipelineModel([fitted]).write().overwrite().save(target)
         names = list(feature_columns(prepared, top))
-        records.append((role, best, fit_scores["r2"], fit_scores["mae"], fit_scores["rmse"], n,
-                        top, names, cv, target))
+        return role, best, fit["r2"], fit["mae"], fit["rmse"], fit["n"], top, names, cv, target
+
+    records = _each_role(train, trainable_roles(prepared, min_rows), roles_at_once)
     registry = spark.createDataFrame(records, MODEL_REGISTRY)
     registry.coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
     return load_registry(spark, path)
@@ -329,7 +339,7 @@ def top_skills(registry: DataFrame, role: str, n: int = 5) -> DataFrame:
 def compare_models(prepared: DataFrame, skills=tuple(V.SKILL_PATTERNS), key="seq",
                    n_skills: int = 10, sizes: ModelSizes = ModelSizes(), folds: int = 5,
                    parallelism: int = 4, min_rows: int = 20, log_target: bool = False,
-                   cap_years: float | None = None) -> DataFrame:
+                   cap_years: float | None = None, roles_at_once: int = 2) -> DataFrame:
     """Test and train r2 of every model and role over shuffled folds.
 
     `log_target` learns log(1 + pay); `cap_years` limits the experience.
@@ -338,16 +348,20 @@ def compare_models(prepared: DataFrame, skills=tuple(V.SKILL_PATTERNS), key="seq
     if cap_years is not None:
         rows = rows.withColumn("years_experience_required",
                                F.least("years_experience_required", F.lit(cap_years)))
-    out = []
-    for role in trainable_roles(rows, min_rows):
+    def compare(role: str):
         top = select_top_skills(rows.where(F.col("role_category") == role), skills, n_skills, sizes)
         data = role_data(rows, role, top, key, folds, sizes.seed)
         if log_target:
             data = data.withColumn("label", F.log1p("label"))
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        out = []
         for name, estimator in estimators(sizes).items():
             cv = cross_validate(estimator, data, folds, parallelism, train_scores=True)
             out.append((role, name, cv["mean_r2"], cv["std_r2"], cv["train_r2"]))
         data.unpersist()
+        return out
+
+    results = _each_role(compare, trainable_roles(rows, min_rows), roles_at_once)
     return rows.sparkSession.createDataFrame(
-        out, "role string, model string, mean_r2 double, std_r2 double, train_r2 double")
+        [line for part in results for line in part],
+        "role string, model string, mean_r2 double, std_r2 double, train_r2 double")

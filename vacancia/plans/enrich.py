@@ -20,29 +20,29 @@ def add_pay(df: DataFrame, period: str = "interval") -> DataFrame:
 
 
 def add_categories(df: DataFrame) -> DataFrame:
-    """Derived columns a table does not have yet; an absent source gives null."""
+    """Categories of short columns a table does not have yet; an absent source
+    counts as null."""
     def source(name):
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
-    text = first_col(df, V.TEXT_ALIASES)
     new = {
         "role_category": role_category(source("title")),
-        "education_level": degree_strict(text) if text else F.lit(None).cast("string"),
         "job_type_norm": job_type_norm(source("job_type")),
         "state": state_code(source("location")),
         "col_tier": cost_tier(source("location")),
     }
-    if "description" in df.columns:
-        new["years_experience_required"] = extract_years("description")
     return df.withColumns({k: c for k, c in new.items() if k not in df.columns})
 
 
+def lower_once(df: DataFrame, text: str, name: str = "_low") -> DataFrame:
+    """Lower-case a text in a projection of its own, so that many patterns on
+    it share one pass."""
+    return df.withColumn(name, F.lower(text))
+
+
 def add_skills(df: DataFrame, text: str = "description", patterns=V.SKILL_PATTERNS,
                flags: bool = False) -> DataFrame:
-    """`skills` array, or with `flags` one 0/1 column skill_<Name> per skill.
-
-    The text is lower-cased once, in its own projection.
-    """
-    low = df.withColumn("_low", F.lower(text))
+    """`skills` array, or with `flags` one 0/1 column skill_<Name> per skill."""
+    low = lower_once(df, text)
     if flags:
         new = {f"skill_{n}": f.cast("int") for n, f in keyword_flags("_low", patterns).items()}
     else:
@@ -50,9 +50,24 @@ def add_skills(df: DataFrame, text: str = "description", patterns=V.SKILL_PATTER
     return low.withColumns(new).drop("_low")
 
 
+def add_text_features(df: DataFrame, text: str = "description",
+                      patterns=V.SKILL_PATTERNS) -> DataFrame:
+    """skills, years_experience_required and, if absent, education_level."""
+    low = lower_once(df, text)
+    new = {"skills": keyword_list("_low", patterns),
+           "years_experience_required": extract_years("_low", lowered=True)}
+    if "education_level" not in df.columns:
+        source = first_col(df, V.TEXT_ALIASES)
+        if source == text:
+            new["education_level"] = degree_strict("_low", lowered=True)
+        else:
+            new["education_level"] = degree_strict(source) if source else F.lit(None).cast("string")
+    return low.withColumns(new).drop("_low")
+
+
 def enrich(df: DataFrame, period: str = "interval") -> DataFrame:
     """All derived columns; unused ones cost nothing (they are pruned)."""
-    return add_skills(add_categories(add_pay(df, period)))
+    return add_text_features(add_categories(add_pay(df, period)))
 
 
 def process_all(raw: DataFrame, order: str = "seq", period: str = "interval") -> DataFrame:
