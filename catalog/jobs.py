@@ -123,12 +123,14 @@ def silver(spark: SparkSession, sf: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SILVER or not path_exists(spark, _SILVER[key]):
-        _SILVER[key] = write_silver(spark, sf)
+        write_silver(spark, sf)
     return spark.read.parquet(_SILVER[key])
 
 
 def write_silver(spark: SparkSession, sf: str) -> str:
-    return write_table(enriched(spark, sf).drop("description"), new_path(spark, "silver"))
+    path = write_table(enriched(spark, sf).drop("description"), new_path(spark, "silver"))
+    _SILVER[(spark.sparkContext.applicationId, sf)] = path
+    return path
 
 
 SKILLS = list(V.SKILL_PATTERNS)

@@ -112,7 +112,9 @@ def contiguous_folds(df: DataFrame, by: str, order: str, folds: int = 5) -> Data
 
     borders = values_at_ranks(value_weights(df, order, [by]), starts, folds - 1, [by])
     fold = F.size(F.filter("p", lambda b: b <= F.col(order)))
-    return df.join(borders, by).withColumn("fold", fold).drop("p")
+    # A group without borders (one row) is all fold 0.
+    return (df.join(borders, by, "left")
+            .withColumn("fold", F.when(F.col("p").isNull(), 0).otherwise(fold)).drop("p"))
 
 
 # --- models -------------------------------------------------------------------
