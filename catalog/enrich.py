@@ -10,6 +10,8 @@ from vacancia.operators import matching
 from vacancia.operators.model import fill_defaults, resolve_experience
 from vacancia.plans.enrich import add_pay, add_skills, lower_once
 
+from vacancia.sources.readers import spread
+
 from .jobs import (FACTOR, FLAGS, LAST, ROLE, SKILLS, STATE, STRICT, TIER, TYPE, YEARS, case, has,
                    jobs, ladder, on_jobs, on_silver, quoted, silver, skill, skill_list, table,
                    title_years)
@@ -50,7 +52,7 @@ _ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
 @case("P3_documents", "with d as (select doc_id, lower(" + _ASCII + ") as low from documents) "
       f"select doc_id, array_to_string({skill_list('low')}, '|') as skills from d")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         "doc_id", F.lower(F.regexp_replace("text", "[^ -~]", "")).alias("low"))
     return docs.select("doc_id", F.concat_ws("|", T.keyword_list("low", V.SKILL_PATTERNS))
                        .alias("skills"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacancia.functions import fixed_values as V
 from vacancia.plans.enrich import enrich
-from vacancia.sources.readers import path_exists
+from vacancia.sources.readers import path_exists, spread
 from vacancia.sources.workspace import new_path
 from vacancia.sources.writers import write_table
 
@@ -100,6 +100,7 @@ def jobs(spark: SparkSession, sf: str, text: bool = False, link: bool = False) -
     if link:
         pages = table(spark, sf, "pages")
         size = pages.agg(F.count("*")).scalar()
+        rows = spread(rows) if not text else rows
         rows = rows.withColumn("_page", F.col("o_orderkey") % size).join(
             pages.select("page_id", "url"), F.col("_page") == F.col("page_id"))
         columns["job_url"] = _LINK

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vacancia.operators import matching
 from vacancia.plans.enrich import add_skills
+from vacancia.sources.readers import spread
 
 from .jobs import (SILVER, STRICT, YEARS, case, jobs, on_jobs, on_silver, silver, skill_list, table)
 
@@ -44,7 +45,7 @@ _DOCS = "docs as (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as text
 
 def _candidates(spark, sf):
     plain = F.regexp_replace("text", "[^ -~]", "").alias("text")
-    people = table(spark, sf, "documents").select("doc_id", plain).select(
+    people = spread(table(spark, sf, "documents")).select("doc_id", plain).select(
         "doc_id", F.expr(_ABOUT).alias("about"))
     return matching.candidate_profiles(people, "about", "doc_id")
 

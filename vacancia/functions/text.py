@@ -10,8 +10,10 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, StringType, StructField,
                                StructType)
 
-# Unicode white space, plus the four separators Java leaves out of \s.
+# White space of any kind (Unicode), as a pattern and as characters.
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+_SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+           "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def col(c: Column | str) -> Column:
@@ -20,7 +22,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(col(c), rf"{_SPACE}\z|\A{_SPACE}", "")
+    return F.btrim(col(c), F.lit(_SPACES))
 
 
 def norm_text(c: Column | str) -> Column:
@@ -29,6 +31,36 @@ def norm_text(c: Column | str) -> Column:
     return F.nullif(flat, F.lit(""))
 
 
+_URL_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
+
+
+def clean_url(c: Column | str) -> Column:
+    return F.translate(strip(c), "\t\r\n", "")
+
+
+def url_parts(url: Column | str) -> dict[str, Column]:
+    """scheme, host and raw path of a cleaned link; '' where absent."""
+    return {name: F.regexp_extract(col(url), _URL_PARTS, i)
+            for i, name in enumerate(("scheme", "host", "path"), 1)}
+
+
+def join_url(url: Column, scheme: Column, host: Column, path: Column) -> Column:
+    """Key form of a link from its cleaned text and its parts."""
+    scheme, host = F.lower(scheme), F.lower(host)
+    # '+' is a plain character in a path, and a stray '%' stands for itself.
+    safe = F.replace(F.regexp_replace(path, "%(?![0-9A-Fa-f]{2})", "%25"),
+                     F.lit("+"), F.lit("%2B"))
+    decoded = F.when(path.contains("%"), F.coalesce(F.try_url_decode(safe), path)).otherwise(path)
+    trimmed = F.when(path.isin("", "/"), "/").otherwise(F.rtrim(decoded, F.lit("/")))
+    prefix = (F.when((host != "") & (scheme != ""), F.concat(scheme, F.lit("://"), host))
+              .when(host != "", F.concat(F.lit("https://"), host))
+              .when(url.rlike(r"^[^:/?#]+://"), F.concat(scheme, F.lit("://")))
+              .when(scheme != "", F.concat(scheme, F.lit(":")))
+              .otherwise(F.lit("https://")))
+    dirty = host.rlike(r"^[^\[]*\]|\[[^\]]*$")
+    return F.when(dirty, F.lower(url)).otherwise(F.concat(prefix, trimmed))
+
+
 def norm_url(c: Column | str) -> Column:
     """Key form of a link: default scheme https, lower-case authority, decoded
     path without trailing slash, no query and no fragment. Text that is not a
@@ -37,24 +69,8 @@ def norm_url(c: Column | str) -> Column:
     A link without scheme ("www.x.com/a") gets "https://", so it equals the
     full form of the same link.
     """
-    url = F.regexp_replace(strip(c), r"[\t\r\n]", "")
-    split = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
-    scheme = F.lower(F.regexp_extract(url, split, 1))
-    host = F.lower(F.regexp_extract(url, split, 2))
-    raw_path = F.regexp_extract(url, split, 3)
-    # '+' is a plain character in a path, and a stray '%' stands for itself.
-    safe = F.replace(F.regexp_replace(raw_path, "%(?![0-9A-Fa-f]{2})", "%25"),
-                     F.lit("+"), F.lit("%2B"))
-    path = F.when(raw_path == "", "/").otherwise(
-        F.coalesce(F.try_url_decode(safe), raw_path))
-    path = F.when(path == "/", path).otherwise(F.rtrim(path, F.lit("/")))
-    prefix = (F.when(host != "", F.concat(F.when(scheme == "", "https").otherwise(scheme),
-                                          F.lit("://"), host))
-              .when(url.rlike(r"^[^:/?#]+://"), F.concat(scheme, F.lit("://")))
-              .when(scheme != "", F.concat(scheme, F.lit(":")))
-              .otherwise(F.lit("https://")))
-    dirty = host.rlike(r"^[^\[]*\]|\[[^\]]*$")
-    return F.when(dirty, F.lower(url)).otherwise(F.concat(prefix, path))
+    url = clean_url(c)
+    return join_url(url, **url_parts(url))
 
 
 def truncate(c: Column | str, n: int = 200) -> Column:
@@ -78,20 +94,18 @@ def contains_word(c: Column, words) -> Column:
 
 
 def _alternative(low: Column, pattern: str) -> Column:
-    """One alternative of a pattern, the cheap test first.
+    """One alternative of a pattern, in its cheapest form (same matches).
 
-    A literal needs no regex. A word-bounded literal is looked for by plain
-    search before the regex runs, and the leading boundary moves behind the
-    literal (same matches), which lets the regex engine search for the literal
-    instead of testing a boundary at every character.
+    Plain search is fastest for a short literal, the regex engine for a longer
+    one, since it skips ahead by the literal's length. It does so only if the
+    pattern starts with the literal, so a leading boundary moves behind it.
     """
     literal = pattern.replace(r"\b", "")
-    if not set(literal) & set("\\.^$*+?()[]{}|"):
-        guard = low.contains(literal)
-        if literal == pattern:
-            return guard
-        return guard & low.rlike(_boundary_last(pattern))
-    return low.rlike(_boundary_last(pattern))
+    regex = low.rlike(_boundary_last(pattern))
+    if len(literal) > 4 or set(literal) & set("\\.^$*+?()[]{}|"):
+        return regex
+    found = low.contains(literal)
+    return found if literal == pattern else found & regex
 
 
 def _boundary_last(pattern: str) -> str:

@@ -27,8 +27,16 @@ def _bucketed(weights: DataFrame, by, buckets: int) -> DataFrame:
         table = weights.join(weights.groupBy(*by).agg(cuts), list(by))
     else:
         table = weights.withColumn("cuts", weights.agg(cuts).scalar())
-    bucket = F.size(F.filter("cuts", lambda c: c < F.col("v")))
-    return table.withColumn("bucket", bucket).drop("cuts")
+    return table.withColumn("bucket", _bucket(0, buckets - 1)).drop("cuts")
+
+
+def _bucket(low: int, high: int) -> Column:
+    """Number of cuts below v, found by halving: a few comparisons per value."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(F.get("cuts", middle) < F.col("v"), _bucket(middle + 1, high)).otherwise(
+        _bucket(low, middle))
 
 
 def exact_percentiles(df: DataFrame, value: str, probs, by=(), buckets: int = 64,

@@ -43,6 +43,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a scan that has fewer parts than cores.
+
+    For costly work on few files. A scan of many files is returned as it is,
+    without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_first_available(spark: SparkSession, paths, schema: StructType = RAW_POSTINGS) -> DataFrame:
     """The first path that exists (CSV by its ending, else Parquet); with none,
     an empty table of the schema."""
