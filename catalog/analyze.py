@@ -350,7 +350,7 @@ def _(spark, sf):
 
 
 def _bins(source: str, value: str, bins: int, extra: str = "") -> str:
-    return f"""select b.bin, round(lo + b.bin * w, 4) as bin_start, count(x) as count{extra} from
+    return f"""select cast(b.bin as integer) as bin, round(lo + b.bin * w, 4) as bin_start, count(x) as count{extra} from
  (select unnest(range({bins})) as bin) b
  cross join (select min({value}) as lo, (max({value}) - min({value})) / {bins} as w from {source}) e
  left join (select {value} as x from {source} where {value} is not null) r

@@ -156,7 +156,8 @@ line as (select title, regr_slope(cumulative, elapsed) as slope, regr_intercept(
  max(cumulative) as current_total from past group by title having count(*) >= 5)"""
 
 
-@case("W9_elapsed_days", on_jobs("""select title, day, datediff('day', min(day) over (partition by title), day) as elapsed
+@case("W9_elapsed_days", on_jobs("""select title, day,
+ cast(datediff('day', min(day) over (partition by title), day) as integer) as elapsed
  from (select distinct title, cast(date_posted as date) as day from jobs where title is not null)"""))
 def _(spark, sf):
     days = metrics.period_counts(jobs(spark, sf), "title").drop("count")
@@ -200,7 +201,7 @@ def _(spark, sf):
 
 
 @case("W11_contiguous_folds", on_silver("""select seq, role_category,
- ntile(5) over (partition by role_category order by seq) - 1 as fold from silver"""))
+ cast(ntile(5) over (partition by role_category order by seq) - 1 as integer) as fold from silver"""))
 def _(spark, sf):
     return model.contiguous_folds(silver(spark, sf), "role_category", "seq").select(
         "seq", "role_category", "fold")

@@ -66,10 +66,12 @@ def postings(spark, n, shift=0):
 def test_refresh_twice(spark, tmp_path):
     out = str(tmp_path)
     raw, processed = refresh(spark, [], postings(spark, 20), out, datetime(2026, 1, 1))
-    again, _ = refresh(spark, [f"{raw}/snapshot=20260101_000000"], postings(spark, 20, 100), out,
-                       datetime(2026, 1, 2))
+    for day, quick in ((2, False), (3, True)):
+        again, _ = refresh(spark, [f"{raw}/snapshot=20260101_000000"], postings(spark, 20, 100),
+                           out, datetime(2026, 1, day), merged_before=quick)
     assert readers.read_snapshot(spark, raw, "20260101_000000").count() == 5
-    assert readers.read_snapshot(spark, again).count() == 5  # nothing new
+    for stamp in ("20260102_000000", "20260103_000000"):  # nothing new
+        assert readers.read_snapshot(spark, again, stamp).count() == 5
     row = spark.read.parquet(processed).where("title = 'Title 0'").first()
     assert (row.average_salary, row.skills, row.years_experience_required, row.state) == (
         104.0, ["SQL"], 5, "TX")

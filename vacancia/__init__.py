@@ -1,0 +1 @@
+"""Job-posting analytics as composable Spark DataFrame operators."""
