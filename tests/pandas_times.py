@@ -1,0 +1,48 @@
+"""Times of plain pandas for some of the bench queries, on the same postings."""
+
+import re
+import sys
+import time
+
+sys.path.insert(0, __file__.rsplit("/", 2)[0])
+import pandas as pd  # noqa: E402
+
+from catalog.jobs import on_jobs  # noqa: E402
+from tests.compare import connect  # noqa: E402
+from vacancia.functions.fixed_values import SKILL_PATTERNS  # noqa: E402
+
+
+def main(sf: str) -> None:
+    df = connect(sf).execute(on_jobs("select * from jobs")).df()
+    times = {}
+
+    def clock(name, run):
+        start = time.time()
+        result = run()
+        times[name] = round(time.time() - start, 2)
+        print(name, times[name], flush=True)
+        return result
+
+    flags = clock("P3_keyword_flags", lambda: pd.DataFrame({
+        n: df["description"].str.contains(p, case=False, na=False, regex=True)
+        for n, p in SKILL_PATTERNS.items()}))
+
+    def key(v):
+        return re.sub(r"\s+", " ", v.strip().lower()) if isinstance(v, str) else None
+
+    def merge():
+        both = pd.concat([df, df], ignore_index=True)
+        for c in ("title", "company", "location", "job_url"):
+            both["n_" + c] = both[c].map(key)
+        both = both.drop_duplicates(subset=["id"], keep="first")
+        return both.drop_duplicates(subset=["n_title", "n_company", "n_location", "n_job_url"])
+
+    clock("N8_merge_new", merge)
+    pay = (df["min_amount"] + df["max_amount"]) / 2
+    clock("A17_skill_correlations", lambda: [pay.corr(flags[c].astype(float)) for c in flags])
+    clock("W2_weekly_role_mix", lambda: df.groupby(
+        [df["date_posted"].dt.to_period("W").apply(lambda p: p.start_time), "title"]).size())
+
+
+if __name__ == "__main__":
+    main(sys.argv[1])

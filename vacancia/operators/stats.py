@@ -108,13 +108,26 @@ def correlations(df: DataFrame, value: str, others, by=()) -> DataFrame:
 
 
 def flag_correlations(df: DataFrame, value: str, names, k: int | None = 5) -> DataFrame:
-    """Flags with the strongest correlation to a value, from one aggregate."""
+    """Flags with the strongest Pearson correlation to a value, in one aggregate.
+
+    For a 0/1 flag set in a share p of the rows the covariance is
+    p * (mean with the flag - overall mean), so two sums per flag are enough.
+    Constant flags have no correlation and are left out.
+    """
     names = list(names)
-    wide = df.agg(*[correlation(value, f"`{n}`").alias(f"c{i}")
-                    for i, n in enumerate(names)])
-    pairs = F.array(*[F.struct(F.lit(n).alias("skill"), F.col(f"c{i}").alias("corr"))
+    rows = df.where(F.col(value).isNotNull())
+    sums = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")]
+    for i, name in enumerate(names):
+        hit = F.col(f"`{name}`")
+        sums += [F.count_if(hit).alias(f"n{i}"), F.avg(F.when(hit, F.col(value))).alias(f"mean{i}")]
+    wide = rows.agg(*sums)
+    pairs = F.array(*[F.struct(F.lit(n).alias("skill"), (F.col(f"n{i}") / F.nullif(F.col("n"), F.lit(0)))
+                               .alias("p"), F.col(f"mean{i}").alias("m"))
                       for i, n in enumerate(names)])
-    out = wide.select(F.inline(pairs)).where(F.col("corr").isNotNull())
+    parts = wide.select("mean", "sd", F.inline(pairs))
+    spread = F.sqrt(F.col("p") * (1 - F.col("p"))) * F.col("sd")
+    corr = F.col("p") * (F.col("m") - F.col("mean")) / F.nullif(spread, F.lit(0.0))
+    out = parts.select("skill", corr.alias("corr")).where(F.col("corr").isNotNull())
     out = out.orderBy(F.desc(F.abs("corr")), "skill")
     return out if k is None else out.limit(k)
 
