@@ -6,11 +6,16 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from .readers import path_exists
+
 
 def write_table(df: DataFrame, path: str, partition_by=()) -> str:
-    """Replace a Parquet table. The path must not be one the table is read from."""
-    if any(path.rstrip("/") == f.rsplit("/", 1)[0].removeprefix("file://") for f in df.inputFiles()):
-        raise ValueError(f"{path} is an input of the table; write to a new path")
+    """Replace a Parquet table. The path must not be one the table is read from
+    (the inputs are listed only if the path exists)."""
+    if path_exists(df.sparkSession, path):
+        folder = path.removeprefix("file://").rstrip("/") + "/"
+        if any(f.removeprefix("file://").startswith(folder) for f in df.inputFiles()):
+            raise ValueError(f"{path} is an input of the table; write to a new path")
     if partition_by:
         # One set of files per partition value; a value with many rows is
         # split over several tasks, small ones share a task.
