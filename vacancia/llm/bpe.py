@@ -11,6 +11,7 @@ pass over the ranks is complete; this is checked when the file is read.
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,18 @@ class Decoder:
         return bytes(map(self.byte_of.__getitem__, "".join(pieces))).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def known_ids(vocabulary: str) -> tuple[Pretokenizer, Known]:
+    """Of the worker process: later tasks go on with what earlier ones learned."""
+    cutter = Pretokenizer(vocabulary_file(vocabulary))
+    return cutter, Known(PairIndexEncoder(cutter).encode)
+
+
+@lru_cache(maxsize=1)
+def decoder(vocabulary: str) -> Decoder:
+    return Decoder(Pretokenizer(vocabulary_file(vocabulary)))
+
+
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_tokens and token_ids (little-endian unsigned 32-bit).
@@ -158,11 +171,10 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id",
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        cutter = Pretokenizer(vocabulary_file(vocabulary))
-        known = Known(PairIndexEncoder(cutter).encode)
+        cutter, known = known_ids(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in slices(texts):
+            for part in slices(texts, 8 << 20):
                 ids = encoded(texts[part], cutter, known)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.start, part.stop - part.start),
@@ -175,9 +187,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
 def encoded(texts: list, cutter: Pretokenizer, known: Known) -> list[bytes]:
     """The ids of each text: the known ids of its pre-tokens, one after the other."""
-    words = [cutter(t) for t in texts]
-    known.update_for([w for ws in words for w in ws])
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+    return [b"".join(ids) for ids in known.lookup([cutter(t) for t in texts])]
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "token_ids",
@@ -191,13 +201,13 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "token_ids",
     kept = rows.drop(ids_col).schema
 
     def run(batches):
-        decoder = Decoder(Pretokenizer(vocabulary_file(vocabulary)))
+        text_of = decoder(vocabulary)
         for batch in batches:
             ids = batch.column(len(keep))
             size = max(1, (1 << 20) * batch.num_rows // (1 + ids.nbytes // 4))
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                texts = [None if i is None else decoder(i)
+                texts = [None if i is None else text_of(i)
                          for i in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(texts, pa.string())], [*keep, out_col])

@@ -12,6 +12,8 @@ Pieces then look up their place by their number within their length.
 from __future__ import annotations
 
 import zlib
+from array import array
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -83,6 +85,19 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple]:
     return rows
 
 
+@lru_cache(maxsize=1)
+def library_ids(vocabulary: str) -> tuple[Pretokenizer, Known]:
+    """Ids of pre-tokens by the library, kept by the worker process for later tasks."""
+    cutter = Pretokenizer(vocabulary_file(vocabulary))
+    model = cutter.library.model
+
+    def learn(words):
+        return [cutter.special[w].to_bytes(4, "little") if w in cutter.special
+                else array("I", [t.id for t in model.tokenize(cutter.letters(w))]).tobytes()
+                for w in words]
+    return cutter, Known(learn)
+
+
 def pieces(df: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of each document, the end id included, cut into windows.
@@ -95,14 +110,7 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
     end, step = end_id.to_bytes(4, "little"), 4 * window
 
     def run(batches):
-        cutter = Pretokenizer(vocabulary_file(vocabulary))
-        model = cutter.library.model
-
-        def learn(words):
-            return [cutter.special[w].to_bytes(4, "little") if w in cutter.special
-                    else b"".join(t.id.to_bytes(4, "little")
-                                  for t in model.tokenize(cutter.letters(w))) for w in words]
-        known = Known(learn)
+        cutter, known = library_ids(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in slices(texts):

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from tokenizers import Tokenizer
 
 # Characters on which Python and the library agree about letters, digits, white space and case.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _UNCOMMON = re.compile(f"[^\\t\\n\\r -~¡-įı-ſ]|[²³¹¼½¾]")
-_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_WORDS = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
-_SPACED = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_WORDS = re.compile(f"[{_LETTERS}]+|[0-9]|{_ENDINGS}|[^\\s{_LETTERS}0-9]+")
+_SPACED = re.compile(f" ?[{_LETTERS}]+|{_ENDINGS}| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 
 
 class Pretokenizer:
@@ -95,18 +95,28 @@ BYTE_LETTERS = _byte_letters()
 class Known(dict):
     """What `learn` says of each distinct pre-token, asked once while it is kept.
 
-    A bounded memory: beyond `limit` entries it starts anew, which costs time, not results.
+    A bounded memory: beyond `limit` entries only what the current texts use is
+    kept, which costs time, not results.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, learn: Callable[[list[str]], list], limit: int = 500_000):
         super().__init__()
         self.learn, self.limit = learn, limit
 
-    def update_for(self, pretokens: list[str]) -> None:
-        """Make sure that all given pre-tokens are known."""
-        new = list(set(pretokens).difference(self))
+    def lookup(self, texts: list[Iterable[str]]) -> list[list]:
+        """What is known of the pre-tokens of each text, learning what is new."""
+        found = [list(map(self.get, words)) for words in texts]
+        lacking = [i for i, values in enumerate(found) if None in values]
+        if not lacking:
+            return found
+        new = {w for i in lacking for w, value in zip(texts[i], found[i]) if value is None}
         if len(self) + len(new) > self.limit:
+            wanted = set().union(*texts)
+            kept = {w: self[w] for w in wanted.intersection(self)}
             self.clear()
-            new = list(set(pretokens))
-        if new:
-            self.update(zip(new, self.learn(new)))
+            self.update(kept)
+        new = list(new)
+        self.update(zip(new, self.learn(new)))
+        for i in lacking:
+            found[i] = list(map(self.__getitem__, texts[i]))
+        return found

@@ -9,6 +9,7 @@ shuffled, and memory is bounded by a run of texts plus the remembered counts.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 from operator import mul
 
 import pyarrow as pa
@@ -19,6 +20,13 @@ from .tables import vocabulary_file
 from .words import slices
 
 
+@lru_cache(maxsize=1)
+def known_counts(vocabulary: str) -> tuple[Pretokenizer, Known]:
+    """Of the worker process: later tasks go on with what earlier ones learned."""
+    cutter = Pretokenizer(vocabulary_file(vocabulary))
+    return cutter, Known(piece_counter(cutter))
+
+
 def piece_counter(cutter: Pretokenizer):
     """Pieces of each given pre-token; a special string is one piece."""
     model = cutter.library.model
@@ -41,16 +49,14 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        cutter = Pretokenizer(vocabulary_file(vocabulary))
-        pieces = Known(piece_counter(cutter))
+        cutter, pieces = known_counts(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes, totals = [], []
             for part in slices(texts):
                 frequencies = [Counter(cutter(t)) for t in texts[part]]
-                pieces.update_for([w for f in frequencies for w in f])
-                totals += [sum(map(mul, f.values(), map(pieces.__getitem__, f)))
-                           for f in frequencies]
+                totals += [sum(map(mul, f.values(), n))
+                           for f, n in zip(frequencies, pieces.lookup(frequencies))]
                 sizes += [len((t or "").encode("utf-8")) for t in texts[part]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
