@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, sharding, token_counts
+from . import bpe, fingerprints, packing, sharding, token_counts, topk
 from .tables import read
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text and its edited text as bottom-k sketches."""
+    marks = fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+    return marks.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text("sketch").alias("fingerprint"),
+        fingerprints.as_text("edited_sketch").alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, by distinct pre-tokens."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best inner products of every hundredth vector among all others."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again, as digests."""
     encoded = bpe.encode(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -41,5 +56,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op6_token_counts, op8_bpe, op9_packing, op10_sharding)}
-SQL: dict[str, str] = {}
+    op3_fingerprints, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
+SQL: dict[str, str] = {
+    "op7_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q
+           from embeddings where embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+s as (select a.vec_id query_id, b.vec_id,
+             cast(list_inner_product(cast(a.q as double[]), cast(b.q as double[])) as bigint) score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 10""",
+}

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vacancia.sources.workspace import shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder. Workers started from here on find this library beside the driver's copy."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -60,15 +65,6 @@ def gapless(df: DataFrame, groups: list[str], number: str) -> DataFrame:
             .drop(part, place, before))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch; the other columns stay behind."""
-    def run(batches):
-        for batch in batches:
-            yield from function(batch)
-    return df.mapInArrow(run, schema)
-
-
 def vocabulary_file(name: str) -> str:
     """Where a vocabulary file lies on the machine that asks."""
     import public_tokenizers

@@ -79,7 +79,7 @@ def shingles(texts: list, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.nd
     long = counts >= width
     combined = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
     for i in range(width):
-        combined = combined * _U(0x9E3779B97F4A7C15) + words[i:len(words) - width + 1 + i]
+        combined = combined * _U(0x9E3779B97F4A7C15) + words[i:i + len(combined)]
     combined = mix(combined)
     n = np.where(long, counts - width + 1, (counts > 0).astype(np.int64))
     out_at = np.concatenate(([0], np.cumsum(n)))
