@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, packing, sharding, token_counts, topk
+from . import bpe, fingerprints, language, packing, pseudonyms, sharding, token_counts, topk
 from .tables import read
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+PSEUDONYM_KEY = "public example key"  # a parameter: whoever runs this on real data brings their own
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with its personal data replaced by format-preserving pseudonyms."""
+    return pseudonyms.pseudonymize(read(spark, sf_dir, "documents"), PSEUDONYM_KEY).select(
+        "doc_id", "text", "n_values")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text and its edited text as bottom-k sketches."""
     marks = fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
@@ -21,6 +30,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by the byte network."""
+    documents = read(spark, sf_dir, "documents")
+    model = language.fit(documents)
+    return language.predict(documents.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, by distinct pre-tokens."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -56,7 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_fingerprints, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
+    op2_pseudonyms, op3_fingerprints, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
 SQL: dict[str, str] = {
     "op7_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q
