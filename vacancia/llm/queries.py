@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, language, packing, pseudonyms, sharding, token_counts, topk
+from . import bpe, fingerprints, language, near, packing, pseudonyms, sharding, token_counts, topk
 from .tables import read
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of equal texts, its links and its group."""
+    return near.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text by the byte network."""
     documents = read(spark, sf_dir, "documents")
@@ -73,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pseudonyms, op3_fingerprints, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
+    op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
 SQL: dict[str, str] = {
     "op7_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q
