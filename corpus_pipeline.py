@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacancia.llm import packing
-from vacancia.llm.tables import read
+from vacancia.llm import language, near, packing, pseudonyms
+from vacancia.llm.queries import BYTE_VOCABULARY, PSEUDONYM_KEY
+from vacancia.llm.tables import fresh, read
 from vacancia.sources.workspace import new_path
 
+# Below this score the network is about as sure as a guess among four languages.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the network knows; those without letters or any likeness go."""
+    label, score = fresh(docs.columns, "lang_pred", "score")
+    seen = language.predict(docs, language.fit(docs), label=label, score=score)
+    return seen.where((F.col(label) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(label, score)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest doc_id."""
+    return near.keep_one(docs)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by format-preserving pseudonyms; n_chars follows the text."""
+    hidden = pseudonyms.pseudonymize(docs, PSEUDONYM_KEY, count_col=None)
+    if "n_chars" not in docs.columns:
+        return hidden
+    return hidden.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text"))
+                             .cast(docs.schema["n_chars"].dataType))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Everything kept, packed into windows of 2048 tokens."""
-    return packing.pack(docs, "byte_bpe_50k.json", end_id=1)
+    return packing.pack(docs, BYTE_VOCABULARY, end_id=1)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language ID", identify_language), ("n-gram Jaccard join", drop_near_duplicates),
+          ("PII", hide_personal_data), ("packing", pack)]
 ORACLE_SQL = None
 
 
