@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, language, near, packing, pseudonyms, sharding, token_counts, topk
+from . import bpe, fingerprints, language, licenses, near, packing, pseudonyms, sharding, token_counts, topk
 from .tables import read
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every whole text."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 PSEUDONYM_KEY = "public example key"  # a parameter: whoever runs this on real data brings their own
 
 
@@ -78,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
+    op1_licenses, op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
 SQL: dict[str, str] = {
     "op7_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q
