@@ -16,9 +16,10 @@ from array import array
 from functools import lru_cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from .pretokens import Known, Pretokenizer
+from .pretokens import BYTE_LETTERS, Known, Pretokenizer
 from .tables import cut, gapless, vocabulary_file
 from .bpe import encoded
 from .words import slices
@@ -87,13 +88,31 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple]:
 
 @lru_cache(maxsize=1)
 def library_ids(vocabulary: str) -> tuple[Pretokenizer, Known]:
-    """Ids of pre-tokens by the library, kept by the worker process for later tasks."""
+    """Ids of pre-tokens by a library, kept by the worker process for later tasks.
+
+    A byte-level vocabulary whose ids are its merge order is the same as ranks
+    of byte strings, which tiktoken works off faster; any other file goes to
+    the model of its own library.
+    """
     cutter = Pretokenizer(vocabulary_file(vocabulary))
     model = cutter.library.model
-
-    def learn(words):
-        return [cutter.special[w].to_bytes(4, "little") if w in cutter.special
-                else array("I", [t.id for t in model.tokenize(cutter.letters(w))]).tobytes()
+    byte_of = {c: b for b, c in enumerate(BYTE_LETTERS)}
+    ranks = {t: i for t, i in cutter.ids.items() if t not in cutter.special}
+    merged = [cutter.ids[a + b] for a, b in cutter.merges]
+    if not cutter.word_end and merged == list(range(256, 256 + len(merged))):
+        piece = tiktoken.Encoding(
+            vocabulary, pat_str="(?!)", special_tokens={}, mergeable_ranks={
+                bytes(map(byte_of.__getitem__, t)): i for t, i in ranks.items()})._encode_single_piece
+
+        def ids(word: str) -> list[int]:
+            return piece(word.encode("utf-8") if word[0] != "\0" or len(word) < 2
+                         else bytes(map(byte_of.__getitem__, word[1:])))
+    else:
+        def ids(word: str) -> list[int]:
+            return [t.id for t in model.tokenize(cutter.letters(word))]
+
+    def learn(words: list[str]) -> list[bytes]:
+        return [array("I", [cutter.special[w]] if w in cutter.special else ids(w)).tobytes()
                 for w in words]
     return cutter, Known(learn)
 

@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 
 # Characters on which Python and the library agree about letters, digits, white space and case.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
-_UNCOMMON = re.compile(f"[^\\t\\n\\r -~¡-įı-ſ]|[²³¹¼½¾]")
+_FAR = re.compile("[^\0-ſ]")
+_ODD = re.compile("[\0-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\xa0²³¹¼½¾İ]")
 _ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 _WORDS = re.compile(f"[{_LETTERS}]+|[0-9]|{_ENDINGS}|[^\\s{_LETTERS}0-9]+")
 _SPACED = re.compile(f" ?[{_LETTERS}]+|{_ENDINGS}| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
@@ -61,7 +62,7 @@ class Pretokenizer:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if _UNCOMMON.search(text):
+        if _FAR.search(text) or _ODD.search(text):
             if self.library.normalizer is not None:
                 text = self.library.normalizer.normalize_str(text)
             # In byte letters, marked, as the text itself is not known here.
