@@ -174,7 +174,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id",
         cutter, known = known_ids(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in slices(texts, 8 << 20):
+            for part in slices(texts, 4 << 20):
                 ids = encoded(texts[part], cutter, known)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.start, part.stop - part.start),
