@@ -1,0 +1,539 @@
+"""The training text operators against brute force, on small tables and odd rows."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.compare import connect, difference
+from vacancia.llm import (bpe, fingerprints, language, licenses, near, packing, pseudonyms, queries, sharding,
+                          token_counts, topk, words)
+from vacancia.llm.pretokens import Pretokenizer
+from vacancia.llm.tables import cut, gapless, read, vocabulary_file
+
+from .conftest import ODD
+
+SF = "/root/testdata/sf0.001"
+BYTES, WORDS = queries.BYTE_VOCABULARY, queries.WORD_VOCABULARY
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r.doc_id, r.text) for r in read(spark, SF, "documents").orderBy("doc_id").collect()]
+
+
+def shingles_of(text):
+    return set(words.shingle_sets([text])[0].tolist())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+# words
+
+def test_words_are_runs_of_letters_and_digits():
+    hashes, at = words.word_hashes(["Ab c-d", None, "", "ab É é", "!!"])
+    assert np.diff(at).tolist() == [3, 0, 0, 3, 0]
+    assert hashes[0] == hashes[3] and hashes[4] == hashes[5] and len(set(hashes.tolist())) == 4
+
+
+def test_shingles_equal_a_plain_loop():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    sets = words.shingle_sets(texts)
+    plain = []
+    for t in texts:
+        w = t.split()
+        plain.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    for i in range(0, 200, 2):
+        for j in range(1, 200, 7):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
+
+
+# op1
+
+def test_patience_alignment():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [rng.randint(0, 9) for _ in range(rng.randint(0, 14))]
+        b = [rng.randint(0, 9) for _ in range(rng.randint(0, 14))]
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        lcs = len(licenses.common_subsequence(a, b))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert lcs == best[-1][-1] and len(pairs) <= lcs
+    for _ in range(100):  # words unique on both sides: the longest increasing run
+        a, b = rng.sample(range(20), 12), rng.sample(range(20), 12)
+        assert len(licenses.align(a, b)) == len(licenses.common_subsequence(a, b))
+
+
+def test_license_scan_finds_what_a_full_search_finds(spark, documents):
+    lines = {"GPL-3.0": "licensed under the GNU General Public License, version 3", "MIT": "Released under the MIT",
+             "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0", "Apache-2.0": "Licensed under the Apache License, Version 2"}
+    got = {r.doc_id: r for r in queries.op1_licenses(spark, SF).collect()}
+    assert len(got) == len(documents)
+    for i, t in documents:
+        assert {k for k, line in lines.items() if line in t} == set(got[i].licenses) & set(lines)
+        if got[i].license_id:
+            assert got[i].start_char < got[i].end_char <= len(t)
+
+
+def test_license_scan_on_odd_rows(odd, none):
+    got = licenses.scan(odd).collect()
+    assert sorted((str(r.doc_id), r.license_id) for r in got) == sorted(
+        (str(i), "MIT" if i == 11 else None) for i, _ in ODD)
+    assert licenses.scan(none).count() == 0
+    twice = [("a", "x Released under the MIT License y " * 3), ("b", "Released by us under The MIT licence"),
+             ("c", "license " * 5000)]
+    got = {r.k: r for r in licenses.scan(odd.sparkSession.createDataFrame(twice, "k string, text string"), "k").collect()}
+    assert (got["a"].n_passages, got["a"].start_char, got["a"].coverage) == (3, 2, 1.0)
+    assert got["b"].coverage == 0.8 and got["c"].license_id is None
+
+
+# op2
+
+PATTERNS = {"card": ["4111111111111111", "4111 1111 1111 1111", "378282246310005"],
+            "phone": ["+1 (988) 555-2485", "415-555-2671"], "social": ["123-45-6789", "899-99-9999"],
+            "address": ["10.0.0.1", "255.255.255.255"], "date": ["2024-02-29", "31.12.1999", "01/31/2000"]}
+
+
+def test_pseudonyms_keep_the_format_and_can_be_undone(spark):
+    values = [v for vs in PATTERNS.values() for v in vs]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    got = rows.select("v", pseudonyms.pseudonym(F.col("v"), "k").alias("p")).select(
+        "v", "p", pseudonyms.pseudonym(F.col("p"), "k", back=True).alias("back"),
+        pseudonyms.pseudonym(F.col("v"), "other").alias("q"),
+        (pseudonyms.luhn_sum(F.regexp_replace("p", "[^0-9]", "")) % 10).alias("luhn")).collect()
+    shape = str.maketrans("0123456789", "9999999999")
+    for r in got:
+        assert r.back == r.v != r.p != r.q
+        if r.v not in PATTERNS["address"]:
+            assert r.p.translate(shape) == r.v.translate(shape)
+        if r.v in PATTERNS["card"]:
+            assert r.luhn == 0 and r.p[0] == r.v[0]
+
+
+def test_feistel_is_the_published_network(spark):
+    """Against a plain loop, and one to one on a whole domain."""
+    def plain(left, right, a, b):
+        for i in range(pseudonyms.ROUNDS):
+            other, n = (right, a) if i % 2 == 0 else (left, b)
+            noise = int(hashlib.sha256(f"k:t:{a}:{b}:{i}:{other}".encode()).hexdigest()[:15], 16) % n
+            if i % 2 == 0:
+                left = (left + noise) % n
+            else:
+                right = (right + noise) % n
+        return left, right
+    rows = spark.range(12 * 7).select((F.col("id") % 12).alias("x"), F.floor(F.col("id") / 12).alias("y"))
+    got = rows.select("x", "y", pseudonyms.feistel(F.col("x"), F.col("y"), F.lit(12), F.lit(7), "t", "k").alias("p")).collect()
+    assert len({(r.p.left, r.p.right) for r in got}) == 84
+    assert all((r.p.left, r.p.right) == plain(r.x, r.y, 12, 7) for r in got)
+
+
+def test_dates_are_permuted_one_to_one(spark):
+    days = spark.range(0, 20000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"),
+                                                                   F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    assert days.select(pseudonyms.pseudonym(F.col("d"), "k").alias("p")).distinct().count() == 20000
+
+
+def test_pseudonyms_leave_the_rest_alone(spark, odd, none):
+    texts = ["v 1.2.3 and 4.0.", "1234567890123456", "2024-02-30", "000-12-3456", "999.1.1.1", "plain", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.text for r in pseudonyms.pseudonymize(rows, "k").collect()] == texts
+    joined = spark.createDataFrame([("a 4111111111111111 5500005555555559, x.y@z.org; token = \"" + "0a" * 20 + "\"",)],
+                                   "text string")
+    text = pseudonyms.pseudonymize(joined, "k").first().text
+    assert not any(v in text for v in ("4111111111111111", "5500005555555559", "x.y@z.org", "0a0a0a"))
+    assert text.startswith("a 4") and "@z.org; token = \"" in text
+    got = pseudonyms.pseudonymize(odd, "k")
+    assert got.columns == [*odd.columns, "n_values"] and got.count() == len(ODD)
+    assert pseudonyms.pseudonymize(none, "k").count() == 0
+    plan = queries.op2_pseudonyms(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# op3
+
+def test_fingerprints_estimate_the_true_likeness(spark, documents):
+    got = {r.doc_id: r for r in queries.op3_fingerprints(spark, SF).collect()}
+    off = []
+    for (i, t), (_, following) in zip(documents, documents[1:] + documents[:1]):
+        half = len(t) // 2
+        changed = t[:len(t) - half] + following[:half]
+        assert got[i].n_chars == len(t)
+        assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        sets = [shingles_of(x) for x in (t, changed, following)]
+        off += [abs(got[i].near_edited - jaccard(sets[0], sets[1])), abs(got[i].near_next - jaccard(sets[0], sets[2]))]
+    assert len(got) == len(documents) and max(off) < 0.15 and np.mean(off) < 0.02
+
+
+def test_ranges_do_not_change_the_successors(spark, documents):
+    rows = read(spark, SF, "documents").repartition(5)
+    for size in (7, 1000):
+        runs = fingerprints.with_next(rows, "doc_id", "text", rows_per_range=size).collect()
+        by = defaultdict(list)
+        for r in runs:
+            by[r.range].append((r.helper, r.id))
+        following = {}
+        for run in by.values():
+            run.sort()
+            following |= {a[1]: b[1] for a, b in zip(run, run[1:]) if not a[0]}
+        ids = [i for i, _ in documents]
+        assert following == dict(zip(ids, ids[1:] + ids[:1]))
+
+
+def test_sketches_merge_and_compare(spark):
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    b = np.unique(np.concatenate((a[::2], rng.integers(0, 1 << 63, 2500).astype(np.uint64))))
+    x, y = a[:256], b[:256]
+    assert abs(fingerprints.resemblance(x, y) - 1 / 3) < 0.12
+    assert abs(fingerprints.containment(x, y) - 0.5) < 0.15
+    rows = spark.createDataFrame([("p", fingerprints.to_bytes(x)), ("p", fingerprints.to_bytes(y)), ("q", None),
+                                  ("p", fingerprints.to_bytes(x)), (None, b"")], "k string, sketch binary")
+    merged = {r.k: bytes(r.sketch) for r in fingerprints.merge(rows, ["k"]).collect()}
+    assert merged == {"p": fingerprints.to_bytes(np.union1d(a, b)[:256]), "q": b"", None: b""}
+    both = rows.withColumn("other", F.col("sketch"))
+    assert all(r.resemblance == 1.0 == r.a_in_b for r in fingerprints.compare(both, "sketch", "other").collect())
+
+
+def test_fingerprints_on_odd_rows(odd, none):
+    got = fingerprints.fingerprint_edits(odd).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert len({bytes(r.sketch) for r in got if r.doc_id in (6, 7)}) == 1
+    assert fingerprints.fingerprint_edits(none).count() == 0 and fingerprints.fingerprint(none).count() == 0
+    one = odd.where("doc_id = 5")
+    assert fingerprints.fingerprint_edits(one).first().near_next == 1.0
+    assert fingerprints.fingerprint(odd).count() == len(ODD)
+
+
+# op4
+
+def brute_links(texts, threshold=0.8):
+    names = sorted(set(texts))
+    sets = [shingles_of(t) for t in names]
+    links = {n: set() for n in names}
+    for x in range(len(names)):
+        for y in range(x):
+            if sets[x] and sets[y] and jaccard(sets[x], sets[y]) >= threshold:
+                links[names[x]].add(names[y])
+                links[names[y]].add(names[x])
+    return links
+
+
+def group_of(links, start):
+    seen, todo = {start}, [start]
+    while todo:
+        for t in links[todo.pop()]:
+            if t not in seen:
+                seen.add(t)
+                todo.append(t)
+    return seen
+
+
+def test_join_finds_all_links(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(20, 80))]
+        for _ in range(rng.randint(1, 9)):
+            changed = list(base)
+            for _ in range(rng.randint(0, 2)):
+                changed[rng.randrange(len(changed))] = f"n{rng.random()}"
+            texts.append(" ".join(changed))
+    texts += rng.sample(texts, 20)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    links = brute_links(texts)
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(t, i)
+    got = {r.doc_id: r for r in near.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    missed = 0
+    for i, t in rows:
+        assert got[i].class_id == first[t] and got[i].copies == texts.count(t)
+        assert got[i].links <= len(links[t])
+        missed += len(links[t]) - got[i].links
+        assert got[i].group_id == min(first[x] for x in group_of(links, t))
+    assert missed <= 2  # the forest's target recall
+
+
+def test_a_large_group_is_split_into_blocks(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:i % 30], f"x{i}", *base[i % 30:]]) for i in range(700)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = brute_links(texts)
+    got = near.near_duplicates(rows).collect()
+    assert {r.group_id for r in got} == {0}
+    assert all(abs(r.links - len(links[texts[r.doc_id]])) <= 2 for r in got)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)] + [("s", f"t{i}") for i in range(100)] + [("z", "z")]
+    got = near.components(spark.createDataFrame(edges, "a string, b string")).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.root for r in got if r.node[0] == "c"} == {"c000"} and {r.root for r in got if r.node[0] in "st"} == {"s"}
+    assert near.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_join_on_odd_rows(odd, none):
+    got = near.near_duplicates(odd).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert by[6].copies == by[7].copies == 3 and by[7].class_id == 6 and by[6].links == 0
+    assert by[1].class_id == by[2].class_id == 1 and by[1].copies == 3  # null and empty texts
+    kept = near.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
+        ["None", "1", "3", "4", "5", "6", "8", "9", "10", "11", "12"])
+    assert near.near_duplicates(none).count() == 0 and near.keep_one(none).count() == 0
+
+
+def test_prefixes_are_as_long_as_the_recall_allows():
+    for t in (0.5, 0.8, 0.95):
+        d = near.prefix_length(t)
+        assert d == 1 or 1 - (1 - t ** d) ** near.TREES >= near.RECALL
+        assert d == near.DEPTH or 1 - (1 - t ** (d + 1)) ** near.TREES < near.RECALL
+
+
+# op5
+
+def test_language_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in read(spark, sf, "documents").collect()}
+    got = queries.op5_language(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(truth) and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_network_gradients_and_tables_agree():
+    model = language.ByteNetwork(["a", "b"], filters=3)
+    x, _, n = language.windows(["ab cd " * 100, "", "é"])
+    assert n.tolist() == [3, 1, 1] and x.shape == (5, language.WINDOW + 3)
+    model.prepare()
+    assert np.allclose(model.responses(x), model._by_byte(x), atol=1e-5)
+
+
+def test_language_on_odd_rows(spark, odd, none):
+    rows = spark.createDataFrame([(i, "aaa bbb " * 40, "x") for i in range(40)]
+                                 + [(i + 40, "ccc ddd " * 40, "y") for i in range(40)], "doc_id long, text string, lang string")
+    model = language.fit(rows)
+    assert model.labels == ["x", "y"]
+    got = language.predict(odd, model).collect()
+    assert len(got) == len(ODD) and got[0].__fields__[-2:] == ["lang_pred", "score"]
+    assert {r.lang_pred for r in got if r.text is None or not any(map(str.isalpha, r.text))} == {"und"}
+    assert language.fit(rows.withColumn("lang", F.lit(None).cast("string"))) is None
+    assert {r.lang_pred for r in language.predict(odd, None).collect()} == {"und"}
+    assert language.predict(none, model).count() == 0 and language.fit(rows.limit(0)) is None
+
+
+# op6, op8, op9
+
+def library_ids(name, text):
+    return Pretokenizer(vocabulary_file(name)).library.encode(text or "", add_special_tokens=False).ids
+
+
+def strange_texts(n=400):
+    rng = random.Random(2)
+    letters = "ab cd'ést  \n12!?²½Ωσς日́​İıſ<|>_\x0b\x85\x1d\t\r"
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(n)] + [
+        "a<|endoftext|>B <|startoftext|>c", "don't IT'S we'LL", "aaaaaaaaaaaaa aaaa aa"]
+
+
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_tokens_equal_the_library(name):
+    cutter = Pretokenizer(vocabulary_file(name))
+    known = bpe.Known(bpe.PairIndexEncoder(cutter).encode, limit=300)
+    counts = bpe.Known(token_counts.piece_counter(cutter))
+    decode = bpe.Decoder(cutter)
+    for t in strange_texts():
+        ids = cutter.library.encode(t, add_special_tokens=False).ids
+        got = bpe.encoded([t], cutter, known)[0]
+        assert np.frombuffer(got, "<u4").tolist() == ids, repr(t)
+        assert decode(got) == cutter.library.decode(ids, skip_special_tokens=False)
+        assert sum(next(iter(counts.lookup([cutter(t)])))) == len(ids)
+
+
+def test_ranks_equal_the_library():
+    cutter, known = packing.library_ids(BYTES)
+    for t in strange_texts():
+        assert np.frombuffer(bpe.encoded([t], cutter, known)[0], "<u4").tolist() == library_ids(BYTES, t)
+
+
+def test_token_queries_equal_the_library(spark, documents):
+    counts = {r.doc_id: r for r in queries.op6_token_counts(spark, SF).collect()}
+    encoded = {r.doc_id: r for r in queries.op8_bpe(spark, SF).collect()}
+    tokenizer = Pretokenizer(vocabulary_file(WORDS)).library
+    for i, t in documents:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len(t.encode()), len(ids), len(ids) > 2048)
+        assert encoded[i].n_tokens == len(ids)
+        assert encoded[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert encoded[i].decoded_sha256 == hashlib.sha256(
+            tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_token_operators_on_odd_rows(odd, none):
+    want = Counter((i, len(library_ids(WORDS, t))) for i, t in ODD)
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(odd, WORDS).collect()) == want
+    both = bpe.decode(bpe.encode(odd, WORDS), WORDS)
+    assert Counter((r.doc_id, r.n_tokens) for r in both.collect()) == want
+    assert token_counts.count_tokens(none, WORDS).count() == 0
+    assert bpe.decode(bpe.encode(none, WORDS), WORDS).count() == 0
+    nothing = odd.sparkSession.createDataFrame([(None,)], "token_ids binary")
+    assert bpe.decode(nothing, WORDS).first().decoded is None
+
+
+def check_packing(rows, ids_of):
+    """ids_of: (doc_id, text) pairs; every id once, windows gapless and full."""
+    windows = defaultdict(list)
+    docs = defaultdict(list)
+    for r in rows:
+        windows[r.sequence_id].append((r.offset, r.length))
+        docs[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+    want = defaultdict(list)
+    for i, t in ids_of:
+        ids = np.array([*library_ids(BYTES, t), 1], "<u4")
+        want[i] += [(s, len(ids[s:s + 2048]), zlib.crc32(ids[s:s + 2048].tobytes()), len(ids))
+                    for s in range(0, len(ids), 2048)]
+    assert {k: sorted(v) for k, v in docs.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sorted(windows) == list(range(len(windows)))
+    return sum(r.length for r in rows) / (len(windows) * packing.WINDOW)
+
+
+def test_packing_covers_every_id_once(spark, documents):
+    assert check_packing(queries.op9_packing(spark, SF).collect(), documents) > 0.98
+
+
+def test_packing_on_odd_rows(odd, none):
+    check_packing(packing.pack(odd).collect(), ODD)
+    assert packing.pack(none).count() == 0
+
+
+def test_fills_are_the_best():
+    rng = random.Random(4)
+    for _ in range(200):
+        counts = {rng.randint(1, 40): rng.randint(1, 4) for _ in range(rng.randint(0, 6))}
+        capacity = rng.randint(0, 90)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        fill = packing.best_fill(counts, capacity)
+        assert all(m <= counts[n] for n, m in fill.items())
+        assert sum(n * m for n, m in fill.items()) == max(s for s in sums if s <= capacity)
+
+
+def test_plan_covers_each_number_once():
+    rng = random.Random(6)
+    counts = {rng.randint(1, 2048): rng.randint(1, 5000) for _ in range(400)}
+    rows = packing.plan(counts)
+    per = defaultdict(list)
+    for n, first, last, m, _, _ in rows:
+        assert (last - first + 1) % m == 0
+        per[n].append((first, last))
+    for n, spans in per.items():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == counts[n] - 1
+        assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+
+
+# op7
+
+def test_top_k_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert difference(queries.op7_top_k(spark, sf), connect(sf), queries.SQL["op7_top_k"]) is None
+
+
+def test_top_k_with_ties_and_odd_vectors(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)]) for i in range(900)]
+    rows += [(1000, None), (1100, [1.0, None]), (1200, [math.nan] * 6), (1300, [math.inf] * 6), (None, [1.0] * 6),
+             (1400, []), (1500, [1e30, 1.0]), (0, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = [tuple(r) for r in topk.top_k(frame, k=5).collect()]
+
+    def whole(v):
+        return [max(-topk.LIMIT, min(topk.LIMIT, math.floor(1024 * max(-1e12, min(1e12, x))))) for x in v]
+    good = [(n, i, whole(v)) for n, (i, v) in enumerate(rows)
+            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, i, q in good:
+        if i is not None and i % 100 == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(q, v)), -1 if j is None else j, j) for m, j, v in good if m != n))
+            want += [(i, r + 1, j, -s) for r, (s, _, j) in enumerate(scores[:5])]
+    key = lambda r: (r[0], r[1], r[3], str(r[2]))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert topk.top_k(frame.limit(0)).count() == 0
+    assert topk.top_k(frame.where("vec_id = 100")).count() == 0
+
+
+def test_bounds_are_above_all_scores():
+    rng = np.random.default_rng(1)
+    q, v = rng.integers(-900, 900, (20, 8)), rng.integers(-900, 900, (50, 8))
+    reach = topk.bounds(q, v.max(axis=0, keepdims=True), v.min(axis=0, keepdims=True))
+    assert (reach[:, 0] >= topk.products(q, v).max(axis=1)).all()
+
+
+# op10
+
+def jump(key, n):
+    """The published algorithm."""
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding_is_jump_hashing(spark, documents):
+    got = {r.doc_id: r for r in queries.op10_sharding(spark, SF).collect()}
+    slots = defaultdict(set)
+    for i, t in documents:
+        r, key = got[i], int(hashlib.md5(str(i).encode()).hexdigest()[:16], 16)
+        assert (r.size, r.text_crc32, r.law) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "key")
+        assert (r.shard, r.grown_shard) == (jump(key, 16), jump(key, 17))
+        assert r.grown_shard in (r.shard, 16)
+        slots[r.shard].add(r.slot)
+    assert len(got) == len(documents) and all(s == set(range(len(s))) for s in slots.values())
+    plan = sharding.shard(read(spark, SF, "documents").select("doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sharding_on_odd_rows(odd, none):
+    got = sharding.shard(odd, 3).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == len(ODD) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 1
+    assert sharding.shard(none).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard(odd, 0)
+
+
+def test_gapless_numbers_over_many_tasks(spark):
+    rows = cut(spark.range(5000).select((F.col("id") % 3).alias("g"), "id").repartition(17))
+    got = gapless(rows, ["g"], "n").groupBy("g").agg(F.min("n").alias("a"), F.max("n").alias("b"),
+                                                     F.countDistinct("n").alias("c")).collect()
+    assert all((r.a, r.b, r.c) == (0, r.c - 1, r.c) for r in got) and sum(r.c for r in got) == 5000

@@ -135,7 +135,7 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-        texts_per_label: int = 400, crops_per_text: int = 6) -> ByteNetwork | None:
+        texts_per_label: int = 1000, crops_per_text: int = 4) -> ByteNetwork | None:
     """Train on at most `texts_per_label` texts of each label, `crops_per_text` crops of each.
 
     The texts are those of the smallest id hashes among the rows with text and

@@ -9,13 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from vacancia.sources.workspace import shared_folder
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder. Workers started from here on find this library beside the driver's copy."""
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers started from here on find this library beside the driver's copy.
+
+    On machines without that folder it has to be installed or sent along (--py-files).
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -47,7 +47,7 @@ def _matrix(rows: list) -> np.ndarray:
 
 
 def _unpack(data: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(data, dtype="<i8").reshape(rows, -1)
+    return np.frombuffer(data, dtype="<i8").reshape(rows, len(data) // 8 // rows)
 
 
 def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,8 +240,8 @@ def _scorer(k: int):
 
 
 def _emit(key, best: dict, k: int):
-    if best:
-        out = [(key[0], p, i, s) for p, found in best.items() for s, i in found]
+    out = [(key[0], p, i, s) for p, found in best.items() for s, i in found]
+    if out:
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in zip(*out)], ["no", "place", "vec_id", "score"])
 
