@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacancia.functions import fixed_values as V
 from vacancia.plans.enrich import enrich
-from vacancia.sources.readers import path_exists, spread
+from vacancia.sources.readers import path_exists
 from vacancia.sources.workspace import new_path
 from vacancia.sources.writers import write_table
 
@@ -91,16 +91,12 @@ def jobs(spark: SparkSession, sf: str, text: bool = False, link: bool = False) -
         docs = table(spark, sf, "documents")
         size = docs.agg(F.count("*")).scalar()
         plain = docs.select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-        # A document goes to several postings, so the join is larger than its
-        # inputs: keep one task per core instead of sizing tasks by the inputs.
-        tasks = spark.sparkContext.defaultParallelism
-        rows = (rows.withColumn("_doc", F.col("o_orderkey") % size).repartition(tasks, "_doc")
+        rows = (rows.withColumn("_doc", F.col("o_orderkey") % size)
                 .join(plain.hint("merge"), F.col("_doc") == F.col("doc_id")))
         columns["description"] = _TEXT
     if link:
         pages = table(spark, sf, "pages")
         size = pages.agg(F.count("*")).scalar()
-        rows = spread(rows) if not text else rows
         rows = rows.withColumn("_page", F.col("o_orderkey") % size).join(
             pages.select("page_id", "url"), F.col("_page") == F.col("page_id"))
         columns["job_url"] = _LINK

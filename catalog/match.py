@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from vacancia.operators import matching
 from vacancia.plans.enrich import add_skills
-from vacancia.sources.readers import spread
 
 from .jobs import (SILVER, STRICT, YEARS, case, jobs, on_jobs, on_silver, silver, skill_list, table)
 
@@ -45,7 +44,7 @@ _DOCS = "docs as (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as text
 
 def _candidates(spark, sf):
     plain = F.regexp_replace("text", "[^ -~]", "").alias("text")
-    people = spread(table(spark, sf, "documents")).select("doc_id", plain).select(
+    people = table(spark, sf, "documents").select("doc_id", plain).select(
         "doc_id", F.expr(_ABOUT).alias("about"))
     return matching.candidate_profiles(people, "about", "doc_id")
 
@@ -121,11 +120,20 @@ def _(spark, sf):
     return matching.skill_gap(_mine(spark, sf))
 
 
-_PAIRS = f"""with {_SKILLED}, {_PEOPLE}, batch as (select * from skilled
- order by md5(concat('42-', cast(seq as varchar))), seq limit 10),
-pairs as (select candidate_id, seq, title,
+# Profiles are scored instead of rows, as in the operator: the same result, small enough for one machine.
+_PAIRS = f"""with {_SKILLED}, {_PEOPLE},
+persons as (select distinct technical_skills, years_experience, education from candidates),
+firsts as (select seq, title, company, location, average_salary, skills, years_experience_required,
+  education_level, is_remote, state from skilled qualify row_number() over (partition by skills,
+  years_experience_required, education_level, is_remote, state order by seq) <= 5),
+scored as (select persons.*, seq, title, company, location, round(average_salary, 4) as average_salary,
  {_score('technical_skills', 'years_experience', 'education', "cast(null as varchar)")}
- from candidates cross join batch)"""
+ from persons join firsts on list_has_any(skills, technical_skills)),
+best as (select * from scored qualify row_number() over (partition by technical_skills, years_experience, education
+ order by match_percentage desc, seq) <= 5),
+pairs as (select candidate_id, b.* exclude (technical_skills, years_experience, education)
+ from candidates c join best b on c.technical_skills = b.technical_skills
+ and c.years_experience is not distinct from b.years_experience and c.education is not distinct from b.education)"""
 
 
 def _pairs(spark, sf):
@@ -134,10 +142,10 @@ def _pairs(spark, sf):
 
 @case("J7_match_candidates", f"{_PAIRS} select * from pairs")
 def _(spark, sf):
-    return _texts(_pairs(spark, sf).drop("company"))
+    return _texts(_pairs(spark, sf).withColumn("average_salary", F.round("average_salary", 4)))
 
 
 @case("O3_best_matches", f"""{_PAIRS} select candidate_id, seq, match_percentage from pairs
- qualify row_number() over (partition by candidate_id order by match_percentage desc, seq) <= 5""")
+ qualify row_number() over (partition by candidate_id order by match_percentage desc, seq) <= 3""")
 def _(spark, sf):
-    return matching.best_matches(_pairs(spark, sf)).select("candidate_id", "seq", "match_percentage")
+    return matching.best_matches(_pairs(spark, sf), 3).select("candidate_id", "seq", "match_percentage")

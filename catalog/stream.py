@@ -7,23 +7,31 @@ from pyspark.sql import functions as F
 from vacancia.sources.workspace import new_path
 from vacancia.streaming import jobs as S
 
-from .ingest import _FEED_COLUMNS, _FEEDS, _COMPOSITE, _first, _sides
+from .ingest import _BARE, _FEED_COLUMNS, _FEEDS, _COMPOSITE, _first, _sides
 from .jobs import case, table
 
 
 @case("X1_incremental_ingest", f"""{_FEEDS}, {_first('id', 'normed', 'by_id')},
  {_first(_COMPOSITE, 'by_id', 'merged')} select {', '.join(_FEED_COLUMNS)} from merged""")
 def _(spark, sf):
-    # Two arrivals, one file set each: the old postings, then the new ones.
+    return _arrivals(spark, *_sides(spark, sf))
+
+
+def _arrivals(spark, old, new):
+    """Two arrivals of as many files as the rows come in, each one batch: the old postings, then the new ones."""
     inbox, out, marks = (new_path(spark, n) for n in ("inbox", "postings", "marks"))
-    old, new = _sides(spark, sf)
     for part in (old, new):
-        part.coalesce(1).write.mode("append").parquet(inbox)
-        stream = S.read_stream(spark, inbox, old.schema)
+        part.write.mode("append").parquet(inbox)
+        stream = S.read_stream(spark, inbox, old.schema, files_per_trigger=10_000)
         S.incremental_ingest(stream, out, marks).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 
+@case("X1_ingest_without_ids", f"{_BARE} select {', '.join(_FEED_COLUMNS)} from merged")
+def _(spark, sf):
+    return _arrivals(spark, *[side.withColumn("id", F.lit(None).cast("string")) for side in _sides(spark, sf)])
+
+
 @case("X2_streaming_dedupe", """select event_id, user_id, event_type from events""")
 def _(spark, sf):
     # Every event arrives twice; the copy is within the delay and is dropped.

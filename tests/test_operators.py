@@ -108,6 +108,24 @@ def test_merge_without_any_id_keeps_rows_apart(feed):
     assert rows(merge.merge_new(bare, bare.limit(0)), "seq") == sorted((r.seq,) for r in merged)
 
 
+@pytest.mark.parametrize("null_keys", ["collapse", "keep"])
+def test_fresh_rows_without_ids(feed, null_keys):
+    """No id at all, no id column, and ids on one side only."""
+    def agree(old, new):
+        clean = merge.merge_new(old, old.limit(0), null_keys=null_keys)
+        added = merge.merge_new(clean, new, null_keys=null_keys).where("seq >= 10000")
+        got = merge.fresh_rows(clean, new, null_keys=null_keys)
+        assert got.columns == new.columns and rows(got, "seq") == rows(added, "seq") != []
+        assert merge.merge_report(old, new).first().total_before == old.count() + new.count()
+
+    old = feed.where("seq < 500")
+    new = feed.where("seq >= 450").withColumn("seq", F.col("seq") + 10000)
+    bare = [x.withColumn("id", F.lit(None).cast("string")) for x in (old, new)]
+    agree(*bare)
+    agree(old.drop("id"), new.drop("id"))
+    agree(old, bare[1])
+
+
 def test_missing_sources(spark):
     expected = spark.createDataFrame([("a", "x"), ("b", "x")], "search_term string, search_location string")
     part = spark.createDataFrame([(1,)], "n int")
@@ -130,13 +148,13 @@ def test_backfill_pages_and_state(spark, feed, tmp_path):
     run = dict(page_size=20, strata=["company"], process=process)
     with pytest.raises(RuntimeError):
         ingest.run_backfill(spark, df, path, windows=3, **run)
-    assert ingest.load_state(spark, path) == ingest.BackfillState((0, 1), 2, 15)
-    ingest.run_backfill(spark, df, path, windows=20, **run)
+    assert ingest.load_state(spark, path) == ingest.BackfillState((0, 1), 2)
+    ingest.run_backfill(spark, df, path, **run)
     state = ingest.load_state(spark, path)
-    assert state.done and state.completed_windows == tuple(range(15))
     pages = [p for p in seen if p != "failed"]
+    assert state.done and state.completed_windows == tuple(range(len(pages))) and all(pages)
     assert sorted(s for p in pages for s in p) == list(range(900))
-    assert pages[-1] == []  # an empty page moves the state on as well
+    assert ingest.run_backfill(spark, df, path, **run) == state and len(seen) == len(pages) + 1
 
 
 def test_age_windows(spark):

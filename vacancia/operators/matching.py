@@ -99,27 +99,46 @@ def score_postings(postings: DataFrame, candidate: Candidate,
     return postings.withColumns(match_columns(candidate.columns(), _posting(), weights))
 
 
-def match_candidates(candidates: DataFrame, postings: DataFrame, sample: int = 10,
-                     seed: int = 42, key: str = "seq",
+_PROFILE = ["skills", "years_experience_required", "education_level", "is_remote", "state"]
+_PERSON = ["technical_skills", "years_experience", "education", "person_state"]
+
+
+def match_candidates(candidates: DataFrame, postings: DataFrame, k: int = 5, key: str = "seq",
                      weights: MatchWeights = MatchWeights()) -> DataFrame:
-    """Each candidate against the same sample of postings.
+    """The k best postings of each candidate among all that share a skill with them.
 
-    The sample (its size is the parameter) travels as one array inside the
-    plan, so candidates are scored where they are and nothing is shuffled.
+    A score depends only on a few fields, so both sides are reduced to distinct
+    profiles, which meet on an exploded skill; a profile keeps its k first
+    postings, since no other can be among the k best. Nothing is paired row by
+    row. Ties go to the smaller key. A candidate who shares no skill with any
+    posting gets no row.
     """
-    fields = [key, "title", "company", "skills", "years_experience_required",
-              "education_level", "is_remote", "state"]
-    picked = sample_rows(postings.select(*fields), sample, key, seed)
-    batch = picked.agg(F.collect_list(F.struct(*fields))).scalar()
-    pairs = candidates.withColumn("job", F.explode(batch))
+    shown = [c for c in ("title", "company", "location", "average_salary") if c in postings.columns]
+    people = candidates.withColumn(
+        "person_state", F.col("state") if "state" in candidates.columns else F.lit(None).cast("string"))
+    people = people.select("candidate_id", *_PERSON, _fingerprint(_PERSON).alias("person"))
+    jobs = postings.select(key, *shown, *_PROFILE, _fingerprint(_PROFILE).alias("profile"))
+    firsts = top_n_per_group(jobs, ["profile"], [F.col(key)], k).drop(*_PROFILE)
+
+    person_profiles = people.select("person", *_PERSON).dropDuplicates(["person"])
+    job_profiles = jobs.select("profile", *_PROFILE).dropDuplicates(["profile"])
+    meet = (person_profiles.select("person", F.explode(F.array_distinct("technical_skills")).alias("skill"))
+            .join(job_profiles.select("profile", F.explode(F.array_distinct("skills")).alias("skill")), "skill")
+            .select("person", "profile").distinct())
     candidate = {"skills": F.col("technical_skills"), "years": F.col("years_experience"),
-                 "degree": F.col("education"),
-                 "state": F.col("state") if "state" in candidates.columns
-                 else F.lit(None).cast("string")}
-    scored = pairs.withColumns(match_columns(candidate, _posting("job."), weights))
-    return scored.select("candidate_id", F.col(f"job.{key}").alias(key),
-                         F.col("job.title").alias("title"), F.col("job.company").alias("company"),
-                         "match_percentage", "matched_skills", "missing_skills")
+                 "degree": F.col("education"), "state": F.col("person_state")}
+    scored = (meet.join(person_profiles, "person").join(job_profiles, "profile")
+              .withColumns(match_columns(candidate, _posting(), weights))
+              .select("person", "profile", "match_percentage", "matched_skills", "missing_skills"))
+    best = top_n_per_group(scored.join(firsts, "profile"), ["person"],
+                           [F.col("match_percentage").desc(), F.col(key)], k)
+    return people.select("candidate_id", "person").join(best, "person").select(
+        "candidate_id", key, *shown, "match_percentage", "matched_skills", "missing_skills")
+
+
+def _fingerprint(columns) -> Column:
+    """The fields as one text; equal for equal profiles, nulls included."""
+    return F.to_json(F.struct(*columns))
 
 
 def best_matches(matches: DataFrame, k: int = 5, key: str = "seq") -> DataFrame:

@@ -16,14 +16,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_postings(spark: SparkSession, path: str, schema: StructType = RAW_POSTINGS,
-                  null_tokens=NULL_TOKENS) -> DataFrame:
+                    null_tokens=NULL_TOKENS, multi_line: bool = True) -> DataFrame:
     """CSV postings with a header, read by column name.
 
-    Fields may hold line breaks and quotes. The usual tokens for missing text
-    become null, and text that does not parse as its type becomes null. Any
-    path Spark can open works, an object store included (s3a://...).
+    Fields may hold quotes and, with `multi_line`, line breaks; without it a
+    large file is split over tasks. The usual tokens for missing text become
+    null as they stand, blanks around them are text; text that does not parse
+    as its type becomes null. Any path Spark can open works, an object store
+    included (s3a://...). Files of one folder must have the same columns; read
+    others one by one and union them (`union_all`).
     """
-    text = (spark.read.option("header", True).option("multiLine", True)
+    text = (spark.read.option("header", True).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').option("enforceSchema", False))
     names = text.option("inferSchema", False).csv(path).columns
     types = {f.name: f.dataType for f in schema}
@@ -31,9 +34,9 @@ def read_postings(spark: SparkSession, path: str, schema: StructType = RAW_POSTI
 
     def typed(name: str):
         value = F.col(f"`{name}`")
-        value = F.when(~F.trim(value).isin(*null_tokens), value)
+        value = F.when(~value.isin(*null_tokens), value)
         kind = types.get(name, StringType())
-        return value if kind == StringType() else value.try_cast(kind)
+        return value if kind == StringType() else F.trim(value).try_cast(kind)
 
     return raw.select(*[typed(n).alias(n) for n in names])
 
@@ -43,25 +46,15 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of a scan that has fewer parts than cores.
-
-    For costly work on few files. A scan of many files is returned as it is,
-    without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_first_available(spark: SparkSession, paths, schema: StructType = RAW_POSTINGS) -> DataFrame:
     """The first path that exists (CSV by its ending, else Parquet); with none,
-    an empty table of the schema."""
+    an empty table of the schema.
+
+    A store that cannot be reached is an error: taken for an empty one, the
+    next snapshot would lack all of its rows.
+    """
     for path in paths:
-        try:
-            found = path_exists(spark, path)
-        except Exception:  # a store that cannot be reached is passed over
-            continue
-        if found:
+        if path_exists(spark, path):
             return (read_postings(spark, path, schema) if path.rstrip("/").endswith(".csv")
                     else read_table(spark, path))
     return spark.createDataFrame([], schema)
