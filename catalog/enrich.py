@@ -10,8 +10,8 @@ from vacancia.operators import matching
 from vacancia.operators.model import fill_defaults, resolve_experience
 from vacancia.plans.enrich import add_pay, add_skills, lower_once
 
-from .jobs import (FACTOR, FLAGS, LAST, ROLE, SKILLS, STATE, STRICT, TIER, TYPE, YEARS, case, has,
-                   jobs, ladder, on_jobs, on_silver, quoted, silver, skill, skill_list, table,
+from .jobs import (DEFAULT, FACTOR, FLAGS, LAST, ROLE, SKILLS, STATE, STRICT, TIER, TYPE, YEARS, case,
+                   jobs, on_jobs, on_silver, silver, skill, skill_list, table,
                    title_years)
 
 
@@ -44,14 +44,11 @@ def _(spark, sf):
         "seq", F.concat_ws("|", "skills").alias("skills"))
 
 
-_ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
-
-
-@case("P3_documents", "with d as (select doc_id, lower(" + _ASCII + ") as low from documents) "
+@case("P3_documents", "with d as (select doc_id, lower(text) as low from documents) "
       f"select doc_id, array_to_string({skill_list('low')}, '|') as skills from d")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(
-        "doc_id", F.lower(F.regexp_replace("text", "[^ -~]", "")).alias("low"))
+        "doc_id", F.lower("text").alias("low"))
     return docs.select("doc_id", F.concat_ws("|", T.keyword_list("low", V.SKILL_PATTERNS))
                        .alias("skills"))
 
@@ -68,12 +65,8 @@ def _(spark, sf):
     return rows.select("seq", rules.degree_strict("low", lowered=True).alias("degree"))
 
 
-_DEFAULT = ladder([(f"regexp_matches(lower(description), {quoted(p)})", quoted(d))
-                   for d, p in V.DEGREE_DEFAULT], "'Bachelor''s'")
-
-
 @case("P6_degree_default", on_jobs(
-    f"select seq, case when description is not null then {_DEFAULT} end as degree from jobs"))
+    f"select seq, case when description is not null then {DEFAULT} end as degree from jobs"))
 def _(spark, sf):
     rows = lower_once(jobs(spark, sf, text=True), "description", "low")
     return rows.select("seq", rules.degree_default("low", lowered=True).alias("degree"))

@@ -141,12 +141,11 @@ def _(spark, sf):
 
 
 @case("N2_norm_documents", r"""select doc_id,
- md5(trim(regexp_replace(lower(regexp_replace(text, '[^\x20-\x7e\n\t]', '', 'g')), '[ \n\t]+', ' ', 'g'))) as key_hash
+ md5(trim(regexp_replace(lower(text), '[\t-\r\x{1c}-\x{1f} \x{85}\p{Z}]+', ' ', 'g'))) as key_hash
 from documents""")
 def _(spark, sf):
-    text = F.regexp_replace("text", r"[^\x20-\x7e\n\t]", "")
     return table(spark, sf, "documents").select(
-        "doc_id", F.md5(F.coalesce(T.norm_text(text), F.lit(""))).alias("key_hash"))
+        "doc_id", F.md5(F.coalesce(T.norm_text("text"), F.lit(""))).alias("key_hash"))
 
 
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"

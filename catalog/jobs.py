@@ -90,7 +90,7 @@ def jobs(spark: SparkSession, sf: str, text: bool = False, link: bool = False) -
     if text:
         docs = table(spark, sf, "documents")
         size = docs.agg(F.count("*")).scalar()
-        plain = docs.select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+        plain = docs.select("doc_id", "text")
         rows = (rows.withColumn("_doc", F.col("o_orderkey") % size)
                 .join(plain.hint("merge"), F.col("_doc") == F.col("doc_id")))
         columns["description"] = _TEXT
@@ -149,20 +149,52 @@ def ladder(branches, otherwise="null") -> str:
 
 # Orders and customers are joined first, as a step of its own: DuckDB 2.0 fails
 # with an internal error on the four-table join in one step.
-JOBS = ("docs as (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as text from documents),\n"
-        "placed as materialized (select *, o_orderkey % (select count(*) from documents) as doc_key,"
+JOBS = ("placed as materialized (select *, o_orderkey % (select count(*) from documents) as doc_key,"
         " o_orderkey % (select count(*) from pages) as page_key"
         " from orders join customer on o_custkey = c_custkey),\n"
         "jobs as (select " + ",\n ".join(f"{e} as {n}" for n, e in COLUMNS.items()) +
         f",\n {_TEXT} as description, url as job_url\n"
-        "from placed join docs on doc_id = doc_key join pages on page_id = page_key)")
+        "from placed join documents on doc_id = doc_key join pages on page_id = page_key)")
 
 FACTOR = "case pay_interval when 'hourly' then 2080 when 'monthly' then 12 when 'weekly' then 52 else 1 end"
 ROLE = ladder([(has("lower(title)", w), quoted(r)) for r, w in V.ROLE_RULES], "'Other'")
-STRICT = ladder([(f"regexp_matches(lower(description), {quoted(p)})", quoted(d))
-                 for d, p in V.DEGREE_STRICT])
+# DuckDB's \b, \s and \d know ASCII alone, so its patterns name the Unicode classes.
+_IN_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_BEFORE, _AFTER = f"(?:^|[^{_IN_WORD}])", f"(?:$|[^{_IN_WORD}])"
+BLANK = r"[\t-\r \x{85}\p{Z}]"
+
+
+def re2(pattern: str) -> str:
+    """A pattern of plain alternatives for DuckDB."""
+    out = []
+    for p in pattern.split("|"):
+        if p.startswith(r"\b"):
+            p = (f"[{_IN_WORD}]" if p[2] == " " else _BEFORE) + p[2:]
+        if p.endswith(r"\b"):
+            p = p[:-2] + _AFTER
+        out.append(p.replace(r"\s", BLANK).replace(r"\d", r"\p{Nd}"))
+    return "|".join(out)
+
+
+def _whole(words: str, dotted: str = "") -> str:
+    """Whole words; forms that end in a dot count where a letter follows, as their boundary says."""
+    ends = f"(?:{words}){_AFTER}" + (f"|(?:{dotted})[{_IN_WORD}]" if dotted else "")
+    return f"{_BEFORE}(?:{ends})"
+
+
+_PHD = _whole(r"ph\.?d|doctorate|doctoral")
+_DEGREES_STRICT = (
+    ("PhD", _PHD), ("Master's", "graduate level"),
+    ("Master's", _whole("masters*|msc|ms|graduate|grad", r"m\.sc\.|m\.s\.")),
+    ("Bachelor's", _whole("bachelors*|bsc|bs", r"b\.sc\.|b\.s\.")))
+_DEGREES_DEFAULT = (
+    ("PhD", _PHD), ("Master's", _whole("postgraduate|advanced degree|advanced education")),
+    ("Master's", _whole("masters*|msc|ms", r"m\.sc\.|m\.s\.")))
+STRICT = ladder([(f"regexp_matches(lower(description), {quoted(p)})", quoted(d)) for d, p in _DEGREES_STRICT])
+DEFAULT = ladder([(f"regexp_matches(lower(description), {quoted(p)})", quoted(d)) for d, p in _DEGREES_DEFAULT],
+                 "'Bachelor''s'")
 YEARS = "coalesce(" + ", ".join(
-    f"try_cast(nullif(regexp_extract(lower(description), {quoted(p)}, 1), '') as bigint)"
+    f"try_cast(nullif(regexp_extract(lower(description), {quoted(re2(p))}, 1), '') as bigint)"
     for p in V.YEARS_PATTERNS) + (
     f", case when regexp_matches(lower(description), {quoted(V.ENTRY_LEVEL_PATTERN)}) then 0 end)")
 TYPE = ladder([(has("lower(trim(job_type))", w), quoted(t)) for t, w in V.JOB_TYPE_RULES])
@@ -180,7 +212,7 @@ def title_years(column: str = "lower(title)") -> str:
 
 
 def skill(name: str, text: str = "lower(description)") -> str:
-    return f"coalesce(regexp_matches({text}, {quoted(V.SKILL_PATTERNS[name])}), false)"
+    return f"coalesce(regexp_matches({text}, {quoted(re2(V.SKILL_PATTERNS[name]))}), false)"
 
 
 def skill_list(text: str = "lower(description)") -> str:

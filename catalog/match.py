@@ -36,32 +36,29 @@ def _(spark, sf):
 _ABOUT = """concat(text, ' ', case doc_id % 4 when 0 then 'Python, SQL, Spark and R in use. 6 years of experience. Ph.D.'
  when 1 then 'Tableau, Power BI, SQL. Bachelor of science, 2 years experience.'
  when 2 then 'AWS, Docker, Kubernetes, git, masters degree.' else 'I write.' end)"""
-_PEOPLE = f"""people as (select doc_id, {_ABOUT} as description from docs),
+_PEOPLE = f"""people as (select doc_id, {_ABOUT} as description from documents),
 candidates as (select doc_id as candidate_id, {skill_list()} as technical_skills,
  cast({YEARS} as double) as years_experience, {STRICT} as education from people)"""
-_DOCS = "docs as (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as text from documents)"
 
 
 def _candidates(spark, sf):
-    plain = F.regexp_replace("text", "[^ -~]", "").alias("text")
-    people = table(spark, sf, "documents").select("doc_id", plain).select(
-        "doc_id", F.expr(_ABOUT).alias("about"))
+    people = table(spark, sf, "documents").select("doc_id", F.expr(_ABOUT).alias("about"))
     return matching.candidate_profiles(people, "about", "doc_id")
 
 
-@case("R4_candidate_profiles", f"""with {_DOCS}, {_PEOPLE} select candidate_id,
+@case("R4_candidate_profiles", f"""with {_PEOPLE} select candidate_id,
  array_to_string(technical_skills, '|') as technical_skills, years_experience, education from candidates""")
 def _(spark, sf):
     rows = _candidates(spark, sf)
     return rows.withColumn("technical_skills", F.concat_ws("|", "technical_skills"))
 
 
-@case("R4_conversation_skills", f"""with t as (select conv_id, turn, lower(regexp_replace(text, '[^ -~]', '', 'g')) as low
+@case("R4_conversation_skills", f"""with t as (select conv_id, turn, lower(text) as low
  from conversations) select conv_id, turn, array_to_string({skill_list('low')}, '|') as skills from t""")
 def _(spark, sf):
     rows = table(spark, sf, "conversations").select(
         F.struct("conv_id", "turn").alias("key"),
-        F.regexp_replace("text", "[^ -~]", "").alias("text"))
+        "text")
     out = matching.candidate_profiles(rows, "text", "key")
     return out.select("candidate_id.conv_id", "candidate_id.turn",
                       F.concat_ws("|", "technical_skills").alias("skills"))

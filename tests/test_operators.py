@@ -119,7 +119,8 @@ def test_fresh_rows_without_ids(feed, null_keys):
         assert merge.merge_report(old, new).first().total_before == old.count() + new.count()
 
     old = feed.where("seq < 500")
-    new = feed.where("seq >= 450").withColumn("seq", F.col("seq") + 10000)
+    new = feed.where("seq >= 450").withColumns({
+        "seq": F.col("seq") + 10000, "company": F.expr("if(seq % 2 = 0, company || ' two', company)")})
     bare = [x.withColumn("id", F.lit(None).cast("string")) for x in (old, new)]
     agree(*bare)
     agree(old.drop("id"), new.drop("id"))

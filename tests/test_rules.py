@@ -152,3 +152,22 @@ def test_parse_reply(spark, reply, ids):
     df = spark.createDataFrame([(reply,)], "t string")
     got = df.select(F.explode(T.parse_reply("t")).alias("i")).select("i.id").collect()
     assert [r[0] for r in got] == ids
+
+
+def test_patterns_know_unicode(spark):
+    """A no-break space is white space, an accented letter is part of its word."""
+    texts = ["5 years\u00a0experience", "git\u00e9 pythoné", "é git, python", "un bac\u00a0master\u2019s", "bs\u00e9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.orderBy("i").select(
+        rules.extract_years("t").alias("y"), T.keyword_list("t", V.SKILL_PATTERNS).alias("s"),
+        rules.degree_strict("t").alias("d")).collect()
+    assert [r.y for r in got] == [5, None, None, None, None]
+    assert [r.s for r in got] == [[], [], ["Python", "Git"], [], []]
+    assert [r.d for r in got] == [None, None, None, "Master's", None]
+
+
+def test_foreign_patterns_are_not_gated(spark):
+    df = spark.createDataFrame([("il faut 7 ans, doctorat",)], "t string")
+    got = df.select(rules.extract_years("t", (r"(\d+) ans",)).alias("y"),
+                    rules.degree_strict("t", (("PhD", r"\bdoctorat\b"),)).alias("d")).first()
+    assert (got.y, got.d) == (7, "PhD")

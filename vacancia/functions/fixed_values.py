@@ -46,6 +46,7 @@ YEARS_PATTERNS = (
     r"(\d+)-(\d+)\s*years",
     r"minimum\s*(?:of\s*)?(\d+)\s*years?",
 )
+YEARS_GATE = "year"  # a text without it matches none of these patterns
 ENTRY_LEVEL_PATTERN = r"entry.level|junior|new grad|0-2 years"
 
 # Degree patterns on lower-cased text, highest degree first.

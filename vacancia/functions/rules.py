@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as V
-from .text import col, contains_any, contains_word, matches, strip
+from .text import UNICODE, col, contains_any, contains_word, matches, strip
 
 
 def first_hit(rules, otherwise=None) -> Column:
@@ -22,35 +22,45 @@ def _lower(text, lowered: bool) -> Column:
     return col(text) if lowered else F.lower(col(text))
 
 
-def extract_years(text, patterns=V.YEARS_PATTERNS,
-                  zero_pattern: str = V.ENTRY_LEVEL_PATTERN, lowered: bool = False) -> Column:
+def extract_years(text, patterns=V.YEARS_PATTERNS, zero_pattern: str = V.ENTRY_LEVEL_PATTERN,
+                  lowered: bool = False, gate: str | None = None) -> Column:
     """Years of experience asked for in a text, as bigint.
 
-    The number is the first group of the first pattern that matches. All
-    patterns name years, so texts without that word skip them. `lowered` says
-    that the text column is in lower case already: for long texts lower-case
-    once, in a projection of its own.
+    The number is the first group of the first pattern that matches. Texts
+    without the word `gate` skip the patterns; the built-in patterns bring
+    theirs, others have none unless it is given. `lowered` says that the text
+    column is in lower case already: for long texts lower-case once, in a
+    projection of its own.
     """
     low = _lower(text, lowered)
-    found = F.coalesce(*[F.regexp_extract(low, p, 1).try_cast("bigint") for p in patterns])
-    stated = F.when(low.contains("year"), found)
+    if gate is None and tuple(patterns) == V.YEARS_PATTERNS:
+        gate = V.YEARS_GATE
+    found = F.coalesce(*[F.regexp_extract(low, UNICODE + p, 1).try_cast("bigint") for p in patterns])
+    stated = F.when(low.contains(gate), found) if gate else found
     return F.coalesce(stated, F.when(matches(low, zero_pattern), F.lit(0).cast("bigint")))
 
 
 def _degree_hits(low: Column, rules, words):
-    """Plain search for a word of the degree first, its pattern only after."""
-    return [(contains_word(low, words[d]) & low.rlike(p) if d in words else low.rlike(p), d)
-            for d, p in rules]
+    """Plain search for a word of the degree first, its pattern only after.
+
+    Words belong to the built-in rules; other rules have none unless they are given.
+    """
+    if words is None:
+        words = V.DEGREE_WORDS if tuple(rules) in (V.DEGREE_STRICT, V.DEGREE_DEFAULT) else {}
+    hits = []
+    for degree, pattern in rules:
+        hit = low.rlike(UNICODE + pattern)
+        hits.append((contains_word(low, words[degree]) & hit if degree in words else hit, degree))
+    return hits
 
 
-def degree_strict(text, rules=V.DEGREE_STRICT, words=V.DEGREE_WORDS,
-                  lowered: bool = False) -> Column:
+def degree_strict(text, rules=V.DEGREE_STRICT, words=None, lowered: bool = False) -> Column:
     """Highest degree named in a text, else null."""
     return first_hit(_degree_hits(_lower(text, lowered), rules, words))
 
 
 def degree_default(text, rules=V.DEGREE_DEFAULT, fallback: str = V.DEGREE_FALLBACK,
-                   words=V.DEGREE_WORDS, lowered: bool = False) -> Column:
+                   words=None, lowered: bool = False) -> Column:
     """Highest degree named in a text, else the fallback; null text -> null."""
     low = _lower(text, lowered)
     return F.when(low.isNotNull(), first_hit(_degree_hits(low, rules, words), fallback))
@@ -95,7 +105,7 @@ def years_from_title(title, rules=V.TITLE_YEARS, strict_words: bool = False) ->
     for years, words, endings in rules:
         if strict_words:
             whole = "|".join(re.escape(w.strip()) for w in (*words, *endings))
-            found = low.rlike(rf"(?<!\w)(?:{whole})(?!\w)")
+            found = low.rlike(rf"{UNICODE}(?<!\w)(?:{whole})(?!\w)")
         else:
             found = contains_any(low, words, endings)
         hits.append((found, years))

@@ -16,6 +16,11 @@ _SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u200
            "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
+# Character classes and word boundaries of patterns mean all of Unicode, whatever
+# the Java version, and '.' stops at line feeds alone, as in Python.
+UNICODE = "(?dU)"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -101,7 +106,7 @@ def _alternative(low: Column, pattern: str) -> Column:
     pattern starts with the literal, so a leading boundary moves behind it.
     """
     literal = pattern.replace(r"\b", "")
-    regex = low.rlike(_boundary_last(pattern))
+    regex = low.rlike(UNICODE + _boundary_last(pattern))
     if len(literal) > 4 or set(literal) & set("\\.^$*+?()[]{}|"):
         return regex
     found = low.contains(literal)
@@ -117,7 +122,7 @@ def _boundary_last(pattern: str) -> str:
 def matches(low: Column, pattern: str) -> Column:
     """Does lower-cased text match a pattern of plain alternatives?"""
     if set(pattern) & set("()[]{}*+?^$") or pattern != pattern.lower():
-        return low.rlike(pattern)
+        return low.rlike(UNICODE + pattern)
     return reduce(or_, [_alternative(low, p) for p in pattern.split("|")])
 
 
