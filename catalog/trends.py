@@ -207,6 +207,7 @@ def _(spark, sf):
         "seq", "role_category", "fold")
 
 
-@case("W11_shuffled_folds")
+@case("W11_shuffled_folds", on_silver("""select seq,
+ cast(cast('0x' || substr(md5('42-' || seq), 1, 8) as bigint) % 5 as integer) as fold from silver"""))
 def _(spark, sf):
     return silver(spark, sf).select("seq", model.shuffled_folds("seq").alias("fold"))

@@ -66,7 +66,7 @@ def test_linear_model_recovers_the_plan(prepared):
 def test_a_failing_model_is_left_out(prepared):
     class Broken:
         def fit(self, data):
-            raise RuntimeError("no")
+            raise ValueError("no")
     data = model.role_data(prepared, "Data Engineer", ["SQL"], "seq", 5, 42)
     linear = model.estimators(SIZES)["Linear Regression"]
     best, *_ = model.train_best(data, {"Broken": Broken(), "Linear": linear})
@@ -75,6 +75,24 @@ def test_a_failing_model_is_left_out(prepared):
         model.train_best(data, {"Broken": Broken()})
 
 
+def test_other_failures_stop_the_training(prepared):
+    class Lost:
+        def fit(self, data):
+            raise RuntimeError("executor lost")
+    data = model.role_data(prepared, "Data Engineer", ["SQL"], "seq", 5, 42)
+    with pytest.raises(RuntimeError):
+        model.train_best(data, {"Lost": Lost(), "Linear": model.estimators(SIZES)["Linear Regression"]})
+
+
+def test_a_role_that_cannot_be_trained_is_recorded(prepared, tmp_path):
+    class Broken:
+        def fit(self, data):
+            raise ValueError("no")
+    registry = model.train_per_role(prepared, str(tmp_path), [], sizes=SIZES, models={"Broken": Broken()})
+    assert all(r.path is None and "no" in r.status for r in registry.collect())
+    assert model.load_models(prepared.sparkSession, str(tmp_path)) == {}
+
+
 def test_train_save_load_predict(spark, prepared, tmp_path):
     path = str(tmp_path)
     registry = model.train_per_role(prepared, path, ["SQL", "Git", "Python"], n_skills=2, sizes=SIZES)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from statistics import fmean, pstdev
+from statistics import StatisticsError, fmean, pstdev
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -86,9 +87,10 @@ def feature_columns(df: DataFrame, skills) -> dict[str, Column]:
     return base | {f"skill_{s}": skill_flag(df, s) for s in skills}
 
 
-def build_features(df: DataFrame, skills, keep=()) -> DataFrame:
-    """`features` vector next to the kept columns."""
+def build_features(df: DataFrame, skills, keep=(), only=None) -> DataFrame:
+    """`features` vector next to the kept columns; `only` names the features to take."""
     columns = feature_columns(df, skills)
+    columns = {n: c for n, c in columns.items() if only is None or n in only}
     names = [f"f{i}" for i in range(len(columns))]
     wide = df.select(*keep, *[c.alias(n) for n, c in zip(names, columns.values())])
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
@@ -98,7 +100,8 @@ def build_features(df: DataFrame, skills, keep=()) -> DataFrame:
 
 def shuffled_folds(key: str, folds: int = 5, seed: int = 42) -> Column:
     """Fold by keyed hash: no sort, no shuffle, stable under re-runs."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int")
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds).cast("int")
 
 
 def contiguous_folds(df: DataFrame, by: str, order: str, folds: int = 5) -> DataFrame:
@@ -176,9 +179,9 @@ def cross_validate(estimator, data: DataFrame, folds: int = 5, parallelism: int
     return out
 
 
-def select_top_skills(df: DataFrame, skills, n: int = 10,
+def select_top_skills(df: DataFrame, skills, n: int | None = 10,
                       sizes: ModelSizes = ModelSizes()) -> list[str]:
-    """Skills with the highest importance in a forest on skills alone."""
+    """Skills with the highest importance in a forest on skills alone; without n all, best first."""
     skills = list(skills)
     if not skills:
         return []
@@ -193,29 +196,36 @@ def select_top_skills(df: DataFrame, skills, n: int = 10,
     return [s for _, s in sorted(zip(-weights, skills))][:n]
 
 
-def role_data(prepared: DataFrame, role: str, skills, key: str, folds: int, seed: int):
-    """label, fold and features of one role."""
-    rows = prepared.where(F.col("role_category") == role)
-    rows = rows.withColumns({"label": F.col("average_salary"),
-                             "fold": shuffled_folds(key, folds, seed)})
-    return build_features(rows, skills, keep=["label", "fold"])
+def role_data(prepared: DataFrame, role: str, skills, key: str, folds: int, seed: int,
+              shuffled: bool = False, only=None):
+    """label, fold and features of one role; folds by position unless they are to be shuffled."""
+    rows = prepared.where(F.col("role_category") == role).withColumn("label", F.col("average_salary"))
+    rows = (rows.withColumn("fold", shuffled_folds(key, folds, seed)) if shuffled
+            else contiguous_folds(rows, "role_category", key, folds))
+    return build_features(rows, skills, keep=["label", "fold"], only=only)
+
+
+# What bad data raises; anything else, a lost executor for one, stops the training.
+_DATA_PROBLEMS = (ValueError, ZeroDivisionError, StatisticsError, IllegalArgumentException)
 
 
 def train_best(data: DataFrame, models: dict, folds: int = 5, parallelism: int = 4):
     """The model with the best mean r2, refit on all rows, with its metrics.
 
-    A model that fails is left out; if all fail, that is an error.
+    A model the data do not fit has null scores and its problem as message; if
+    that is so for all, it is an error.
     """
     scores = []
     for name, estimator in models.items():
         try:
             cv = cross_validate(estimator, data, folds, parallelism)
-            scores.append((name, cv["mean_r2"], cv["std_r2"]))
-        except Exception as problem:  # noqa: BLE001
-            print(f"{name}: {problem}")
-    if not scores:
-        raise ValueError("no model could be trained")
-    best = max(scores, key=lambda s: s[1])[0]
+            scores.append((name, cv["mean_r2"], cv["std_r2"], None))
+        except _DATA_PROBLEMS as problem:
+            scores.append((name, None, None, str(problem)[:500]))
+    known = [s for s in scores if s[1] is not None]
+    if not known:
+        raise ValueError("no model could be trained: " + "; ".join(f"{s[0]}: {s[3]}" for s in scores))
+    best = max(known, key=lambda s: s[1])[0]
     fitted = models[best].fit(data)
     return best, fitted, score(fitted.transform(data)), scores
 
@@ -236,42 +246,50 @@ def trainable_roles(prepared: DataFrame, min_rows: int = 15, min_total: int = 20
 
 
 def _each_role(run, roles, at_once: int) -> list:
-    """Results of run(role); a role that fails is reported and left out."""
+    """(role, result of run(role), None) or, where its data do not do, (role, None, the problem)."""
     def safe(role):
         try:
-            return run(role)
-        except Exception as problem:  # noqa: BLE001
-            print(f"{role}: {problem}")
-            return None
+            return role, run(role), None
+        except _DATA_PROBLEMS as problem:
+            return role, None, str(problem)[:500]
 
     with ThreadPoolExecutor(at_once) as pool:
-        return [r for r in pool.map(safe, roles) if r is not None]
+        return list(pool.map(safe, roles))
 
 
 def train_per_role(prepared: DataFrame, path: str, skills=tuple(V.SKILL_PATTERNS), key="seq",
                    n_skills: int = 10, sizes: ModelSizes = ModelSizes(), folds: int = 5,
-                   parallelism: int = 4, min_rows: int = 15, roles_at_once: int = 2) -> DataFrame:
+                   parallelism: int = 4, min_rows: int = 15, roles_at_once: int = 2,
+                   models=None, only=None) -> DataFrame:
     """Train, compare and store a model per role; the registry table results.
 
-    `prepared` should be a stored table (see `prepared_table`). A role that
-    fails does not stop the others. Fits of a few roles and folds are submitted
-    at the same time, so small roles do not leave executors idle.
+    `prepared` should be a stored table (see `prepared_table`). A role whose
+    data do not do has a registry row with the problem as its status and no
+    path. Fits of a few roles and folds are submitted at the same time, so
+    small roles do not leave executors idle. `models` (name -> estimator of
+    label and features) replaces the three built-in ones, `only` names the
+    features to use.
     """
     spark = prepared.sparkSession
 
     def train(role: str):
         rows = prepared.where(F.col("role_category") == role)
-        top = select_top_skills(rows, skills, n_skills, sizes)
-        data = role_data(prepared, role, top, key, folds, sizes.seed)
+        ranked = select_top_skills(rows, skills, None, sizes)
+        top = ranked[:n_skills]
+        data = role_data(prepared, role, top, key, folds, sizes.seed, only=only)
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        best, fitted, fit, cv = train_best(data, estimators(sizes), folds, parallelism)
-        data.unpersist()
+        try:
+            best, fitted, fit, cv = train_best(data, models or estimators(sizes), folds, parallelism)
+        finally:
+            data.unpersist()
         target = f"{path}/{role.replace(' ', '_')}"
         PipelineModel([fitted]).write().overwrite().save(target)
-        names = list(feature_columns(prepared, top))
-        return role, best, fit["r2"], fit["mae"], fit["rmse"], fit["n"], top, names, cv, target
+        names = [n for n in feature_columns(prepared, top) if only is None or n in only]
+        return (role, best, fit["r2"], fit["mae"], fit["rmse"], fit["n"], top, ranked, names,
+                [c[:3] for c in cv], target, "trained")
 
-    records = _each_role(train, trainable_roles(prepared, min_rows), roles_at_once)
+    records = [result or (role, *[None] * 10, problem) for role, result, problem in
+               _each_role(train, trainable_roles(prepared, min_rows), roles_at_once)]
     registry = spark.createDataFrame(records, MODEL_REGISTRY)
     registry.coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
     return load_registry(spark, path)
@@ -284,7 +302,7 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 def load_models(spark: SparkSession, path: str) -> dict[str, tuple]:
     """role -> (registry row, model)."""
     return {row["role"]: (row, PipelineModel.load(row["path"]))
-            for row in load_registry(spark, path).collect()}
+            for row in load_registry(spark, path).where(F.col("path").isNotNull()).collect()}
 
 
 def predict_batch(df: DataFrame, models: dict[str, tuple], keep=("seq",)) -> DataFrame:
@@ -307,7 +325,7 @@ def predict_batch(df: DataFrame, models: dict[str, tuple], keep=("seq",)) -> Dat
     out = result(rest, F.lit(None).cast("double"), None)
     for role, (row, model) in models.items():
         rows = df.where(F.col("role_category") == role)
-        data = build_features(rows, row["top_skills"], keep=[*keep, "role_category"])
+        data = build_features(rows, row["top_skills"], [*keep, "role_category"], row["feature_names"])
         out = out.unionByName(result(model.transform(data), F.col("prediction"), row))
     return out
 
@@ -338,32 +356,44 @@ def top_skills(registry: DataFrame, role: str, n: int = 5) -> DataFrame:
     return rows.select(F.posexplode(F.slice("top_skills", 1, n)).alias("position", "skill"))
 
 
+def all_skills(registry: DataFrame, role: str) -> DataFrame:
+    """Every skill of a role's model, best first."""
+    rows = registry.where(F.col("role") == role)
+    return rows.select(F.posexplode("all_skills").alias("position", "skill"))
+
+
 def compare_models(prepared: DataFrame, skills=tuple(V.SKILL_PATTERNS), key="seq",
                    n_skills: int = 10, sizes: ModelSizes = ModelSizes(), folds: int = 5,
                    parallelism: int = 4, min_rows: int = 20, log_target: bool = False,
-                   cap_years: float | None = None, roles_at_once: int = 2) -> DataFrame:
+                   cap_years: float | None = None, roles_at_once: int = 2,
+                   models=None, only=None) -> DataFrame:
     """Test and train r2 of every model and role over shuffled folds.
 
-    `log_target` learns log(1 + pay); `cap_years` limits the experience.
+    `log_target` learns log(1 + pay); `cap_years` limits the experience. A role
+    whose data do not do has one row with the problem as its status.
     """
     rows = prepared
     if cap_years is not None:
         rows = rows.withColumn("years_experience_required",
                                F.least("years_experience_required", F.lit(cap_years)))
+
     def compare(role: str):
         top = select_top_skills(rows.where(F.col("role_category") == role), skills, n_skills, sizes)
-        data = role_data(rows, role, top, key, folds, sizes.seed)
+        data = role_data(rows, role, top, key, folds, sizes.seed, shuffled=True, only=only)
         if log_target:
             data = data.withColumn("label", F.log1p("label"))
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        out = []
-        for name, estimator in estimators(sizes).items():
-            cv = cross_validate(estimator, data, folds, parallelism, train_scores=True)
-            out.append((role, name, cv["mean_r2"], cv["std_r2"], cv["train_r2"]))
-        data.unpersist()
-        return out
+        try:
+            out = []
+            for name, estimator in (models or estimators(sizes)).items():
+                cv = cross_validate(estimator, data, folds, parallelism, train_scores=True)
+                out.append((role, name, cv["mean_r2"], cv["std_r2"], cv["train_r2"], "trained"))
+            return out
+        finally:
+            data.unpersist()
 
     results = _each_role(compare, trainable_roles(rows, min_rows), roles_at_once)
     return rows.sparkSession.createDataFrame(
-        [line for part in results for line in part],
-        "role string, model string, mean_r2 double, std_r2 double, train_r2 double")
+        [line for role, part, problem in results
+         for line in part or [(role, None, None, None, None, problem)]],
+        "role string, model string, mean_r2 double, std_r2 double, train_r2 double, status string")

@@ -25,7 +25,7 @@ CANDIDATES = StructType(
 
 MODEL_REGISTRY = StructType(
     _fields(_TEXT, "role model_name") + _fields(_NUMBER, "r2 mae rmse")
-    + _fields(LongType(), "n_rows") + _fields(ArrayType(_TEXT), "top_skills feature_names")
+    + _fields(LongType(), "n_rows") + _fields(ArrayType(_TEXT), "top_skills all_skills feature_names")
     + _fields(ArrayType(StructType(_fields(_TEXT, "model") + _fields(_NUMBER, "mean_r2 std_r2"))),
               "cv_scores")
-    + _fields(_TEXT, "path"))
+    + _fields(_TEXT, "path status"))
