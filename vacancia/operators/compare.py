@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.pay import percent
 from .filters import FilterSpec
 from .metrics import flag_totals
-from .stats import histogram
 
 
 def _sets(a: FilterSpec, b: FilterSpec) -> dict:
@@ -68,7 +67,24 @@ def compare_skills(flags: DataFrame, names, a: FilterSpec, b: FilterSpec, k: int
 
 def compare_histogram(df: DataFrame, a: FilterSpec, b: FilterSpec, value="average_salary",
                       bins: int = 20) -> DataFrame:
-    """Histogram of each set over its own range."""
-    parts = [histogram(df, value, bins, hit).withColumn("set", F.lit(s))
-             for s, hit in _sets(a, b).items()]
-    return parts[0].unionByName(parts[1])
+    """Histogram of each set over its own range: one aggregate for both ranges, one for both counts."""
+    hits = _sets(a, b)
+    rows = df.where(F.col(value).isNotNull() & (hits["A"] | hits["B"])).select(
+        F.col(value).cast("double").alias("v"), hits["A"].alias("A"), hits["B"].alias("B"))
+    ends = rows.agg(F.struct(*[f(F.when(F.col(s), F.col("v"))).alias(f"{s}{n}")
+                               for s in ("A", "B") for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
+
+    def place(s: str):
+        width = (ends[f"{s}hi"] - ends[f"{s}lo"]) / bins
+        number = F.when(width == 0, 0).otherwise(F.least(
+            F.floor((F.col("v") - ends[f"{s}lo"]) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
+        return F.struct(F.lit(s).alias("set"), F.when(F.col(s), number.cast("int")).alias("bin"))
+
+    counts = (rows.select(F.inline(F.array(place("A"), place("B")))).where(F.col("bin").isNotNull())
+              .groupBy("set", "bin").agg(F.count("*").alias("count")))
+    sets = F.array(*[F.struct(F.lit(s).alias("set"), ends[f"{s}lo"].alias("lo"), ends[f"{s}hi"].alias("hi"))
+                     for s in ("A", "B")])
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.inline(sets))
+    return grid.join(counts, ["set", "bin"], "left").select(
+        "bin", (F.col("lo") + F.col("bin") * ((F.col("hi") - F.col("lo")) / bins)).alias("bin_start"),
+        F.coalesce("count", F.lit(0)).alias("count"), "set")

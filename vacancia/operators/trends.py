@@ -17,11 +17,11 @@ from .metrics import (daily_counts, flag_totals, period_counts, top_counts)
 def densify(counts: DataFrame, period: str, key: str, value: str = "count") -> DataFrame:
     """All observed periods with all observed keys; absent pairs count 0.
 
-    The keys of one period are one array (roles: at most a handful), so each
-    period row expands by itself and nothing is joined but the counts.
+    The observed periods travel as one array, which the calendar bounds; every
+    key expands by itself, however many there are.
     """
-    keys = counts.agg(F.collect_set(key)).scalar()
-    grid = counts.select(period).distinct().withColumn(key, F.explode(keys))
+    periods = counts.agg(F.collect_set(period)).scalar()
+    grid = counts.select(key).distinct().withColumn(period, F.explode(periods))
     return grid.join(counts, [period, key], "left").fillna(0, [value])
 
 
@@ -70,8 +70,9 @@ def wow_change(flags: DataFrame, names, as_of: Column, posted="date_posted",
     """
     current = F.coalesce(within_days(posted, as_of, 7), F.lit(False))
     previous = F.coalesce(within_days(posted, as_of, 14, skip=7), F.lit(False))
-    recent = flags.where(within_days(posted, as_of, 14))
-    sums = flag_totals(recent, names, {"cur": current, "prev": previous})
+    recent = flags.where(within_days(posted, as_of, 14)).withColumns(
+        {"_current": current, "_previous": previous})  # worked out once, not once per skill
+    sums = flag_totals(recent, names, {"cur": F.col("_current"), "prev": F.col("_previous")})
     sums = sums.where((F.col("cur_rows") > 0) & (F.col("prev_rows") > 0))
     shares = sums.select("skill", percent("cur", "cur_rows").alias("current_pct"),
                          percent("prev", "prev_rows").alias("previous_pct"))
@@ -85,13 +86,19 @@ def trending(changes: DataFrame, k: int = 5, rising: bool = True) -> DataFrame:
 
 
 def daily_share(df: DataFrame, key: str = "title", k: int = 8, posted="date_posted") -> DataFrame:
-    """Daily share of the k most frequent keys among all rows of the day."""
+    """Daily share of the k most frequent keys among all rows of the day.
+
+    One count per day and key, missing keys included, gives all three: the top
+    keys, their days and the totals.
+    """
     rows = drop_missing(df, [posted])
-    top = top_counts(rows, key, k).select(key)
-    counts = period_counts(rows, key, posted, "day").join(F.broadcast(top), key, "left_semi")
-    totals = daily_counts(rows, posted).withColumnRenamed("count", "total")
-    return counts.join(totals, "day", "left").withColumn(
-        "percentage", F.round(F.col("count") / F.col("total") * 100, 2))
+    counts = rows.groupBy(F.to_date(posted).alias("day"), key).agg(F.count("*").alias("count"))
+    known = counts.where(F.col(key).isNotNull())
+    top = (known.groupBy(key).agg(F.sum("count").alias("n")).orderBy(F.desc("n"), key)
+           .limit(k).select(key))
+    totals = counts.groupBy("day").agg(F.sum("count").alias("total"))
+    return (known.join(F.broadcast(top), key, "left_semi").join(totals, "day", "left")
+            .withColumn("percentage", F.round(F.col("count") / F.col("total") * 100, 2)))
 
 
 def growth_metrics(df: DataFrame, as_of: Column, key: str = "title", k: int = 8, days: int = 7,
