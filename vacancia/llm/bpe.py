@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .pretokens import BYTE_LETTERS, Known, Pretokenizer
+from .pretokens import BYTE_LETTERS, Known, Learned, Pretokenizer
 from .tables import vocabulary_file
 from .words import slices
 
@@ -185,7 +185,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id",
             .withColumnRenamed("id", id_col))
 
 
-def encoded(texts: list, cutter: Pretokenizer, known: Known) -> list[bytes]:
+def encoded(texts: list, cutter: Pretokenizer, known: Known | Learned) -> list[bytes]:
     """The ids of each text: the known ids of its pre-tokens, one after the other."""
     return [b"".join(ids) for ids in known.lookup([cutter(t) for t in texts])]
 

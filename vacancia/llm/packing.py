@@ -19,7 +19,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from .pretokens import BYTE_LETTERS, Known, Pretokenizer
+from .pretokens import BYTE_LETTERS, Learned, Pretokenizer
 from .tables import cut, gapless, vocabulary_file
 from .bpe import encoded
 from .words import slices
@@ -87,7 +87,7 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple]:
 
 
 @lru_cache(maxsize=1)
-def library_ids(vocabulary: str) -> tuple[Pretokenizer, Known]:
+def library_ids(vocabulary: str) -> tuple[Pretokenizer, Learned]:
     """Ids of pre-tokens by a library, kept by the worker process for later tasks.
 
     A byte-level vocabulary whose ids are its merge order is the same as ranks
@@ -111,10 +111,9 @@ def library_ids(vocabulary: str) -> tuple[Pretokenizer, Known]:
         def ids(word: str) -> list[int]:
             return [t.id for t in model.tokenize(cutter.letters(word))]
 
-    def learn(words: list[str]) -> list[bytes]:
-        return [array("I", [cutter.special[w]] if w in cutter.special else ids(w)).tobytes()
-                for w in words]
-    return cutter, Known(learn)
+    def learn(word: str) -> bytes:
+        return array("I", [cutter.special[word]] if word in cutter.special else ids(word)).tobytes()
+    return cutter, Learned(learn)
 
 
 def pieces(df: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from tokenizers import Tokenizer
 
@@ -104,7 +104,7 @@ class Known(dict):
         super().__init__()
         self.learn, self.limit = learn, limit
 
-    def lookup(self, texts: list[Iterable[str]]) -> list[list]:
+    def lookup(self, texts: list[Iterable[str]]) -> list[Iterable]:
         """What is known of the pre-tokens of each text, learning what is new."""
         found = [list(map(self.get, words)) for words in texts]
         lacking = [i for i, values in enumerate(found) if None in values]
@@ -121,3 +121,21 @@ class Known(dict):
         for i in lacking:
             found[i] = list(map(self.__getitem__, texts[i]))
         return found
+
+
+class Learned(dict):
+    """The same for a `learn` that takes one pre-token: asked on the spot where one is missing."""
+
+    def __init__(self, learn: Callable[[str], object], limit: int = 800_000):
+        super().__init__()
+        self.learn, self.limit = learn, limit
+
+    def __missing__(self, pretoken: str):
+        value = self[pretoken] = self.learn(pretoken)
+        return value
+
+    def lookup(self, texts: list[Iterable[str]]) -> Iterator[Iterable]:
+        for words in texts:
+            if len(self) > self.limit:
+                self.clear()
+            yield map(self.__getitem__, words)
