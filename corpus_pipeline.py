@@ -9,15 +9,12 @@ from vacancia.llm.queries import BYTE_VOCABULARY, PSEUDONYM_KEY
 from vacancia.llm.tables import fresh, read
 from vacancia.sources.workspace import new_path
 
-# Below this score the network is about as sure as a guess among four languages.
-LEAST_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows; those without letters or any likeness go."""
+    """Documents in a language the network knows go on; null texts and texts without letters are rejected."""
     label, score = fresh(docs.columns, "lang_pred", "score")
     seen = language.predict(docs, language.fit(docs), label=label, score=score)
-    return seen.where((F.col(label) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(label, score)
+    return seen.where(F.col(label) != language.UNKNOWN).drop(label, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

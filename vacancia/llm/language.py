@@ -140,22 +140,26 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
     The texts are those of the smallest id hashes among the rows with text and
     label that are not held out, so the sample is the same however the table is
-    cut. Crops spread over the whole text; some are shortened, so that short
-    texts are known too. None if no row has a label.
+    cut. Labels are counted first; only rows whose hash lies below about twice
+    the wanted share of their label are ranked, so no task gets a whole label.
+    Crops spread over the whole text; some are shortened, so that short texts
+    are known too. None if no row has a label.
     """
     known = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(label_col).cast("string").alias("label"))
              .where(F.col("text").isNotNull() & F.col("label").isNotNull()
                     & ~held_out("id")).withColumn("order", F.xxhash64("id")))
     by_hash = Window.partitionBy("label").orderBy("order")
-    last = (known.where(F.col("text").isNotNull()).select("label", "order")
+    # One row per label, and labels are few.
+    counts = F.broadcast(known.groupBy("label").agg(F.count(F.lit(1)).alias("all")))
+    low = (F.col("order") / float(1 << 64) + 0.5) * F.col("all") < 2.0 * texts_per_label + 50
+    last = (known.select("label", "order").join(counts, "label").where(low)
             .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= texts_per_label)
             .groupBy("label").agg(F.max("order").alias("last")))
     spare = F.greatest(F.length("text") - WINDOW, F.lit(0))
     crops = F.transform(F.sequence(F.lit(0), F.lit(crops_per_text - 1)), lambda i: F.substring(
         F.col("text"), (F.floor(spare * i / F.lit(max(1, crops_per_text - 1))) + 1).cast("int"),
         F.lit(WINDOW)))
-    # One row per label: labels are few, and so are the sampled texts of equal hashes.
     sample = (known.join(F.broadcast(last), "label").where(F.col("order") <= F.col("last"))
               .select("label", "order", crops.alias("crops"))
               .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= texts_per_label)
