@@ -85,6 +85,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_licenses, op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
 SQL: dict[str, str] = {
+    "op4_near_duplicates": r"""
+with recursive c as (select coalesce(text, '') as body, min(doc_id) as class_id, count(*) as copies
+  from documents group by 1),
+w as (select class_id, regexp_extract_all(lower(body), '(?:[0-9a-z]|[^\x00-\x7F])+') as ws from c),
+s as (select distinct class_id, unnest(case when len(ws) >= 5
+    then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from w),
+n as (select class_id, count(*) as n from s group by 1),
+p as (select a.class_id as x, b.class_id as y, count(*) as shared from s a join s b
+  on a.shingle = b.shingle and a.class_id <> b.class_id group by 1, 2),
+l as (select x, y from p join n nx on nx.class_id = x join n ny on ny.class_id = y
+  where shared >= 0.8 * (nx.n + ny.n - shared) - 1e-9),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+k as (select x, count(*) as links from l group by 1),
+g as (select x, min(y) as low from r group by 1)
+select d.doc_id, c.class_id, copies, coalesce(links, 0) as links,
+ least(c.class_id, coalesce(low, c.class_id)) as group_id
+from documents d join c on coalesce(d.text, '') = body left join k on k.x = class_id left join g on g.x = class_id""",
     "op7_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) q
            from embeddings where embedding is not null
