@@ -358,7 +358,7 @@ def strange_texts(n=400):
 def test_tokens_equal_the_library(name):
     cutter = Pretokenizer(vocabulary_file(name))
     known = bpe.Known(bpe.PairIndexEncoder(cutter).encode, limit=300)
-    counts = bpe.Known(token_counts.piece_counter(cutter))
+    counts = bpe.Learned(token_counts.piece_counter(cutter), limit=300)
     decode = bpe.Decoder(cutter)
     for t in strange_texts():
         ids = cutter.library.encode(t, add_special_tokens=False).ids

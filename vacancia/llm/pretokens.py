@@ -126,7 +126,7 @@ class Known(dict):
 class Learned(dict):
     """The same for a `learn` that takes one pre-token: asked on the spot where one is missing."""
 
-    def __init__(self, learn: Callable[[str], object], limit: int = 800_000):
+    def __init__(self, learn: Callable[[str], object], limit: int = 500_000):
         super().__init__()
         self.learn, self.limit = learn, limit
 

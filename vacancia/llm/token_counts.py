@@ -15,25 +15,24 @@ from operator import mul
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .pretokens import Known, Pretokenizer
+from .pretokens import Learned, Pretokenizer
 from .tables import vocabulary_file
 from .words import slices
 
 
 @lru_cache(maxsize=1)
-def known_counts(vocabulary: str) -> tuple[Pretokenizer, Known]:
+def known_counts(vocabulary: str) -> tuple[Pretokenizer, Learned]:
     """Of the worker process: later tasks go on with what earlier ones learned."""
     cutter = Pretokenizer(vocabulary_file(vocabulary))
-    return cutter, Known(piece_counter(cutter))
+    return cutter, Learned(piece_counter(cutter))
 
 
 def piece_counter(cutter: Pretokenizer):
-    """Pieces of each given pre-token; a special string is one piece."""
+    """Pieces of a pre-token; a special string is one piece."""
     model = cutter.library.model
 
-    def learn(pretokens: list[str]) -> list[int]:
-        return [1 if w in cutter.special else len(model.tokenize(cutter.letters(w)))
-                for w in pretokens]
+    def learn(pretoken: str) -> int:
+        return 1 if pretoken in cutter.special else len(model.tokenize(cutter.letters(pretoken)))
     return learn
 
 
