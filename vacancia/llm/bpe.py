@@ -138,7 +138,7 @@ class Decoder:
     def __init__(self, cutter: Pretokenizer):
         self.pieces = {i: t for t, i in cutter.ids.items()}
         self.pieces |= {i: t for t, i in cutter.special.items()}
-        self.spaced = cutter.library.decoder is None
+        self.spaced = cutter.decoder is None
         self.byte_of = {c: b for b, c in enumerate(BYTE_LETTERS)}
 
     def __call__(self, ids: bytes) -> str:

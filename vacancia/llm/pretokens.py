@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 from tokenizers import Tokenizer
 
@@ -32,9 +33,7 @@ class Pretokenizer:
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
             described = json.load(f)
-        self.library = Tokenizer.from_file(file)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.file, self.decoder = file, described["decoder"]
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" "))
                        for m in described["model"]["merges"]]
@@ -51,6 +50,14 @@ class Pretokenizer:
         self._specials = (re.compile("(" + "|".join(map(re.escape, sorted(
             self.special, key=len, reverse=True))) + ")") if self.special else None)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer, loaded where a text or a model needs it."""
+        library = Tokenizer.from_file(self.file)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def __call__(self, text: str | None) -> list[str]:
         if not text:
             return []
