@@ -277,3 +277,30 @@ def test_sample_is_repeatable_and_seeded(posts):
     assert a == b and len(a) == 10
     assert rows(matching.sample_rows(posts, 10, "seq", seed=1), "seq") != a
     assert matching.sample_rows(posts.limit(3), 10, "seq").count() == 3
+
+
+def test_percentiles_of_a_hot_group(spark):
+    """One group with nine tenths of the rows, without broadcasts: no task gets the group."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"),
+                                       (F.col("id") * 7919 % 20011).cast("double").alias("x"))
+        rows = df.collect()
+        got = {r.g: r for r in stats.percentiles(df, "x", ["g"], (10, 50, 90)).collect()}
+        for g in "ab":
+            values = sorted(r.x for r in rows if r.g == g)
+            for p in (10, 50, 90):
+                at = (len(values) - 1) * p / 100
+                low = int(at)
+                want = values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+                assert abs(got[g][f"p{p}"] - want) < 1e-6
+        joined = quantiles.join_group_table(df, df.groupBy("g").agg(F.max("x").alias("top")), ["g"], "x")
+        sizes = joined.where("g = 'a'").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 18000 * 0.6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -24,7 +24,7 @@ from ..functions.rules import (cost_tier, degree_default, encode_label, first_co
                                role_category, years_from_title)
 from ..sources.schema import MODEL_REGISTRY
 from ..sources.workspace import materialize
-from .quantiles import median, value_weights, values_at_ranks
+from .quantiles import join_group_table, median, value_weights, values_at_ranks
 
 BASE_FEATURES = ("is_remote", "education_encoded", "col_tier", "years_experience")
 
@@ -116,7 +116,7 @@ def contiguous_folds(df: DataFrame, by: str, order: str, folds: int = 5) -> Data
     borders = values_at_ranks(value_weights(df, order, [by]), starts, folds - 1, [by])
     fold = F.size(F.filter("p", lambda b: b <= F.col(order)))
     # A group without borders (one row) is all fold 0.
-    return (df.join(borders, by, "left")
+    return (join_group_table(df, borders, [by], order, "left")
             .withColumn("fold", F.when(F.col("p").isNull(), 0).otherwise(fold)).drop("p"))
 
 

@@ -20,11 +20,25 @@ def value_weights(df: DataFrame, value: str, by=()) -> DataFrame:
     return rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
 
+_SALTS = 16
+
+
+def join_group_table(rows: DataFrame, table: DataFrame, by, spread: str, how: str = "inner") -> DataFrame:
+    """Join a table of one row per group without bringing a group together.
+
+    The rows are salted by the column `spread`, the table is repeated once per
+    salt: a group that holds most rows meets its row in many tasks.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int"))
+    repeated = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(_SALTS)))))
+    return salted.join(repeated, [*by, "_salt"], how).drop("_salt")
+
+
 def _bucketed(weights: DataFrame, by, buckets: int) -> DataFrame:
     points = [i / buckets for i in range(1, buckets)]
     cuts = F.percentile_approx("v", points, 100 * buckets).alias("cuts")
     if by:
-        table = weights.join(weights.groupBy(*by).agg(cuts), list(by))
+        table = join_group_table(weights, weights.groupBy(*by).agg(cuts), by, "v")
     else:
         table = weights.withColumn("cuts", weights.agg(cuts).scalar())
     return table.withColumn("bucket", _bucket(0, buckets - 1)).drop("cuts")

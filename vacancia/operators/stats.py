@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.pay import percent
 from ..functions.text import col
-from .quantiles import exact_percentiles, percentiles_of_weights, value_weights
+from .quantiles import (exact_percentiles, join_group_table, percentiles_of_weights,
+                        value_weights)
 
 
 def _rows(df: DataFrame, value: str, by) -> DataFrame:
@@ -67,7 +68,7 @@ def iqr_outliers(df: DataFrame, value: str, by=(), reach: float = 1.5) -> DataFr
     weights = value_weights(df, value, by)
     quartiles = percentiles_of_weights(weights, [0.25, 0.75], by)
     if by:
-        marked = weights.join(quartiles, list(by)).withColumn("q", F.col("p"))
+        marked = join_group_table(weights, quartiles, by, "v").withColumn("q", F.col("p"))
     else:
         marked = weights.withColumn("q", quartiles.scalar())
     q1, q3 = F.get("q", 0), F.get("q", 1)
