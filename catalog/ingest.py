@@ -12,7 +12,7 @@ from vacancia.functions import text as T
 from vacancia.functions.rules import first_col, first_value
 from vacancia.operators import dedupe, ingest, keys, merge
 from vacancia.plans.enrich import process_all
-from vacancia.plans.refresh import refresh
+from vacancia.plans.refresh import refresh, refresh_increment
 from vacancia.sources import readers, writers
 from vacancia.sources.schema import RAW_POSTINGS
 from vacancia.sources.workspace import new_path
@@ -374,8 +374,8 @@ _PROCESSED_SELECT = f"""select seq, {ROLE} as role_category, {YEARS} as years_ex
  array_to_string({skill_list()}, '|') as skills"""
 
 
-def _processed(rows):
-    return rows.select("seq", "role_category", "years_experience_required",
+def _processed(rows, *more):
+    return rows.select(*more, "seq", "role_category", "years_experience_required",
                        F.round("average_salary", 4).alias("average_salary"),
                        F.concat_ws("|", "skills").alias("skills"))
 
@@ -398,3 +398,21 @@ def _(spark, sf):
     out = new_path(spark, "refresh")
     _, processed = refresh(spark, [f"{out}/none"], new, out, _STAMP, period="pay_interval")
     return _processed(spark.read.parquet(processed))
+
+
+_WHOLE_FEED = f"""feed as (select 0 as src, * from jobs union all by name select 1 as src,
+ * replace ({', '.join(f'{e} as {c}' for c, e in _NEW.items())}) from jobs)"""
+
+
+@case("E1_refresh_increment", f"""with {JOBS}, {_WHOLE_FEED}, {NORMED},
+ {_first('id', 'normed', 'by_id')}, {_first(_COMPOSITE, 'by_id', 'merged')},
+ {_first('title, company, location', 'merged', 'firsts')}
+ {_PROCESSED_SELECT}, cast(src as integer) as batch from firsts""")
+def _(spark, sf):
+    old = jobs(spark, sf, text=True, link=True)
+    new = old.withColumns({c: F.expr(e) for c, e in _NEW.items()})
+    base = new_path(spark, "increments")
+    for number, rows in enumerate((old, new, new)):  # the last batch brings nothing
+        refresh_increment(spark, base, rows, number, period="pay_interval")
+    parts = spark.read.parquet(f"{base}/processed")
+    return _processed(parts, "batch")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
-from vacancia.plans.refresh import refresh
+from vacancia.plans.refresh import refresh, refresh_increment
 from vacancia.sources import readers, workspace, writers
 from vacancia.sources.schema import RAW_POSTINGS
 from vacancia.streaming import jobs as S
@@ -77,6 +77,21 @@ def test_refresh_twice(spark, tmp_path):
         104.0, ["SQL"], 5, "TX")
 
 
+def test_increments_equal_one_refresh(spark, tmp_path):
+    base, (first, second) = str(tmp_path / "i"), (postings(spark, 3), postings(spark, 20, 2))
+    whole = first.unionByName(second.where("seq > 2"))
+    _, processed = refresh(spark, [], whole, str(tmp_path / "w"), datetime(2026, 1, 1))
+    for number, rows in ((0, first), (1, second), (1, second), (2, second)):  # batch 1 is replayed
+        refresh_increment(spark, base, rows, number)
+    columns = ["seq", "title", "average_salary", "skills", "years_experience_required", "posted_month"]
+    got, want = (sorted(map(str, spark.read.parquet(p).select(*columns).collect()))
+                 for p in (f"{base}/processed", processed))
+    assert got == want
+    assert spark.read.parquet(f"{base}/raw").count() == spark.read.parquet(f"{base}/keys").count()
+    keys = spark.read.parquet(f"{base}/keys")
+    assert "description" not in keys.columns  # all that a later batch reads
+
+
 def test_ingest_replay_gives_the_same_table(spark, tmp_path):
     inbox, table, marks = (str(tmp_path / n) for n in ("in", "table", "marks"))
     postings(spark, 3).coalesce(1).write.parquet(inbox)
