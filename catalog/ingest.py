@@ -247,9 +247,14 @@ _BARE = f"""with {JOBS}, {_FEED.replace('feed as', 'named as')}, feed as (select
  from named), {NORMED}, {_first(_COMPOSITE, 'normed', 'merged')}"""
 
 
+def _bare_sides(spark, sf):
+    """An id column without a value (of the data, so no constant of the plan)."""
+    return [side.withColumn("id", F.expr("case when seq < 0 then id end")) for side in _sides(spark, sf)]
+
+
 @case("N8_fresh_rows_without_ids", f"{_BARE} select {', '.join(_FEED_COLUMNS)} from merged where src = 1")
 def _(spark, sf):
-    old, new = (side.withColumn("id", F.lit(None).cast("string")) for side in _sides(spark, sf))
+    old, new = _bare_sides(spark, sf)
     return merge.fresh_rows(merge.merge_new(old, old.limit(0)), new)
 
 

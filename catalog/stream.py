@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vacancia.sources.workspace import new_path
 from vacancia.streaming import jobs as S
 
-from .ingest import _BARE, _FEED_COLUMNS, _FEEDS, _COMPOSITE, _first, _sides
+from .ingest import _BARE, _bare_sides, _FEED_COLUMNS, _FEEDS, _COMPOSITE, _first, _sides
 from .jobs import case, table
 
 
@@ -29,7 +29,7 @@ def _arrivals(spark, old, new):
 
 @case("X1_ingest_without_ids", f"{_BARE} select {', '.join(_FEED_COLUMNS)} from merged")
 def _(spark, sf):
-    return _arrivals(spark, *[side.withColumn("id", F.lit(None).cast("string")) for side in _sides(spark, sf)])
+    return _arrivals(spark, *_bare_sides(spark, sf))
 
 
 @case("X2_streaming_dedupe", """select event_id, user_id, event_type from events""")
