@@ -34,7 +34,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slices(texts: list, limit: int = 4 << 20) -> Iterator[slice]:
+def slices(texts: list, limit: int = 1 << 20) -> Iterator[slice]:
     """Cut a batch into runs of about `limit` characters (one text at least)."""
     start = size = 0
     for i, text in enumerate(texts):
