@@ -134,8 +134,8 @@ def _order_key(row) -> tuple:
     return (row[0] is not None, row[0] or 0, row[1])
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 4096,
-              most_ranges: int = 65_536) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 1024,
+              most_ranges: int = 262_144) -> DataFrame:
     """Sorted ranges of documents, each followed by the first document of the next range.
 
     Columns: range, helper, id, tie, text; sorted by them inside each task. The
@@ -149,7 +149,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 4
     keys = rows.select("id", "tie")
     n = df.count()
     ranges = max(1, min(most_ranges, -(-n // rows_per_range)))
-    share = max(1, n // (16 * ranges))
+    share = max(1, n // (4 * ranges))
     some = keys.where(F.pmod(F.xxhash64("id", "tie"), F.lit(share)) == 0).distinct()
     starts = sorted({_order_key(r) for r in some.collect()})
     first = keys.orderBy(F.col("id").asc_nulls_first(), "tie").limit(1).collect()
