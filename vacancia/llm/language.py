@@ -135,23 +135,29 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-        texts_per_label: int = 1000, crops_per_text: int = 4) -> ByteNetwork | None:
+        texts_per_label: int = 1000, crops_per_text: int = 4,
+        most_labels: int = 1000) -> ByteNetwork | None:
     """Train on at most `texts_per_label` texts of each label, `crops_per_text` crops of each.
 
-    The texts are those of the smallest id hashes among the rows with text and
+    The texts are those of the smallest hashes (of id and text) among the rows with text and
     label that are not held out, so the sample is the same however the table is
     cut. Labels are counted first; only rows whose hash lies below about twice
     the wanted share of their label are ranked, so no task gets a whole label.
     Crops spread over the whole text; some are shortened, so that short texts
-    are known too. None if no row has a label.
+    are known too. None if no row has a label; more than `most_labels` labels
+    are an error, so tables of one row per label may be broadcast.
     """
     known = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(label_col).cast("string").alias("label"))
              .where(F.col("text").isNotNull() & F.col("label").isNotNull()
-                    & ~held_out("id")).withColumn("order", F.xxhash64("id")))
+                    & ~held_out("id")).withColumn("order", F.xxhash64("id", "text")))
     by_hash = Window.partitionBy("label").orderBy("order")
-    # One row per label, and labels are few.
-    counts = F.broadcast(known.groupBy("label").agg(F.count(F.lit(1)).alias("all")))
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("all")).limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    if not counts:
+        return None
+    counts = F.broadcast(df.sparkSession.createDataFrame(counts, "label string, all long"))
     low = (F.col("order") / float(1 << 64) + 0.5) * F.col("all") < 2.0 * texts_per_label + 50
     last = (known.select("label", "order").join(counts, "label").where(low)
             .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= texts_per_label)
