@@ -298,6 +298,10 @@ def test_join_on_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
         ["None", "1", "3", "4", "5", "6", "8", "9", "10", "11", "12"])
+    same_id = odd.sparkSession.createDataFrame([(5, "one text of six words here"), (5, "quite another text with other words"),
+                                                (5, "one text of six words here"), (9, "One text of six words here!")],
+                                               "doc_id long, text string")
+    assert sorted(r.text[:3] for r in near.keep_one(same_id).collect()) == ["one", "qui"]
     assert near.near_duplicates(none).count() == 0 and near.keep_one(none).count() == 0
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .tables import cut, fresh
 from .words import SHINGLE_WORDS, mix, shingle_sets, shingles, slices
@@ -266,8 +266,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD, width: int = SHINGLE_WORDS, trees: int = TREES,
                     recall: float = RECALL) -> DataFrame:
-    """One row per input row: the id (long), node, class_id, copies, links, group_id.
+    """One row per input row: the id (long), node, root, class_id, copies, links, group_id.
 
+    node stands for the text, root for the group (ids may repeat, these do not);
     class_id is the smallest id with the very same text, copies how many rows
     have it, links how many other texts are at least `threshold` alike, and
     group_id the smallest id that such links lead to, over any number of steps.
@@ -304,24 +305,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   .withColumn("root", F.coalesce("root", "node")))
     groups = classes.groupBy("root").agg(F.min("class_id").alias("group_id"))
     facts = classes.join(groups, "root").select(
-        "node", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "group_id")
+        "node", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "group_id")
     return ids.join(facts, "node").select(
-        F.col("id").alias(id_col), "node", "class_id", "copies", "links", "group_id")
+        F.col("id").alias(id_col), "node", "root", "class_id", "copies", "links", "group_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `df` less all near duplicates: of each group the row of the smallest id stays.
 
-    A row whose group has no known id is kept once per text. Of repeated rows one stays.
+    Without a known id in the group it is a row of its smallest node. Rows of
+    one id with texts that are not alike all stay; of repeated rows one does.
     All columns are kept as they are.
     """
     key, place = fresh(df.columns, "node", "place")
     found = near_duplicates(df, id_col, text_col, **options)
-    first = F.when(F.col("group_id").isNull(), F.col("node")).otherwise(F.lit(None))
     stays = (found.where(F.col(id_col).eqNullSafe(F.col("group_id")))
-             .groupBy("group_id", first.alias("unknown"))
-             .agg(F.min("node").alias(key)).select(F.col(key), F.col("group_id").alias(place)))
-    from pyspark.sql import Window
+             .groupBy("root").agg(F.min("node").alias(key)))
     one = Window.partitionBy(key).orderBy(F.col(f"`{id_col}`").asc_nulls_last())
     rows = (df.withColumn(key, node(f"`{text_col}`")).withColumn(place, F.row_number().over(one))
             .where(F.col(place) == 1).drop(place))

@@ -37,7 +37,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of equal texts, its links and its group."""
-    return near.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
+    return near.near_duplicates(read(spark, sf_dir, "documents")).drop("node", "root")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
