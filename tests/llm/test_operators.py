@@ -162,6 +162,25 @@ def test_pseudonyms_leave_the_rest_alone(spark, odd, none):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_values_after_signs_are_found(spark):
+    values = ["123-45-6789", "4111111111111111", "4111 1111 1111 1111", "192.168.1.10", "2024-01-31", "31.12.1999",
+              "01/31/2000", "415-555-0123", "(415) 555-0123", "1-800-555-0123", "+14155550123", "+44 20 7946 0958",
+              "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+49-30-123456", "+44 (0)20 7946 0958", "+35312345678"]
+    around = ["({})", "id-{}", "id:{}", "x.{}", "[{}]", "{}", "a +44 20 7946 0958 {} b", "7 apples, {}."]
+    rows = spark.createDataFrame([(a.format(v), v, a) for v in values for a in around], "text string, v string, a string")
+    got = pseudonyms.pseudonymize(rows, "k")
+    got = got.withColumn("p", pseudonyms.pseudonym(F.col("v"), "k")).collect()
+    undone = spark.createDataFrame(sorted({(r.p, r.v) for r in got}), "p string, v string")
+    assert all(r.v == r.back != r.p for r in undone.withColumn(
+        "back", pseudonyms.pseudonym(F.col("p"), "k", back=True)).collect())
+    other = next(r.p for r in got if r.v == "+44 20 7946 0958")
+    for r in got:
+        assert r.text == r.a.replace("+44 20 7946 0958", other).format(r.p), r
+    clear = ["1.2.3.4.5", "5-123-45-6789", "0.4111111111111111", "+0.12345678", "x+2024"]
+    rows = spark.createDataFrame([(t,) for t in clear], "text string")
+    assert [r.text for r in pseudonyms.pseudonymize(rows, "k").collect()] == clear
+
+
 # op3
 
 def test_fingerprints_estimate_the_true_likeness(spark, documents):

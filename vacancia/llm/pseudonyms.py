@@ -10,7 +10,7 @@ they become keyed digests in the same alphabet.
 | kind | format kept | domain |
 |---|---|---|
 | card | length, separators, first digit, valid Luhn digit | the digits between |
-| phone | country code, separators | the other digits |
+| phone (national, or international after a +) | country code, separators | the other digits |
 | social security number | separators, valid area, group and serial | 898 x 99 x 9999 |
 | IPv4 | dotted octets | 2^16 x 2^16 |
 | date (2024-01-31, 2024/01/31, 31.01.2024, 01/31/2024) | layout, valid date | the 146,097 days of a 400-year cycle |
@@ -31,16 +31,26 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 _SECRET = r"(?i:token|password|passwd|secret|api_key|apikey)\s?[=:]\s?[\"']?"
 _KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
+# What follows a phone number after a blank and is a value of its own.
+_APART = (r"\d{1,3}(?:\.\d{1,3}){3}(?!\p{N}|\.\p{N})|\d{4}-\d\d-\d\d(?!\p{N})|\d\d\.\d\d\.\d{4}(?!\p{N})"
+          r"|\d{4}/\d\d/|\d\d/\d\d/|\d{3}-\d\d-\d{4}(?!\p{N})")
+_CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\p{N}|[ -]\d{4}(?!\p{N}))|\d{4}[ -]\d{6}[ -]\d{5}(?!\p{N})"
+_NATIONAL = r"(?:\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\p{N})"
+_NATIONAL_ONLY = r"\d{3}[ .-]\d{3}[ .-]\d{4}$"
+_CODE = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"  # country codes, none begins another
 _NUMBERS = "|".join((
     r"\d{1,3}(?:\.\d{1,3}){3}(?!\p{N}|\.\p{N})",
     r"\d{4}-\d\d-\d\d(?!\p{N})", r"\d{4}/\d\d/\d\d(?!\p{N})",
     r"\d\d\.\d\d\.\d{4}(?!\p{N})", r"\d\d/\d\d/\d{4}(?!\p{N})",
     r"\d{3}-\d\d-\d{4}(?!\p{N}|-\p{N})",
     r"\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\p{N})",
-    r"(?:\+\d{1,3}[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\p{N})",
+    r"(?:\+?\d{1,3}[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\p{N})",
+    r"\+[1-9]\d{0,2}[ .-]?\(\d{1,4}\)(?:[ .-]?\d){6,10}(?!\p{N})",
+    rf"\+(?!\d{{1,3}} (?:{_CARD}))[1-9](?:(?:[.-]| (?!{_APART}))?\d){{7}}"
+    rf"(?:(?:[.-]| (?!{_APART}|{_CARD}|{_NATIONAL}))?\d){{0,7}}(?!\p{{N}})",
     r"\d{13,19}(?!\p{N})", r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?!\p{N})",
     r"\d{4}[ -]\d{6}[ -]\d{5}(?!\p{N})"))
-PATTERN = (rf"{_MAIL}|(?<![\p{{N}}.+(-])(?=[\d+(])(?:{_NUMBERS})|{_KEY}"
+PATTERN = (rf"{_MAIL}|(?<!\p{{N}})(?<!\p{{N}}[.+-])(?=[\d+(])(?:{_NUMBERS})|{_KEY}"
            rf"|{_SECRET}[0-9A-Za-z+/_-]{{16,}}")
 
 
@@ -137,7 +147,8 @@ def card(m: Column, key: str, back: bool = False) -> Column:
 
 
 def phone(m: Column, key: str, back: bool = False) -> Column:
-    code = F.length(_digits(F.regexp_extract(m, r"^\+?\d{1,3}[ .-]?(?=\()|^\+\d{1,3}", 0)))
+    code = F.length(_digits(F.regexp_extract(
+        m, rf"^\+?\d{{1,3}}[ .-]?(?=\()|^\+\d{{1,3}}(?=[ .-])|^\+(?:{_CODE})|^\d{{1,3}}[ .-](?={_NATIONAL_ONLY})", 0)))
     parts = F.struct(_digits(m).alias("all"), code.alias("code"))
     return _lay_out(m, _let(parts, lambda p: F.concat(
         F.substring(p["all"], F.lit(1), p["code"]), permute_digits(
@@ -207,11 +218,12 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
         out = out.when(m.rlike(shape) & F.try_to_date(m, layout).isNotNull(),
                        date(m, layout, key, back))
     out = out.when(valid_social, social(m, key, back))
+    out = out.when(plain & m.rlike(rf"^(?:\d{{1,3}}[ -])?{_NATIONAL_ONLY}"), phone(m, key, back))
     out = out.when(plain & F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0),
                    card(m, key, back))
     out = out.when(m.rlike(r"^[\d+(]") & m.rlike(r"[(+ .-]") & ~plain
-                   & F.length(d).between(10, 15) & ~m.rlike(r"^\d+(\.\d+)+$"), phone(m, key, back))
-    out = out.when(plain & m.rlike(r"^\d{3}[ -]\d{3}[ -]\d{4}$"), phone(m, key, back))
+                   & F.length(d).between(F.when(m.startswith("+"), 8).otherwise(10), F.lit(15))
+                   & ~m.rlike(r"^\d+(\.\d+)+$"), phone(m, key, back))
     out = out.when(m.rlike(_KEY), m if back else F.concat(
         F.substring(m, 1, 4), _digest_like(F.substring(m, 5, 16), "key", key)))
     name = F.regexp_extract(m, f"^{_SECRET}", 0)
