@@ -14,8 +14,13 @@ they become keyed digests in the same alphabet.
 | social security number | separators, valid area, group and serial | 898 x 99 x 9999 |
 | IPv4 | dotted octets | 2^16 x 2^16 |
 | date (2024-01-31, 2024/01/31, 31.01.2024, 01/31/2024) | layout, valid date | the 146,097 days of a 400-year cycle |
+| date (31/01/2024) | layout, valid date, a day above 12 | the 88,497 such days of a 400-year cycle |
 | mail address | the host | keyed digest for the name |
 | access key, token, password | prefix, length, case | keyed digest |
+
+A date like 01/02/2024 is read with the month first. The value of a token or
+password is of any length; without quotes it ends before white space, quotes,
+brackets, `,`, `;` or `&`.
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 10
 _CYCLE_START, _CYCLE = "1800-01-01", 627 * 233  # days of 400 Gregorian years, in two factors
+_LATE = 9 * 9833  # of these, days of the month above 12
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-_SECRET = r"(?i:token|password|passwd|secret|api_key|apikey)\s?[=:]\s?[\"']?"
+_SECRET_NAME = r"(?i:token|password|passwd|secret|api_key|apikey)\s?[=:]\s?"
+_SECRET = _SECRET_NAME + r"[\"']?"
+_SECRET_VALUE = r"[^\s\"'<>()\[\]{},;&]*[^\s\"'<>()\[\]{},;&.!?:]"
 _KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
 # What follows a phone number after a blank and is a value of its own.
 _APART = (r"\d{1,3}(?:\.\d{1,3}){3}(?!\p{N}|\.\p{N})|\d{4}-\d\d-\d\d(?!\p{N})|\d\d\.\d\d\.\d{4}(?!\p{N})"
@@ -51,7 +59,7 @@ _NUMBERS = "|".join((
     r"\d{13,19}(?!\p{N})", r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?!\p{N})",
     r"\d{4}[ -]\d{6}[ -]\d{5}(?!\p{N})"))
 PATTERN = (rf"{_MAIL}|(?<!\p{{N}})(?<!\p{{N}}[.+-])(?=[\d+(])(?:{_NUMBERS})|{_KEY}"
-           rf"|{_SECRET}[0-9A-Za-z+/_-]{{16,}}")
+           rf"|{_SECRET_NAME}(?:\"[^\"\r\n]++(?=\")|'[^'\r\n]++(?=')|[\"']?{_SECRET_VALUE})")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -199,6 +207,31 @@ def _digest_like(value: Column, kind: str, key: str) -> Column:
     return F.when(value == F.upper(value), F.upper(digest)).otherwise(digest)
 
 
+def late_date(m: Column, key: str, back: bool = False) -> Column:
+    """dd/MM/yyyy with a day above 12, permuted among such dates: so none is read with the month first."""
+    first = F.lit(_CYCLE_START).cast("date")
+
+    def start(month: Column) -> Column:
+        """How many late days lie before a month of the cycle."""
+        return F.datediff(F.add_months(first, month), first) - 12 * month
+
+    def run(day: Column) -> Column:
+        months = (F.year(day) - 1800) * 12 + F.month(day) - 1
+        inside = F.pmod(months, F.lit(4800))
+        index = start(inside) + F.dayofmonth(day) - 13
+        pair = feistel(F.floor(index / 9833), index % 9833, F.lit(9), F.lit(_LATE // 9), "late date", key, back)
+
+        def show(i: Column) -> Column:
+            near = F.floor(i * 4800 / _LATE).cast("int")
+            month = F.array_max(F.filter(F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, F.lit(4799))),
+                                         lambda n: start(n) <= i))
+            return _let(month, lambda n: F.date_format(F.date_add(
+                F.add_months(first, (months - inside + n).cast("int")), (i - start(n) + 12).cast("int")), "dd/MM/yyyy"))
+        return _let(pair, lambda p: _let((p["left"] * 9833 + p["right"]).cast("int"), show))
+
+    return _let(F.try_to_date(m, "dd/MM/yyyy"), run)
+
+
 _DATES = ((r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"), (r"^\d{4}/\d\d/\d\d$", "yyyy/MM/dd"),
           (r"^\d\d\.\d\d\.\d{4}$", "dd.MM.yyyy"), (r"^\d\d/\d\d/\d{4}$", "MM/dd/yyyy"))
 
@@ -210,51 +243,54 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     area, group, serial = (F.regexp_extract(m, r"^(\d{3})-(\d\d)-(\d{4})$", i) for i in (1, 2, 3))
     valid_social = (m.rlike(r"^\d{3}-\d\d-\d{4}$") & ~area.isin("000", "666") & (area < "900")
                     & (group != "00") & (serial != "0000"))
-    out = F.when(m.contains("@"), m if back else F.concat(
+    name = F.regexp_extract(m, f"^{_SECRET}", 0)
+    value = F.substring(m, F.length(name) + 1, F.length(m))
+    out = F.when(name != "", m if back else F.concat(name, _digest_like(value, "secret", key)))
+    out = out.when(m.contains("@"), m if back else F.concat(
         F.lit("u"), F.substring(_hash(key, F.lit("mail"), F.lower(m)), 1, 15),
         F.regexp_extract(m, r"@.*$", 0)))
     out = out.when(m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), address(m, key, back))
     for shape, layout in _DATES:
         out = out.when(m.rlike(shape) & F.try_to_date(m, layout).isNotNull(),
                        date(m, layout, key, back))
+    out = out.when(m.rlike(r"^\d\d/\d\d/\d{4}$") & F.try_to_date(m, "dd/MM/yyyy").isNotNull(),
+                   late_date(m, key, back))
     out = out.when(valid_social, social(m, key, back))
     out = out.when(plain & m.rlike(rf"^(?:\d{{1,3}}[ -])?{_NATIONAL_ONLY}"), phone(m, key, back))
     out = out.when(plain & F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0),
                    card(m, key, back))
     out = out.when(m.rlike(r"^[\d+(]") & m.rlike(r"[(+ .-]") & ~plain
-                   & F.length(d).between(F.when(m.startswith("+"), 8).otherwise(10), F.lit(15))
-                   & ~m.rlike(r"^\d+(\.\d+)+$"), phone(m, key, back))
+                   & F.length(d).between(F.when(m.rlike(r"[+(]"), 8).otherwise(10), F.lit(15))
+                   & ~m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), phone(m, key, back))
     out = out.when(m.rlike(_KEY), m if back else F.concat(
         F.substring(m, 1, 4), _digest_like(F.substring(m, 5, 16), "key", key)))
-    name = F.regexp_extract(m, f"^{_SECRET}", 0)
-    value = F.substring(m, F.length(name) + 1, F.length(m))
-    out = out.when(name != "", m if back else F.concat(name, _digest_like(value, "secret", key)))
     return out.otherwise(m)
 
 
 def pseudonymize(df: DataFrame, key: str, text_col: str = "text",
                  count_col: str | None = "n_values") -> DataFrame:
-    """All columns, the text with its personal data replaced, and how many values were found.
+    """All columns, the text with its personal data replaced, and how many values were replaced.
 
     The whole text is searched. A null text stays null with count 0, a text
     without personal data stays as it is. A column named like the count is
     replaced. Rows are neither moved nor dropped.
     """
     text = F.col(f"`{text_col}`")
-    # Every value has a digit or an @; other texts are not searched.
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    # Every value has a digit, an @ or a secret's name; other texts are not searched.
+    found = F.when(text.rlike(f"[0-9@]|{_SECRET_NAME}"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     found = F.coalesce(found, F.array().cast("array<string>"))
     kept = df.columns if count_col is None else [c for c in df.columns if c != count_col]
-    values, between = "__values", "__between"
-    while {values, between} & set(kept):
-        values, between = f"_{values}", f"_{between}"
+    values, shown, between = "__values", "__shown", "__between"
+    while {values, shown, between} & set(kept):
+        values, shown, between = f"_{values}", f"_{shown}", f"_{between}"
     rows = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn(values, found)
     rows = rows.withColumn(between, F.when(F.size(values) > 0, F.split(text, PATTERN, -1)))
+    rows = rows.withColumn(shown, F.transform(values, lambda m: pseudonym(m, key)))
     changed = F.concat(F.array_join(F.zip_with(
-        F.slice(F.col(between), F.lit(1), F.size(values)), F.col(values),
-        lambda part, m: F.concat(part, pseudonym(m, key))), ""),
+        F.slice(F.col(between), F.lit(1), F.size(values)), F.col(shown), lambda part, p: F.concat(part, p)), ""),
         F.element_at(F.col(between), -1))
     rows = rows.withColumn(text_col, F.when(F.size(values) > 0, changed).otherwise(text))
     if count_col is not None:
-        rows = rows.withColumn(count_col, F.size(values))
-    return rows.drop(values, between)
+        rows = rows.withColumn(count_col, F.size(F.filter(
+            F.zip_with(values, shown, lambda m, p: m != p), lambda new: new)))
+    return rows.drop(values, shown, between)
