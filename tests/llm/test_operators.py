@@ -100,6 +100,36 @@ def test_license_scan_on_odd_rows(odd, none):
     assert got["b"].coverage == 0.8 and got["c"].license_id is None
 
 
+def test_near_miss_notices_are_told_apart(spark):
+    clauses = licenses._BSD_CLAUSES.replace("[", "").replace("]", "") + "with the distribution. "
+    gpl = "This work is licensed under the GNU {}."
+    cc = "This work is licensed under a Creative Commons {} International License."
+    cases = [
+        ("Released under the BSD License.", []), ("Released under the MIT License.", ["MIT"]),
+        ("Released under the MIT No Attribution License.", ["MIT-0"]),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("Licensed under CC BY-NC 3.0.", []),
+        (gpl.format("General Public License, version 2"), ["GPL-2.0"]),
+        (gpl.format("General Public License, version 3"), ["GPL-3.0"]),
+        (gpl.format("General Public License v3.0"), ["GPL-3.0"]),
+        (gpl.format("Affero General Public License, version 3"), ["AGPL-3.0"]),
+        (gpl.format("Lesser General Public License, version 2.1"), ["LGPL-2.1"]),
+        (cc.format("Attribution 4.0"), ["CC-BY-4.0"]),
+        (cc.format("Attribution-NonCommercial 4.0"), ["CC-BY-NC-4.0"]),
+        (licenses._GPL.format("Lesser General Public License", "3"), ["LGPL-3.0"]),
+        (licenses._GPL.format("General Public License", "2"), ["GPL-2.0"]),
+        ("Licensed under the Apache License 2.0.", ["Apache-2.0"]),
+        (licenses._BSD, ["LicenseRef-BSD"]), (clauses + "THIS SOFTWARE IS PROVIDED BY", ["BSD-2-Clause"]),
+        (clauses + "3. Neither the name of the holder", ["BSD-3-Clause"]),
+        (clauses + "* Neither the name of the holder", ["BSD-3-Clause"]),
+        (clauses + "3. All advertising materials mentioning features or use", ["BSD-4-Clause"]),
+        ("the GNU tools. " + gpl.format("General Public License, version 3") + " All rights reserved.",
+         ["GPL-3.0", "LicenseRef-all-rights-reserved"])]
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(rows).collect()}
+    assert [(text, got[i]) for i, (text, _) in enumerate(cases)] == cases
+
+
 # op2
 
 PATTERNS = {"card": ["4111111111111111", "4111 1111 1111 1111", "378282246310005"],

@@ -6,7 +6,12 @@ between anchors are aligned in the same way. A gap without anchors gets its
 longest common subsequence. Coverage is the share of the template's words that
 found their place.
 
-Where to align is found exactly, not guessed: a passage that covers `least` of
+Words in brackets name the license (name, version, BY/NC/SA). They must stand in
+the passage in full and without foreign words between them; the rest of the
+template is aligned before, between and behind them. A passage within that of a
+longer name which holds all of its naming words is left out.
+
+Where to align templates without such words is found exactly, not guessed: a passage that covers `least` of
 a template holds one of any floor((1 - least) * words) + 1 of its words, so
 texts without those key words are left alone, and a passage is aligned only if
 it holds enough words of the template at all.
@@ -26,25 +31,48 @@ from pyspark.sql import DataFrame, functions as F
 from .words import slices, word_hashes
 
 # Public notices and the opening words of public licenses, by SPDX id.
+_GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the [GNU {0}] "
+        "as published by the Free Software Foundation, either [version {1}] of the License, or (at your option) "
+        "any later version.")
+_GNU = [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+        ("LGPL-2.0", "Library General Public License", "2"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "Affero General Public License", "3")]
+_CC = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+       ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+_BSD = ("[Redistribution and use in source and binary forms], with or without modification, "
+        "are permitted provided that the following conditions are met")
+_BSD_CLAUSES = (_BSD + ": Redistributions of source code must retain the above copyright notice, this list of conditions "
+                "and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+                "this list of conditions and the following disclaimer in the documentation and/or other materials "
+                "provided ")
+_MIT = ("[Permission is hereby granted, free of charge], to any person obtaining a copy of this "
+        "software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software")
 TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-            "software and associated documentation files (the \"Software\"), to deal in the Software "
-            "without restriction, including without limitation the rights to use, copy, modify, merge, "
-            "publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released [under the MIT] License."),
+    ("MIT-0", "Released [under the MIT No Attribution] License."),
+    ("MIT", _MIT),
+    ("MIT-0", _MIT + ", and to permit persons to whom the Software is [furnished to do so. THE SOFTWARE IS PROVIDED]"),
+    *(("Apache-2.0", f"Licensed under the [{name}].") for name in (
+        "Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0")),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed "
                    "under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
                    "CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the "
-                "terms of the GNU General Public License as published by the Free Software Foundation, "
-                "either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, "
-                     "are permitted provided that the following conditions are met"),
-    ("LicenseRef-all-rights-reserved", "All rights reserved."),
+    *((spdx, f"This work is licensed under the [GNU {name}{by}{version}].")
+      for spdx, name, version in _GNU for by in (", version ", " v")),
+    *((spdx, _GPL.format(name, version)) for spdx, name, version in _GNU),
+    *((f"CC-{short}-4.0", f"Licensed under [CC {short} 4.0].") for short, _ in _CC),
+    *((f"CC-{short}-4.0", f"This work is licensed under a [Creative Commons {name} 4.0] International License.")
+      for short, name in _CC),
+    ("LicenseRef-BSD", _BSD),  # the opening words alone, which all BSD licenses share
+    ("BSD-2-Clause", _BSD_CLAUSES + "[with the distribution. THIS SOFTWARE IS PROVIDED]"),
+    ("BSD-3-Clause", _BSD_CLAUSES + "[with the distribution. Neither the name of]"),
+    ("BSD-3-Clause", _BSD_CLAUSES + "[with the distribution. 3. Neither the name of]"),
+    ("BSD-4-Clause", _BSD_CLAUSES + "with the distribution. [All advertising materials mentioning features or use]"),
+    ("LicenseRef-all-rights-reserved", "[All rights reserved]."),
 ]
 COVERAGE = 0.8
 _WORD = re.compile(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+")  # the words of word_hashes
@@ -114,6 +142,7 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 class Template:
     license_id: str
     words: list[int]
+    names: list[tuple[int, int]]  # runs of naming words: first, and behind the last
     known: np.ndarray  # its distinct words
     keys: np.ndarray  # one of these is in every passage that covers enough
 
@@ -123,12 +152,18 @@ class Template:
         self.license_id, self.words = license_id, hashes.tolist()
         self.known = np.unique(hashes)
         self.keys = np.unique(hashes[long[:int((1 - least) * len(hashes) + 1e-9) + 1]])
+        self.names = [tuple(len(_WORD.findall(text[:i])) for i in m.span()) for m in re.finditer(r"\[[^\]]*\]", text)]
+        self.naming = frozenset(w for x, y in self.names for w in self.words[x:y])
+        if self.names:  # the longest word of each run is in every passage
+            self.keys = np.unique(hashes[[next(i for i in long if x <= i < y) for x, y in self.names]])
 
 
 def passages(words: np.ndarray, template: Template, least: float) -> list[tuple[float, int, int]]:
     """(coverage, first word, last word) of the passages covering at least `least` of a template."""
     n = len(template.words)
     need = least * n - 1e-9
+    if template.names:
+        return named_passages(words, template, need)
     hits = np.flatnonzero(np.isin(words, template.keys))
     if not len(hits):
         return []
@@ -147,6 +182,42 @@ def passages(words: np.ndarray, template: Template, least: float) -> list[tuple[
     return out
 
 
+def runs_of(words: np.ndarray, run: list[int]) -> list[int]:
+    """Where a run of words stands without foreign words between them."""
+    at = np.flatnonzero(words == np.uint64(run[0]))
+    for k, w in enumerate(run):
+        at = at[at + k < len(words)]
+        at = at[words[at + k] == np.uint64(w)]
+    return at.tolist()
+
+
+def named_passages(words: np.ndarray, template: Template, need: float) -> list[tuple[float, int, int]]:
+    """The passages around each place of the naming words, these pinned and the rest aligned around them."""
+    t, n = template.words, len(template.words)
+    reach = n + n // 2 + 4
+    places = [runs_of(words, t[x:y]) for x, y in template.names]
+    if not all(places):
+        return []
+    out, after = [], -1
+    for hit in places[0]:
+        if hit <= after:
+            continue
+        start, pairs, x0, at = max(after + 1, hit - reach), [], 0, max(after + 1, hit - reach)
+        for k, (x, y) in enumerate(template.names):
+            here = hit if k == 0 else next((p for p in places[k] if at <= p <= hit + reach), None)
+            if here is None:
+                break
+            pairs += [(x0 + i, at + j) for i, j in align(t[x0:x], words[at:here].tolist())]
+            pairs += [(x + i, here + i) for i in range(y - x)]
+            x0, at = y, here + y - x
+        else:
+            pairs += [(x0 + i, at + j) for i, j in align(t[x0:], words[at:hit + reach + 1].tolist())]
+            if len(pairs) >= need:
+                after = pairs[-1][1]
+                out.append((len(pairs) / n, pairs[0][1], after))
+    return out
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None,
          least: float = COVERAGE) -> DataFrame:
     """One row per input row: the id, license_id, coverage, start_char, end_char, licenses, n_passages.
@@ -163,10 +234,18 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     keys = np.unique(np.concatenate([t.keys for t in known])) if known else np.empty(0, np.uint64)
 
     def look(text: str, words: np.ndarray):
-        found = [(c, len(t.words), -a, t.license_id, a, b)
-                 for t in known for c, a, b in passages(words, t, least)]
+        held = set(words[np.isin(words, keys)].tolist())
+        every = [(t, c, a, b) for t in known if not t.names or held.issuperset(t.keys.tolist())
+                 for c, a, b in passages(words, t, least)]
+        found = [(c, len(t.words), -a, t.license_id, a, b) for t, c, a, b in every
+                 if not any(t.naming and t.naming < u.naming and t.license_id != u.license_id and x <= b and a <= y
+                            for u, _, x, y in every)]
         if not found:
             return None, 0.0, None, None, [], 0
+        # Templates of one license that meet in one place are one passage.
+        found = [f for i, f in enumerate(found) if not any(
+            f[3] == g[3] and f[4] <= g[5] and g[4] <= f[5] and (f[0] * f[1], -i) < (g[0] * g[1], -k)
+            for k, g in enumerate(found))]
         best = min(found, key=lambda x: (-x[0], -x[1], -x[2], x[3]))
         places = [m.span() for m in _WORD.finditer(text)]
         return (best[3], best[0], places[best[4]][0], places[best[5]][1],
