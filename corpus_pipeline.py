@@ -11,9 +11,16 @@ from vacancia.sources.workspace import new_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows go on; null texts and texts without letters are rejected."""
+    """Documents with letters go on; null texts and texts without letters are rejected.
+
+    The network labels every text with letters, so its score rejects none. An
+    error if there are such texts but no labelled one to learn from.
+    """
     label, score = fresh(docs.columns, "lang_pred", "score")
-    seen = language.predict(docs, language.fit(docs), label=label, score=score)
+    model = language.fit(docs)
+    if model is None and not docs.where(F.col("text").rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no document with a language to learn from")
+    seen = language.predict(docs, model, label=label, score=score)
     return seen.where(F.col(label) != language.UNKNOWN).drop(label, score)
 
 

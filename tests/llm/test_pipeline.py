@@ -1,5 +1,8 @@
 """The pipeline: each stage against its own rule, and as a whole."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vacancia.llm import near, pseudonyms
 from vacancia.llm.tables import read
@@ -37,6 +40,13 @@ def test_rejected_documents_go(spark):
     assert kept.count() == docs.count() and kept.columns == docs.columns
 
 
+def test_nothing_to_learn_from_is_an_error(spark):
+    docs = read(spark, SF, "documents").withColumn("lang", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="to learn from"):
+        corpus_pipeline.identify_language(spark, docs, SF)
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
