@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, language, licenses, near, packing, pseudonyms, sharding, token_counts, topk
+from . import bpe, conversations, fingerprints, language, licenses, near, packing, pseudonyms, sharding, token_counts, topk
 from .tables import read
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -82,8 +82,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "grown_shard")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after the planted damage: its faults and its cheapest repair."""
+    rows = conversations.damaged(read(spark, sf_dir, "conversations"))
+    return conversations.repair(rows).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_licenses, op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding)}
+    op1_licenses, op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding,
+    op11_conversation_repair)}
 SQL: dict[str, str] = {
     "op4_near_duplicates": r"""
 with recursive c as (select coalesce(text, '') as body, min(doc_id) as class_id, count(*) as copies
