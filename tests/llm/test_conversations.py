@@ -105,7 +105,8 @@ def test_names_types_and_empty_tables(spark):
     table = spark.createDataFrame(
         [("c", -(1 << 63), "user", "one.", "x"), ("c", (1 << 63) - 1, "assistant", "two.", "y")],
         "thread string, at long, who string, said string, conv string")
-    plain = conversations.damaged(table, "thread", "at", "who", "said").withColumn("times", conversations.F.lit(1))
+    assert conversations.damaged(table, "thread", "at", "who", "said").columns == ["conv", "turn", "role", "text", "times"]
+    plain = table.selectExpr("thread as conv", "at as turn", "who as role", "said as text", "1 as times", "conv as cost")
     row = conversations.repair(plain).first()
     assert (row.conv, row.gaps, row.audit, row.cost) == ("c", None, "KK", 0)
     assert row.repaired_sha256 == hashlib.sha256(b"user:one.\nassistant:two.").hexdigest()
