@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversations, fingerprints, language, licenses, near, packing, pseudonyms, sharding, token_counts, topk
+from . import bpe, conversations, fingerprints, language, licenses, manifest, near, packing, pseudonyms, sharding, token_counts, topk
 from .tables import read
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -88,9 +88,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(rows).withColumnRenamed("conv", "conv_id")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of the manifest, with its proof, checked against the rows as they may have become."""
+    return manifest.manifest(read(spark, sf_dir, "documents"),
+                             tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_licenses, op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding,
-    op11_conversation_repair)}
+    op11_conversation_repair, op12_manifest)}
 SQL: dict[str, str] = {
     "op4_near_duplicates": r"""
 with recursive c as (select coalesce(text, '') as body, min(doc_id) as class_id, count(*) as copies
