@@ -95,16 +95,22 @@ def fold(node: str, steps) -> str:
     return node
 
 
+def _one_by_one(batches):
+    """Rows as dicts; only one pack is ever unpacked."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _pack_up(levels: int):
     """Lists of (rank, digest) of a tree -> packs."""
     def run(batches):
-        for batch in batches:
-            done = [climb([x["node"] for x in nodes], n <= FAN ** levels, levels)
-                    for nodes, n in zip(batch.column("nodes").to_pylist(), batch.column("n").to_pylist())]
+        for r in _one_by_one(batches):
+            node, height, records = climb([x["node"] for x in r["nodes"]], r["n"] <= FAN ** levels, levels)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("tree"), batch.column("no"), batch.column("n"),
-                 pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.int32()),
-                 pa.array([list(d[2].items()) for d in done], pa.map_(pa.binary(), pa.list_(pa.binary())))],
+                [pa.array([r["tree"]], pa.string()), pa.array([r["no"]], pa.int64()), pa.array([r["n"]], pa.int64()),
+                 pa.array([node], pa.binary()), pa.array([height], pa.int32()),
+                 pa.array([list(records.items())], pa.map_(pa.binary(), pa.list_(pa.binary())))],
                 ["tree", "no", "n", "node", "height", "records"])
     return run
 
@@ -157,14 +163,12 @@ def _arrive(packs: DataFrame, arrivals: DataFrame, wanted: DataFrame, span: int)
 def _go_down(schema: pa.Schema, span: int):
     """Requests go down one pack each: where they come out, and their path to the root."""
     def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                records = dict(r["records"])
-                for request in r["requests"]:
-                    node, steps = segment(records, r["node"], r["height"], request["rank"] % span)
-                    out.append({"tree": r["tree"], "no": request["rank"], "node": node, "above": steps + r["above"],
-                                "subroot": r["subroot"], "root": r["root"], "carry": request["carry"]})
+        for r in _one_by_one(batches):
+            records, out = dict(r["records"]), []
+            for request in r["requests"]:
+                node, steps = segment(records, r["node"], r["height"], request["rank"] % span)
+                out.append({"tree": r["tree"], "no": request["rank"], "node": node, "above": steps + r["above"],
+                            "subroot": r["subroot"], "root": r["root"], "carry": request["carry"]})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
     return run
 
@@ -182,22 +186,21 @@ def _down(packs: DataFrame, arrivals: DataFrame, wanted: DataFrame, span: int) -
 def _prove(schema: pa.Schema, span: int):
     """Leaf requests at their lowest pack: proofs, and what the evidence folds to."""
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                records, above = dict(r["records"]), steps_of(r["above"])
-                upper = "".join(s for _, others in above for s in others)
-                subroot, root, out = r["subroot"].hex(), r["root"].hex(), []
-                for request in r["requests"]:
-                    node, steps = segment(records, r["node"], r["height"], request["rank"] % span)
-                    carry, steps = request["carry"], steps_of(steps)
-                    if node != carry["leaf"]:
-                        raise ValueError("the records do not lead to the leaf")
-                    siblings = "".join(s for _, others in steps for s in others) + upper
-                    folded = fold(fold((carry["evidence"] or node).hex(), steps), above)
-                    out.append(carry["kept"] | {
-                        "leaf": node.hex(), "subroot": subroot, "root": root, "proof_sha256": digest([siblings]),
-                        "folded_root": folded, "verified": folded == root})
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        for r in _one_by_one(batches):
+            records, above = dict(r["records"]), steps_of(r["above"])
+            upper = "".join(s for _, others in above for s in others)
+            subroot, root, out = r["subroot"].hex(), r["root"].hex(), []
+            for request in r["requests"]:
+                node, steps = segment(records, r["node"], r["height"], request["rank"] % span)
+                carry, steps = request["carry"], steps_of(steps)
+                if node != carry["leaf"]:
+                    raise ValueError("the records do not lead to the leaf")
+                siblings = "".join(s for _, others in steps for s in others) + upper
+                folded = fold(fold((carry["evidence"] or node).hex(), steps), above)
+                out.append(carry["kept"] | {
+                    "leaf": node.hex(), "subroot": subroot, "root": root, "proof_sha256": digest([siblings]),
+                    "folded_root": folded, "verified": folded == root})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
     return run
 
 
