@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversations, fingerprints, language, licenses, manifest, near, packing, pseudonyms, sharding, token_counts, topk
+from vacancia.sources.workspace import new_path
+
+from . import (
+    archives, bpe, conversations, fingerprints, language, licenses, manifest, near, packing, pseudonyms, sharding,
+    token_counts, topk)
 from .tables import read
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -94,9 +98,18 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                              tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in legacy archives, converted to WARC archives and read back."""
+    old, new = new_path(spark, "arc"), new_path(spark, "warc")
+    archives.write_arc(read(spark, sf_dir, "pages"), old)
+    archives.convert(spark, old, new)
+    return archives.read_warc(spark, new).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_licenses, op2_pseudonyms, op3_fingerprints, op4_near_duplicates, op5_language, op6_token_counts, op7_top_k, op8_bpe, op9_packing, op10_sharding,
-    op11_conversation_repair, op12_manifest)}
+    op11_conversation_repair, op12_manifest, op13_warc)}
 SQL: dict[str, str] = {
     "op4_near_duplicates": r"""
 with recursive c as (select coalesce(text, '') as body, min(doc_id) as class_id, count(*) as copies
