@@ -216,7 +216,8 @@ def prove(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     """
     span = FAN ** levels
     named = F.when(F.col("tree").isNull(), "-").otherwise(F.concat(F.lit("="), "tree"))  # in the same order
-    leaves = leaves.withColumn("tree", named)
+    # Stored before they are sorted, since sorting looks at its rows twice: every text is digested once.
+    leaves = materialize(leaves.withColumn("tree", named), "manifest-digests")
     numbered = materialize(_numbered(leaves, "tree", "key", "leaf"), "manifest-leaves")
     nodes = numbered.select("tree", "rank", "n", F.col("leaf").alias("node"))
     packs = build(nodes, levels)
