@@ -200,15 +200,6 @@ def _survey(batches):
     return _bounded(rows(), _SEEN, lambda r: 300)
 
 
-def _contents(batches):
-    """Every ARC record with its content."""
-    schema = pa.schema([("file", pa.string()), ("place", pa.int64()), ("ip", pa.string()),
-                        ("content_type", pa.string()), ("block", pa.binary())])
-    rows = ({"file": r["path"], "place": x["place"], "ip": x["IP-address"], "content_type": x["Content-type"],
-             "block": x["block"]} for r in _one_by_one(batches) for x in parse_arc(r["content"], r["path"]))
-    return _bounded(rows, schema, lambda r: len(r["block"]))
-
-
 # --- WARC ---
 
 def warc_record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -219,29 +210,31 @@ def warc_record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
 
 
 def _compose(batches):
-    """Records with their links -> WARC records, a warcinfo first."""
+    """ARC files with the links of their records -> WARC records, for each file a warcinfo first."""
     def rows():
-        opened = False
         for r in _one_by_one(batches):
-            if not opened:
-                made = uuid.UUID(bytes=hashlib.sha1(f"warcinfo {r['id']}".encode()).digest()[:16], version=5)
-                yield {"value": warc_record(
-                    [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{made}>"),
-                     ("WARC-Date", r["date"]), ("Content-Type", "application/warc-fields")],
-                    b"software: vacancia\r\nformat: WARC File Format 1.1\r\n")}
-                opened = True
-            block, target, kind = r["block"], r["target"], r["type"]
-            fields = [("WARC-Record-ID", r["id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"]),
-                      ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", f"sha1:{r['digest']}")]
-            if kind == "response":
-                fields.append(("Content-Type", "application/http; msgtype=response"))
-            else:
-                fields.append(("Content-Type", r["content_type"]))
-            if target:
-                kind, block = "revisit", split_http(block)[0]
-                fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", target["id"]),
-                           ("WARC-Refers-To-Target-URI", target["url"]), ("WARC-Refers-To-Date", target["date"])]
-            yield {"value": warc_record([("WARC-Type", kind), *fields], block)}
+            links, opened = {x["place"]: x for x in r["links"]}, False
+            for record in parse_arc(r["content"], r["path"]):
+                link, block, date = links[record["place"]], record["block"], warc_date(record["Archive-date"])
+                if not opened:
+                    made = uuid.UUID(bytes=hashlib.sha1(f"warcinfo {link['id']}".encode()).digest()[:16], version=5)
+                    yield {"value": warc_record(
+                        [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{made}>"),
+                         ("WARC-Date", date), ("Content-Type", "application/warc-fields")],
+                        b"software: vacancia\r\nformat: WARC File Format 1.1\r\n")}
+                    opened = True
+                target, kind, content_type = link["target"], link["type"], record["Content-type"]
+                if kind == "response":
+                    content_type = "application/http; msgtype=response"
+                fields = [("WARC-Record-ID", link["id"]), ("WARC-Date", date), ("WARC-Target-URI", record["URL"]),
+                          ("WARC-IP-Address", record["IP-address"]), ("Content-Type", content_type),
+                          ("WARC-Payload-Digest", f"sha1:{link['digest']}")]
+                if target:
+                    kind, block = "revisit", split_http(block)[0]
+                    fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", target["id"]),
+                               ("WARC-Refers-To-Target-URI", target["url"]),
+                               ("WARC-Refers-To-Date", target["date"])]
+                yield {"value": warc_record([("WARC-Type", kind), *fields], block)}
     return _bounded(rows(), _VALUE, lambda r: len(r["value"]))
 
 
@@ -251,7 +244,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
     Of the responses with equal payloads of at least `least` bytes, the one of the largest
     key (then the latest, then the last) stays a response, the others become
     revisits. Payloads are equal if their SHA-256 are. A group of any size meets in no
-    task: each file sums up its own records first, and only these sums meet.
+    task: each file sums up its own records first, and only these sums meet. A file is
+    converted where its links are; its bytes travel as they are, compressed.
     """
     files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
     seen = cut(files.mapInArrow(_survey, _SEEN_DDL)).withColumn("key", F.expr("try_cast(key as long)"))
@@ -259,12 +253,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
     sums = seen.where((F.col("type") == "response") & (F.col("n") >= least)).groupBy("file", "same").agg(
         F.max(rank).alias("last"))
     sums = sums.withColumn("last", F.max("last").over(Window.partitionBy("same")))
-    links = seen.join(sums, ["file", "same"], "left").select(
-        "file", "place", "id", "type", "url", "date", "digest",
-        F.when((F.col("type") == "response") & (F.col("n") >= least) & (F.col("last.id") != F.col("id")),
-               F.struct("last.id", "last.url", "last.date")).alias("target"))
-    contents = files.mapInArrow(_contents, "file string, place long, ip string, content_type string, block binary")
-    _write(contents.join(links, ["file", "place"]).mapInArrow(_compose, "value binary"), warc_path, _WARC_END)
+    revisit = (F.col("type") == "response") & (F.col("n") >= least) & (F.col("last.id") != F.col("id"))
+    links = seen.join(sums, ["file", "same"], "left").groupBy(F.col("file").alias("path")).agg(
+        F.collect_list(F.struct("place", "id", "type", "digest", F.when(
+            revisit, F.struct("last.id", "last.url", "last.date")).alias("target"))).alias("links"))
+    _write(files.join(links, "path").mapInArrow(_compose, "value binary"), warc_path, _WARC_END)
 
 
 def parse_warc(content: bytes, name: str = ""):
