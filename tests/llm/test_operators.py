@@ -211,6 +211,35 @@ def test_values_after_signs_are_found(spark):
     assert [r.text for r in pseudonyms.pseudonymize(rows, "k").collect()] == clear
 
 
+def test_long_values_do_not_fill_the_stack(spark):
+    n = 200_000
+    texts = ["x@" + "a." * n + "com", "x@" + "a-" * n + ".com", "y." * n + "@h.org", "+1" + ".2" * n, "+1" + " 2" * n,
+             "AKIA" * n, "token=" + "ab." * n, "token=" * n, "password='" + "q " * n + "'", "secret: \"" * n, "1." * n,
+             "(1)" * n, "1 " * n, "12/" * n, "a@b" * n]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(4)
+    got = {r.i: r.text for r in pseudonyms.pseudonymize(rows, "k").collect()}
+    assert len(got) == len(texts)
+    assert got[0].startswith("u") and got[0].endswith("@" + "a." * n + "com") and "q q" not in got[8]
+
+
+def test_dates_at_both_ends_keep_their_layout(spark):
+    days = spark.range(0, 146_000, 1).select(F.col("id").cast("int").alias("i"))
+    early = days.where("i < 74000").select(F.date_add(F.lit("0001-01-01").cast("date"), F.col("i")).alias("day"))
+    late = days.where("i < 73100").select(F.date_sub(F.lit("9999-12-31").cast("date"), F.col("i")).alias("day"))
+    rows = early.unionAll(late).select(F.date_format("day", "yyyy-MM-dd").alias("a"), F.date_format("day", "dd/MM/yyyy").alias("b"),
+                                       F.dayofmonth("day").alias("n"))
+    rows = rows.withColumn("pa", pseudonyms.date(F.col("a"), "yyyy-MM-dd", "k")).withColumn(
+        "pb", F.when(F.col("n") > 12, pseudonyms.late_date(F.col("b"), "k")))
+    rows = cut(rows)
+    undone = rows.where(~F.col("pa").rlike(r"^\d{4}-\d\d-\d\d$") | (F.col("pa") < "0001-01-01")
+                        | (pseudonyms.date(F.col("pa"), "yyyy-MM-dd", "k", back=True) != F.col("a"))
+                        | ((F.col("n") > 12) & (~F.col("pb").rlike(r"^(1[3-9]|[23]\d)/\d\d/\d{4}$")
+                           | (pseudonyms.late_date(F.col("pb"), "k", back=True) != F.col("b")))))
+    assert undone.count() == 0
+    assert rows.select("pa").distinct().count() == rows.count()
+    assert rows.where("n > 12").select("pb").distinct().count() == rows.where("n > 12").count()
+
+
 def test_found_values_are_replaced_and_only_these_counted(spark):
     texts = [("415.555.0123", 1), ("1.415.555.0123 and 1.2.3.4", 2), ("due 31/01/2024", 1), ("due 13/12/1799", 1),
              ("password=abcdefghijklmnopqrst", 1), ("password: 'a b c' Token=xyz, api_key = Ab+/=", 3),
@@ -229,7 +258,8 @@ def test_found_values_are_replaced_and_only_these_counted(spark):
 def test_late_days_are_permuted_one_to_one(spark):
     days = spark.range(-400, 146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
     days = days.where(F.dayofmonth("day") > 12).select(F.date_format("day", "dd/MM/yyyy").alias("d"))
-    rows = days.select("d", pseudonyms.late_date(F.col("d"), "k").alias("p")).localCheckpoint()
+    rows = days.select("d", pseudonyms.late_date(F.col("d"), "k").alias("p"))
+    rows = cut(rows)
     undone = rows.select("d", "p", pseudonyms.late_date(F.col("p"), "k", back=True).alias("back"))
     assert undone.where((F.col("back") != F.col("d")) | F.col("back").isNull() | (F.substring("p", 1, 2) < "13")).count() == 0
     assert rows.select("p").distinct().count() == rows.count() > 88_497
@@ -265,6 +295,16 @@ def test_ranges_do_not_change_the_successors(spark, documents):
         assert following == dict(zip(ids, ids[1:] + ids[:1]))
 
 
+def test_no_row_is_lost_among_large_and_missing_ids(spark):
+    base = (1 << 63) - 6000
+    rows = [(base + i, f"text number {i} of many") for i in range(5000)] + [(None, "no id"), (-(1 << 63), "least")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.fingerprint_edits(frame).select("doc_id", "edited_text").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {i: fingerprints.edited(t, following) for (i, t), (_, following) in zip(order, order[1:] + order[:1])}
+    assert len(got) == len(rows) and {r.doc_id: r.edited_text for r in got} == want
+
+
 def test_sketches_merge_and_compare(spark):
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
@@ -545,12 +585,12 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     rng = random.Random(8)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)]) for i in range(900)]
     rows += [(1000, None), (1100, [1.0, None]), (1200, [math.nan] * 6), (1300, [math.inf] * 6), (None, [1.0] * 6),
-             (1400, []), (1500, [1e30, 1.0]), (0, [1.0] * 6)]
+             (1400, []), (1500, [1e6, 1.0]), (1600, [-4e5, 3e5, 0.25]), (1601, [2e6]), (0, [1.0] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = [tuple(r) for r in topk.top_k(frame, k=5).collect()]
 
     def whole(v):
-        return [max(-topk.LIMIT, min(topk.LIMIT, math.floor(1024 * max(-1e12, min(1e12, x))))) for x in v]
+        return [math.floor(1024 * x) for x in v]
     good = [(n, i, whole(v)) for n, (i, v) in enumerate(rows)
             if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
@@ -562,6 +602,36 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
     assert topk.top_k(frame.limit(0)).count() == 0
     assert topk.top_k(frame.where("vec_id = 100")).count() == 0
+    rows = [(0, [1.0, 0.0]), (1, [1e15 / 1024, 0.0]), (2, [-1e15 / 1024, 1.0]), (3, [1e15 / 1024 + 1, 0.0]), (100, [0.5, 7.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [
+        (0, 1, 3, 1024 * (10 ** 15 + 1024)), (0, 2, 1, 1024 * 10 ** 15),
+        (100, 1, 3, 512 * (10 ** 15 + 1024)), (100, 2, 1, 512 * 10 ** 15)]
+    for huge in ([1e30], [3e12, 1.0]):
+        rows = spark.createDataFrame([(0, huge), (1, huge)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="leaves a long"):
+            topk.top_k(rows).collect()
+
+
+def test_top_k_leaves_blocks_out(spark):
+    """Of blocks along a line, a query scores its own and few others; none is scored twice."""
+    rows = spark.range(40 * topk.BLOCK).select(
+        F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.when(
+            i == F.col("id") % 40, 1.0 + F.col("id") / 1e5).otherwise(0.0)).alias("embedding"))
+    asked = []
+
+    def watch(seeded, first, chunks, packs, n_chunks, k, real=topk.second_pass):
+        pairs = real(seeded, first, chunks, packs, n_chunks, k)
+        done = {(r.no, r.place): r.block for r in first.collect()}
+        asked.extend((len(r.places), any(done[r.no, p] == r.block for p in r.places)) for r in pairs.collect())
+        asked.append((len(done), False))
+        return pairs
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "second_pass", watch)
+        got = topk.top_k(rows).collect()
+    queries = asked[-1][0]
+    assert not any(twice for _, twice in asked) and len(got) == 10 * queries
+    assert sum(n for n, _ in asked[:-1]) < queries * 40 / 4  # of 40 blocks and more
 
 
 def test_bounds_are_above_all_scores():
@@ -569,6 +639,14 @@ def test_bounds_are_above_all_scores():
     q, v = rng.integers(-900, 900, (20, 8)), rng.integers(-900, 900, (50, 8))
     reach = topk.bounds(q, v.max(axis=0, keepdims=True), v.min(axis=0, keepdims=True))
     assert (reach[:, 0] >= topk.products(q, v).max(axis=1)).all()
+    for size in (1 << 29, 1 << 31, 1 << 40):  # rounded, but never below, and close
+        big = np.vstack([rng.integers(-size, size, (40, 8)), rng.integers(-9, 9, (40, 8))])
+        small = np.vstack([rng.integers(-(1 << 20), 1 << 20, (20, 8)), q])
+        exact = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in big] for x in small]
+        assert topk.products(small, big).tolist() == exact
+        reach = topk.bounds(small, big, big)
+        off = [[int(r) - e for r, e in zip(rs, es)] for rs, es in zip(reach, exact)]
+        assert min(map(min, off)) >= 0 and max(map(max, off)) <= size * (1 << 20) / (1 << 40)
 
 
 # op10

@@ -134,6 +134,9 @@ def _order_key(row) -> tuple:
     return (row[0] is not None, row[0] or 0, row[1])
 
 
+RANGES_PER_TASK = 16
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 1024,
               most_ranges: int = 262_144) -> DataFrame:
     """Sorted ranges of documents, each followed by the first document of the next range.
@@ -155,18 +158,18 @@ def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 1
     first = keys.orderBy(F.col("id").asc_nulls_first(), "tie").limit(1).collect()
     starts = sorted({*map(_order_key, first), *starts[::max(1, len(starts) // ranges)]})
 
-    @F.pandas_udf("array<long>")
-    def ranges_of(id, tie):  # noqa: A002
-        import pandas as pd
+    @F.arrow_udf("array<long>")
+    def ranges_of(id: pa.Array, tie: pa.Array) -> pa.Array:  # noqa: A002
         out = []
-        for row in zip(id.isna(), id.fillna(0).astype("int64"), tie):
-            key = (not row[0], int(row[1]), int(row[2]))
+        for row in zip(id.to_pylist(), tie.to_pylist()):  # integers all the way: a null makes no doubles of them
+            key = _order_key(row)
             at = bisect_right(starts, key) - 1
             out.append([at, (at - 1) % len(starts)] if starts[at] == key else [at])
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.int64()))
 
     spread = rows.select("*", F.posexplode(ranges_of("id", "tie")).alias("helper", "range"))
-    return (spread.select("range", "helper", "id", "tie", "text").repartition("range")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-len(starts) // RANGES_PER_TASK))
+    return (spread.select("range", "helper", "id", "tie", "text").repartition(tasks, "range")
             .sortWithinPartitions("range", "helper", F.col("id").asc_nulls_first(), "tie"))
 
 
@@ -199,8 +202,9 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for part in slices(texts[:-1], 2 << 20):
                 some = texts[part.start:part.stop + 1]
                 marks = sketches(some, k, width)
-                own = [i for i in range(len(some) - 1) if not helper[part.start + i]
-                       and ranges[part.start + i] == ranges[part.start + i + 1]]
+                own = [i for i in range(len(some) - 1) if not helper[part.start + i]]
+                if any(ranges[part.start + i] != ranges[part.start + i + 1] for i in own):
+                    raise ValueError("a range without the first document of the next one")
                 new = [edited(some[i], some[i + 1]) for i in own]
                 changed = sketches(new, k, width)
                 yield pa.RecordBatch.from_arrays([
@@ -213,6 +217,8 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     pa.array([resemblance(marks[i], marks[i + 1], k) for i in own], pa.float64()),
                 ], ["id", "n_chars", "edited_text", "sketch", "edited_sketch", "near_edited",
                     "near_next"])
+        if waiting is not None and not waiting[1]:
+            raise ValueError("a range without the first document of the next one")
 
     if not df.take(1):
         return df.sparkSession.createDataFrame(

@@ -13,11 +13,13 @@ they become keyed digests in the same alphabet.
 | phone (national, or international after a +) | country code, separators | the other digits |
 | social security number | separators, valid area, group and serial | 898 x 99 x 9999 |
 | IPv4 | dotted octets | 2^16 x 2^16 |
-| date (2024-01-31, 2024/01/31, 31.01.2024, 01/31/2024) | layout, valid date | the 146,097 days of a 400-year cycle |
-| date (31/01/2024) | layout, valid date, a day above 12 | the 88,497 such days of a 400-year cycle |
+| date (2024-01-31, 2024/01/31, 31.01.2024, 01/31/2024) | layout, valid date | the days of its era |
+| date (31/01/2024) | layout, valid date, a day above 12 | such days of its era |
 | mail address | the host | keyed digest for the name |
 | access key, token, password | prefix, length, case | keyed digest |
 
+An era is a cycle of 400 years (200-599, ..., 1800-2199, ...), or what is left of
+one at either end of the years 1 to 9999, so that dates keep four digits for the year.
 A date like 01/02/2024 is read with the month first. The value of a token or
 password is of any length; without quotes it ends before white space, quotes,
 brackets, `,`, `;` or `&`.
@@ -30,11 +32,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 10
-_CYCLE_START, _CYCLE = "1800-01-01", 627 * 233  # days of 400 Gregorian years, in two factors
-_LATE = 9 * 9833  # of these, days of the month above 12
+_FIRST_YEAR = 1800  # of a cycle; days and months are counted from there
+_FIRST_DAY = f"{_FIRST_YEAR}-01-01"
+# First year, years and days (in two factors) of the eras that are no full cycles, then of a full cycle;
+# the same for days of the month above 12 alone.
+_DAYS = ((1, 199, 13, 5591), (9800, 200, 184, 397), (None, 400, 189, 773))
+_LATE_DAYS = ((1, 100, 4, 5531), (101, 99, 147, 149), (9800, 200, 8, 5531), (None, 400, 9, 9833))
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+# Repeated groups of open number are possessive: only these are matched without recursion, so no text fills the stack.
+_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 _SECRET_NAME = r"(?i:token|password|passwd|secret|api_key|apikey)\s?[=:]\s?"
 _SECRET = _SECRET_NAME + r"[\"']?"
 _SECRET_VALUE = r"[^\s\"'<>()\[\]{},;&]*[^\s\"'<>()\[\]{},;&.!?:]"
@@ -187,16 +194,28 @@ def address(m: Column, key: str, back: bool = False) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), run)
 
 
-def date(m: Column, layout: str, key: str, back: bool = False) -> Column:
-    first = F.lit(_CYCLE_START).cast("date")
+def _era(year: Column, eras) -> Column:
+    """Struct of first (its first year), years, a and b of the era of a year."""
+    def of(first: Column, years: int, a: int, b: int) -> Column:
+        return F.struct(first.cast("int").alias("first"), F.lit(years).alias("years"), F.lit(a).alias("a"),
+                        F.lit(b).alias("b"))
+    *rest, cycle = eras
+    out = F.when(F.lit(False), of(F.lit(1), *cycle[1:]))
+    for first, years, a, b in rest:
+        out = out.when(year.between(first, first + years - 1), of(F.lit(first), years, a, b))
+    return out.otherwise(of(year - F.pmod(year - _FIRST_YEAR, F.lit(400)), *cycle[1:]))
 
-    def run(day: Column) -> Column:
-        inside = F.pmod(day, F.lit(_CYCLE))
-        pair = feistel(F.floor(inside / 233), inside % 233, F.lit(627), F.lit(233), "date", key, back)
-        return _let(pair, lambda p: F.date_format(F.date_add(first, (
-            day - inside + p["left"] * 233 + p["right"]).cast("int")), layout))
 
-    return _let(F.datediff(F.try_to_date(m, layout), first), run)
+def date(m: Column, layout: str, key: str, back: bool = False) -> Column:
+    def run(day: Column) -> Column:
+        def within(e: Column) -> Column:
+            start = F.make_date(e["first"], F.lit(1), F.lit(1))
+            pair = _let(F.datediff(day, start), lambda i: feistel(
+                F.floor(i / e["b"]), i % e["b"], e["a"], e["b"], "date", key, back))
+            return _let(pair, lambda p: F.date_format(F.date_add(
+                start, (p["left"] * e["b"] + p["right"]).cast("int")), layout))
+        return _let(_era(F.year(day), _DAYS), within)
+    return _let(F.try_to_date(m, layout), run)
 
 
 def _digest_like(value: Column, kind: str, key: str) -> Column:
@@ -209,25 +228,30 @@ def _digest_like(value: Column, kind: str, key: str) -> Column:
 
 def late_date(m: Column, key: str, back: bool = False) -> Column:
     """dd/MM/yyyy with a day above 12, permuted among such dates: so none is read with the month first."""
-    first = F.lit(_CYCLE_START).cast("date")
+    origin = F.lit(_FIRST_DAY).cast("date")
 
-    def start(month: Column) -> Column:
-        """How many late days lie before a month of the cycle."""
-        return F.datediff(F.add_months(first, month), first) - 12 * month
+    def before(month: Column) -> Column:
+        """How many late days lie before a month, both counted from the origin."""
+        return F.datediff(F.add_months(origin, month), origin) - 12 * month
 
     def run(day: Column) -> Column:
-        months = (F.year(day) - 1800) * 12 + F.month(day) - 1
-        inside = F.pmod(months, F.lit(4800))
-        index = start(inside) + F.dayofmonth(day) - 13
-        pair = feistel(F.floor(index / 9833), index % 9833, F.lit(9), F.lit(_LATE // 9), "late date", key, back)
-
-        def show(i: Column) -> Column:
-            near = F.floor(i * 4800 / _LATE).cast("int")
-            month = F.array_max(F.filter(F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, F.lit(4799))),
-                                         lambda n: start(n) <= i))
-            return _let(month, lambda n: F.date_format(F.date_add(
-                F.add_months(first, (months - inside + n).cast("int")), (i - start(n) + 12).cast("int")), "dd/MM/yyyy"))
-        return _let(pair, lambda p: _let((p["left"] * 9833 + p["right"]).cast("int"), show))
+        def within(e: Column) -> Column:
+            base = (e["first"] - _FIRST_YEAR) * 12
+            month = (F.year(day) - _FIRST_YEAR) * 12 + F.month(day) - 1
+            index = before(month) - before(base) + F.dayofmonth(day) - 13
+            pair = _let(index, lambda i: feistel(
+                F.floor(i / e["b"]), i % e["b"], e["a"], e["b"], "late date", key, back))
+
+            def show(i: Column) -> Column:
+                near = F.floor(i * e["years"] * 12 / (e["a"] * e["b"])).cast("int")
+                found = F.array_max(F.filter(
+                    F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, e["years"] * 12 - 1)),
+                    lambda n: before(base + n) - before(base) <= i))
+                return _let(found, lambda n: F.date_format(F.date_add(
+                    F.add_months(origin, base + n), (i - before(base + n) + before(base) + 12).cast("int")),
+                    "dd/MM/yyyy"))
+            return _let(pair, lambda p: _let((p["left"] * e["b"] + p["right"]).cast("int"), show))
+        return _let(_era(F.year(day), _LATE_DAYS), within)
 
     return _let(F.try_to_date(m, "dd/MM/yyyy"), run)
 

@@ -24,17 +24,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .tables import cut
 
 BLOCK, CHUNK, PACK = 256, 256, 256
-LIMIT = 1 << 31  # components beyond it count as it
+_MOST = (1 << 63) - 1
 
 
 def integers(vector: str, scale: int = 1024):
-    """floor(scale * x) of each component; null if the vector or a component is null or not finite."""
+    """floor(scale * x) of each component; null if the vector or a component is null or not finite.
+
+    A finite component whose result is no long is an error.
+    """
     v = F.col(vector)
     bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double"))
                                 | (F.abs(x.cast("double")) == float("inf")))
-    whole = F.transform(v, lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(
-        F.greatest(F.lit(-1e15), F.least(F.lit(1e15), x.cast("double") * float(scale)))))))
-    return F.when(~bad, whole)
+    def whole(x):
+        y = F.floor(x.cast("double") * float(scale))
+        return F.when(F.abs(x.cast("double") * float(scale)) >= 2.0 ** 63, F.raise_error(
+            F.lit("a component leaves a long")).cast("long")).otherwise(y)
+    return F.when(~bad, F.transform(v, whole))
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -55,26 +60,44 @@ def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (a, b))
 
 
+def _largest(rows: np.ndarray) -> np.ndarray:
+    """Largest absolute value of each row; as doubles, so the least long has one too."""
+    return np.abs(rows.astype(np.float64)).max(axis=1, initial=0)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a times b transposed, exact; scores beyond a long count as the nearest long."""
+    """a times b transposed, exact. A score that is no long is an error.
+
+    Pairs of rows whose scores may leave the whole numbers of a double are done with longs, those
+    that may leave a long with integers of any size; all others with doubles.
+    """
     a, b = _same_width(a, b)
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2.0 ** 53:
+    most = np.outer(_largest(a), _largest(b)) * (a.shape[1] + 1)
+    small = most < 2.0 ** 53
+    if small.all():
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if most < 2.0 ** 63:
-        return a @ b.T
-    exact = a.astype(object) @ b.T.astype(object)
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    out = a @ b.T  # right wherever the sums stay in a long, which wraps around
+    i, j = np.nonzero(most >= 2.0 ** 63)
+    for x, y in zip(i.tolist(), j.tolist()):
+        exact = sum(int(p) * int(q) for p, q in zip(a[x], b[y]))
+        if not -_MOST - 1 <= exact <= _MOST:
+            raise OverflowError("a score leaves a long")
+        out[x, y] = exact
+    return out
 
 
 def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Upper bound of every query's score in every block."""
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    exact = (float(np.abs(queries).max(initial=0)) * float(max(np.abs(high).max(initial=0),
-             np.abs(low).max(initial=0))) * max(1, queries.shape[1])) < 2.0 ** 53
-    if not exact:  # never below the exact bound, only above
-        return np.full((len(queries), len(high)), (1 << 63) - 1, dtype=np.int64)
-    return products(up, high) + products(down, low)
+    """Upper bound of every query's score in every block, at most the largest long.
+
+    Exact where doubles are; elsewhere the sum of doubles and what rounding may have taken from it.
+    """
+    up, down = (f(queries, 0).astype(np.float64) for f in (np.maximum, np.minimum))
+    high, low = high.astype(np.float64), low.astype(np.float64)
+    total = up @ high.T + down @ low.T
+    size = up @ np.abs(high).T - down @ np.abs(low).T
+    off = np.where(size < 2.0 ** 52, 0, size * (queries.shape[1] + 4) * 2.0 ** -51)
+    total = np.ceil(total + off)
+    return np.where(total >= 2.0 ** 63, _MOST, np.where(total >= 2.0 ** 63, 0, total).astype(np.int64))
 
 
 def _rows(batches):
@@ -205,6 +228,7 @@ def _blocks_above(batches):
     for r in _rows(batches):
         reach = _all_bounds(r)
         wanted = reach >= np.array(r["floor"], dtype=np.int64)[:, None]
+        wanted &= np.array(r["scored"], dtype=np.int64)[:, None] != np.array(r["blocks"])  # the first pass did these
         out = [{"no": r["no"], "block": b, "places": np.flatnonzero(wanted[:, j]).tolist(),
                 "reach": reach[wanted[:, j], j].tolist(), "pack": r["pack"]}
                for j, b in enumerate(r["blocks"]) if wanted[:, j].any()]
@@ -259,6 +283,24 @@ def _score(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame, k: int) -> Da
             .mapInArrow(_scorer(k), _SCORED))
 
 
+def second_pass(seeded: DataFrame, first: DataFrame, chunks: DataFrame, packs: DataFrame, n_chunks: int,
+                k: int) -> DataFrame:
+    """Blocks, not scored yet, that may reach the k-th score of the first pass, with the queries they may do so for."""
+    least = -_MOST - 1
+    lowest = seeded.groupBy("no", "place").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+    floors = (first.select("no", "place", F.col("block").alias("scored")).join(lowest, ["no", "place"], "left")
+              .withColumn("floor", F.when(F.col("n") >= k, F.col("floor")).otherwise(least))
+              .groupBy("no").agg(*(F.map_from_entries(F.collect_list(F.struct("place", c))).alias(f"by_{c}")
+                                   for c in ("floor", "scored"))))
+    places = F.sequence(F.lit(0).cast("long"), F.size("ids").cast("long") - 1)
+
+    def by_place(c: str):
+        return F.transform(places, lambda i: F.coalesce(F.try_element_at(F.col(f"by_{c}"), i), F.lit(least).cast("long")))
+    aimed = (chunks.join(floors, "no", "left").withColumns({c: by_place(c) for c in ("floor", "scored")})
+             .drop("by_floor", "by_scored"))
+    return _meet(aimed, packs, n_chunks + 1).mapInArrow(_blocks_above, _PAIR_DDL)
+
+
 def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
           vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query.
@@ -267,6 +309,7 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     but the query's own row. Vectors that are null or hold nulls or values that
     are not finite take no part; shorter ones count as filled up with zeros. A
     null id is a candidate (it comes before all others in ties), never a query.
+    Components and scores are exact; one that is no long is an error.
     Repeated ids are rows of their own. Without queries the result is empty.
     """
     spark = df.sparkSession
@@ -278,24 +321,17 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     packs = _packs(blocks)
     both = _meet(chunks, packs, n_chunks + 1)
-    first = (both.mapInArrow(_best_blocks, "no long, place long, block long, reach long, pack long")
-             .withColumn("order", F.row_number().over(
-                 Window.partitionBy("no", "place").orderBy(F.desc("reach"), "block")))
-             .where(F.col("order") == 1))
+    first = cut(both.mapInArrow(_best_blocks, "no long, place long, block long, reach long, pack long")
+                .withColumn("order", F.row_number().over(
+                    Window.partitionBy("no", "place").orderBy(F.desc("reach"), "block")))
+                .where(F.col("order") == 1))
     # A chunk has about CHUNK queries, so the lists are bounded.
     seeds = first.groupBy("no", "block").agg(
         F.collect_list("place").alias("places"), F.collect_list("reach").alias("reach"),
         F.min("pack").alias("pack"))
-    lowest = (_score(seeds, chunks, blocks, k).groupBy("no", "place")
-              .agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")))
-    least = -(1 << 63)
-    floors = (lowest.withColumn("floor", F.when(F.col("n") >= k, F.col("floor")).otherwise(least))
-              .groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("place", "floor"))).alias("m")))
-    aimed = chunks.join(floors, "no", "left").withColumn("floor", F.transform(
-        F.sequence(F.lit(0).cast("long"), F.size("ids").cast("long") - 1),
-        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(least).cast("long")))).drop("m")
-    pairs = _meet(aimed, packs, n_chunks + 1).mapInArrow(_blocks_above, _PAIR_DDL)
-    scored = _score(pairs, chunks, blocks, k)
+    seeded = cut(_score(seeds, chunks, blocks, k))
+    pairs = second_pass(seeded, first, chunks, packs, n_chunks, k)
+    scored = seeded.unionByName(_score(pairs, chunks, blocks, k))
     best = (scored.withColumn("rank", F.row_number().over(
         Window.partitionBy("no", "place").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_first())))
         .where(F.col("rank") <= k))
