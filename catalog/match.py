@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from vacancia.operators import matching
 from vacancia.plans.enrich import add_skills
 
-from .jobs import (SILVER, STRICT, YEARS, case, jobs, on_jobs, on_silver, silver, skill_list, table)
+from .jobs import (
+    SILVER, SKILLS, STRICT, YEARS, case, jobs, on_jobs, on_silver, quoted, silver, skill, skill_list, table)
 
 
 @case("O4_seeded_sample", on_jobs("""select seq, title from jobs
@@ -36,9 +37,10 @@ def _(spark, sf):
 _ABOUT = """concat(text, ' ', case doc_id % 4 when 0 then 'Python, SQL, Spark and R in use. 6 years of experience. Ph.D.'
  when 1 then 'Tableau, Power BI, SQL. Bachelor of science, 2 years experience.'
  when 2 then 'AWS, Docker, Kubernetes, git, masters degree.' else 'I write.' end)"""
+_HOME = "case doc_id % 5 when 0 then 'CA' when 1 then 'TX' when 2 then 'OH' when 3 then 'NY' end"
 _PEOPLE = f"""people as (select doc_id, {_ABOUT} as description from documents),
 candidates as (select doc_id as candidate_id, {skill_list()} as technical_skills,
- cast({YEARS} as double) as years_experience, {STRICT} as education from people)"""
+ cast({YEARS} as double) as years_experience, {STRICT} as education, {_HOME} as home from people)"""
 
 
 def _candidates(spark, sf):
@@ -117,24 +119,37 @@ def _(spark, sf):
     return matching.skill_gap(_mine(spark, sf))
 
 
-# Profiles are scored instead of rows, as in the operator: the same result, small enough for one machine.
-_PAIRS = f"""with {_SKILLED}, {_PEOPLE},
-persons as (select distinct technical_skills, years_experience, education from candidates),
-firsts as (select seq, title, company, location, average_salary, skills, years_experience_required,
-  education_level, is_remote, state from skilled qualify row_number() over (partition by skills,
-  years_experience_required, education_level, is_remote, state order by seq) <= 5),
-scored as (select persons.*, seq, title, company, location, round(average_salary, 4) as average_salary,
- {_score('technical_skills', 'years_experience', 'education', "cast(null as varchar)")}
- from persons join firsts on list_has_any(skills, technical_skills)),
-best as (select * from scored qualify row_number() over (partition by technical_skills, years_experience, education
- order by match_percentage desc, seq) <= 5),
-pairs as (select candidate_id, b.* exclude (technical_skills, years_experience, education)
- from candidates c join best b on c.technical_skills = b.technical_skills
- and c.years_experience is not distinct from b.years_experience and c.education is not distinct from b.education)"""
+# All rows with all rows; skills as bits, so that one machine gets through them.
+def _mask(text: str) -> str:
+    return " + ".join(f"(case when {skill(n, text)} then {1 << i} else 0 end)" for i, n in enumerate(SKILLS))
+
+
+def _names(bits: str) -> str:
+    return ("array_to_string(list_filter([" + ", ".join(
+        f"case when ({bits}) & {1 << i} > 0 then {quoted(n)} end" for i, n in enumerate(SKILLS))
+        + "], lambda x: x is not null), '|')")
+
+
+_PAIRS = f"""with {SILVER}, people as (select doc_id, {_ABOUT} as description from documents),
+candidates as materialized (select doc_id as candidate_id, cast({_mask('lower(description)')} as bigint) as has,
+ coalesce(cast({YEARS} as double), 0e0) as years, {_rank(f"({STRICT})")} as degree, {_HOME} as home from people),
+wanted as materialized (select seq, title, company, location, round(average_salary, 4) as average_salary,
+ cast({_mask('lower(description)')} as bigint) as needs, years_experience_required as need,
+ {_rank('education_level')} as level, coalesce(is_remote, false) as remote, state from silver),
+scored as (select candidate_id, seq, has, round(100 * (0.6e0 * bit_count(has & needs) / bit_count(needs)
+ + 0.2e0 * case when coalesce(need, 0) <= 0 then 1e0 else least(1e0, years / need) end
+ + 0.1e0 * case when degree >= level then 1e0 else 0e0 end
+ + 0.1e0 * case when remote or coalesce(state = home, false) then 1e0 else 0e0 end), 1) as match_percentage
+ from candidates join wanted on has & needs > 0),
+top as (select candidate_id, has, unnest(arg_min(struct_pack(seq, match_percentage),
+ struct_pack(a := -match_percentage, b := seq), 5), recursive := true) from scored group by 1, 2),
+pairs as (select candidate_id, seq, title, company, location, average_salary, match_percentage,
+ {_names('has & needs')} as matched_skills, {_names('needs & ~has')} as missing_skills from top join wanted using (seq))"""
 
 
 def _pairs(spark, sf):
-    return matching.match_candidates(_candidates(spark, sf), silver(spark, sf))
+    people = _candidates(spark, sf).withColumn("doc_id", F.col("candidate_id")).withColumn("state", F.expr(_HOME))
+    return matching.match_candidates(people, silver(spark, sf))
 
 
 @case("J7_match_candidates", f"{_PAIRS} select * from pairs")

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -304,3 +305,38 @@ def test_percentiles_of_a_hot_group(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_matches_equal_scoring_all_rows(spark):
+    """Nulls, equal scores, places, more candidates of one profile than postings, and weights that round together."""
+    draw = random.Random(4)
+    names = ["a", "b", "c", "d", "e"]
+    jobs = [(i, f"t{i}", draw.sample(names, draw.randint(0, 4)), draw.choice([None, 0.0, 3.0, 7.0, 19.0, 20.0, 21.0]),
+             draw.choice([None, "PhD", "Master's", "Bachelor's"]), draw.choice([None, True, False]),
+             draw.choice([None, "CA", "TX"])) for i in range(400)]
+    people = [(i, draw.sample(names, draw.randint(0, 5)), draw.choice([None, 2.0, 18.9, 40.0]),
+               draw.choice([None, "PhD", "Master's"]), draw.choice([None, "CA", "OH"])) for i in range(60)]
+    people += [(100 + i, ["b", "a"], 5.0, "PhD", "TX") for i in range(30)]
+    postings = spark.createDataFrame(jobs, "seq long, title string, skills array<string>, years_experience_required double,"
+                                           " education_level string, is_remote boolean, state string")
+    candidates = spark.createDataFrame(people, "candidate_id long, technical_skills array<string>, years_experience double,"
+                                               " education string, state string")
+    rank = {None: 0, "Bachelor's": 1, "Master's": 2, "PhD": 3}
+    for weights in (matching.MatchWeights(), matching.MatchWeights(0.9, 0.05, 0.03, 0.02)):
+        want = set()
+        for c, has, years, degree, home in people:
+            scores = []
+            for seq, title, needs, need, level, remote, state in jobs:
+                both = [s for s in needs if s in has]
+                if both:
+                    parts = (1.0 if not need else min(1.0, (years or 0.0) / need), float(rank[degree] >= rank[level]),
+                             float(bool(remote) or (state is not None and state == home)))
+                    score = (weights.skills * (len(both) / len(needs)) + weights.experience * parts[0]
+                             + weights.degree * parts[1] + weights.place * parts[2]) * 100
+                    rounded = float(Decimal(repr(score)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+                    scores.append((-rounded, seq, title, tuple(both)))
+            want |= {(c, *s) for s in sorted(scores)[:4]}
+        got = matching.match_candidates(candidates, postings, 4, weights=weights).collect()
+        assert {(r.candidate_id, -r.match_percentage, r.seq, r.title, tuple(r.matched_skills)) for r in got} == want
+        assert len(got) == len(want) and all(not set(r.missing_skills) & set(r.matched_skills) for r in got)
+    assert matching.match_candidates(candidates, postings.limit(0)).collect() == []

@@ -101,13 +101,14 @@ def contains_word(c: Column, words) -> Column:
 def _alternative(low: Column, pattern: str) -> Column:
     """One alternative of a pattern, in its cheapest form (same matches).
 
-    Plain search is fastest for a short literal, the regex engine for a longer
-    one, since it skips ahead by the literal's length. It does so only if the
-    pattern starts with the literal, so a leading boundary moves behind it.
+    Plain search runs over the bytes as they are stored; a regex decodes the text
+    first. So a literal is searched plainly, and its boundaries are looked at only
+    where it occurs. A pattern that starts with the literal lets the engine skip
+    ahead, so a leading boundary moves behind it.
     """
     literal = pattern.replace(r"\b", "")
     regex = low.rlike(UNICODE + _boundary_last(pattern))
-    if len(literal) > 4 or set(literal) & set("\\.^$*+?()[]{}|"):
+    if set(literal) & set("\\.^$*+?()[]{}|"):
         return regex
     found = low.contains(literal)
     return found if literal == pattern else found & regex

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.fixed_values import SKILL_PATTERNS
 from ..functions.rules import degree_rank, degree_strict, extract_years
 from ..functions.text import col, keyword_list, parse_reply, truncate
+from ..sources.workspace import materialize
 from .dedupe import top_n_per_group
 
 
@@ -50,25 +51,33 @@ class MatchWeights:
     place: float = 0.1
 
 
+def match_parts(candidate: dict[str, Column], posting: dict[str, Column]) -> dict[str, Column]:
+    """What a match is worth beside skills: experience, degree and place, each from 0 to 1."""
+    need = posting["years"]
+    has = F.coalesce(candidate["years"], F.lit(0.0))
+    return {
+        "experience": F.when(F.coalesce(need, F.lit(0)) <= 0, 1.0).otherwise(
+            F.least(F.lit(1.0), has / F.nullif(need, F.lit(0)))),
+        "degree": F.when(degree_rank(candidate["degree"]) >= degree_rank(posting["degree"]), 1.0).otherwise(0.0),
+        "place": F.when(F.coalesce(posting["remote"], F.lit(False)) |
+                        F.coalesce(posting["state"] == candidate["state"], F.lit(False)), 1.0).otherwise(0.0)}
+
+
+def match_score(skills: Column, parts: dict[str, Column], weights: MatchWeights) -> Column:
+    """Score 0..100 from the share of required skills and the other parts."""
+    score = (weights.skills * skills + weights.experience * parts["experience"] +
+             weights.degree * parts["degree"] + weights.place * parts["place"])
+    return F.round(score * 100, 1)
+
+
 def match_columns(candidate: dict[str, Column], posting: dict[str, Column],
                   weights: MatchWeights = MatchWeights()) -> dict[str, Column]:
     """Score 0..100 with the matched and the missing skills."""
     required = posting["skills"]
     matched = F.array_intersect(required, candidate["skills"])
-    need = posting["years"]
-    has = F.coalesce(candidate["years"], F.lit(0.0))
     skills = F.when(F.size(required) > 0, F.size(matched) / F.size(required)).otherwise(0.0)
-    years = F.when(F.coalesce(need, F.lit(0)) <= 0, 1.0).otherwise(
-        F.least(F.lit(1.0), has / F.nullif(need, F.lit(0))))
-    degree = F.when(degree_rank(candidate["degree"]) >= degree_rank(posting["degree"]),
-                    1.0).otherwise(0.0)
-    place = F.when(F.coalesce(posting["remote"], F.lit(False)) |
-                   F.coalesce(posting["state"] == candidate["state"], F.lit(False)),
-                   1.0).otherwise(0.0)
-    score = (weights.skills * skills + weights.experience * years +
-             weights.degree * degree + weights.place * place)
-    return {"match_percentage": F.round(score * 100, 1), "matched_skills": matched,
-            "missing_skills": F.array_except(required, candidate["skills"])}
+    return {"match_percentage": match_score(skills, match_parts(candidate, posting), weights),
+            "matched_skills": matched, "missing_skills": F.array_except(required, candidate["skills"])}
 
 
 @dataclass(frozen=True)
@@ -100,42 +109,89 @@ def score_postings(postings: DataFrame, candidate: Candidate,
 
 
 _PROFILE = ["skills", "years_experience_required", "education_level", "is_remote", "state"]
-_PERSON = ["technical_skills", "years_experience", "education", "person_state"]
+_REST = ["years_experience", "education", "person_state"]
+_PARTS = ["experience", "degree", "place"]
 
 
 def match_candidates(candidates: DataFrame, postings: DataFrame, k: int = 5, key: str = "seq",
                      weights: MatchWeights = MatchWeights()) -> DataFrame:
     """The k best postings of each candidate among all that share a skill with them.
 
-    A score depends only on a few fields, so both sides are reduced to distinct
-    profiles, which meet on an exploded skill; a profile keeps its k first
-    postings, since no other can be among the k best. Nothing is paired row by
-    row. Ties go to the smaller key. A candidate who shares no skill with any
-    posting gets no row.
+    A threshold join over lists of postings. A list holds the postings that require
+    one set of skills, for candidates alike in experience, degree and place, best
+    first; it needs no more than its k best (and what rounding may lift to them), and postings
+    of equal parts no more than their k first. For a candidate, the share of their skills moves
+    a list up or down as a whole, so its first posting bounds all others: only the k lists
+    with the best first postings are read, since k postings are at least as good as
+    the first of any other list. Lists depend on distinct profiles, not on rows:
+    candidates and postings are never paired. Ties go to the smaller key. A
+    candidate who shares no skill with any posting gets no row. Candidates and lists
+    are stored when this is called, since texts are usually searched for the former.
     """
     shown = [c for c in ("title", "company", "location", "average_salary") if c in postings.columns]
     people = candidates.withColumn(
         "person_state", F.col("state") if "state" in candidates.columns else F.lit(None).cast("string"))
-    people = people.select("candidate_id", *_PERSON, _fingerprint(_PERSON).alias("person"))
-    jobs = postings.select(key, *shown, *_PROFILE, _fingerprint(_PROFILE).alias("profile"))
-    firsts = top_n_per_group(jobs, ["profile"], [F.col(key)], k).drop(*_PROFILE)
-
-    person_profiles = people.select("person", *_PERSON).dropDuplicates(["person"])
-    job_profiles = jobs.select("profile", *_PROFILE).dropDuplicates(["profile"])
-    meet = (person_profiles.select("person", F.explode(F.array_distinct("technical_skills")).alias("skill"))
-            .join(job_profiles.select("profile", F.explode(F.array_distinct("skills")).alias("skill")), "skill")
-            .select("person", "profile").distinct())
-    candidate = {"skills": F.col("technical_skills"), "years": F.col("years_experience"),
-                 "degree": F.col("education"), "state": F.col("person_state")}
-    scored = (meet.join(person_profiles, "person").join(job_profiles, "profile")
-              .withColumns(match_columns(candidate, _posting(), weights))
-              .select("person", "profile", "match_percentage", "matched_skills", "missing_skills"))
-    best = top_n_per_group(scored.join(firsts, "profile"), ["person"],
-                           [F.col("match_percentage").desc(), F.col(key)], k)
+    people = people.select("candidate_id", "technical_skills", *_REST, _fingerprint(["technical_skills", *_REST]).alias(
+        "person"), _fingerprint(_REST).alias("rest"))
+    people = materialize(people, "candidates")
+    persons = people.drop("candidate_id").dropDuplicates(["person"])
+    lists = materialize(_best_lists(persons, postings.select(
+        F.struct(F.col(key), *shown).alias("posting"), *_PROFILE, _fingerprint(_PROFILE).alias("profile")), k, weights), "lists")
+
+    sets = lists.select("skills").distinct().select("skills", F.explode(F.array_distinct("skills")).alias("skill"))
+    held = persons.select("technical_skills").distinct().select(
+        "technical_skills", F.explode(F.array_distinct("technical_skills")).alias("skill"))
+    # Two sets meet on every common skill and are kept on the first one, so no pair comes twice.
+    overlaps = held.join(sets, "skill").withColumn(
+        "matched_skills", F.array_intersect("skills", "technical_skills")).where(
+        F.col("skill") == F.element_at(F.array_compact("matched_skills"), 1)).drop("skill").withColumn(
+        "share", F.size("matched_skills") / F.size("skills"))
+
+    def score(entry: Column) -> Column:
+        return match_score(F.col("share"), {p: entry[p] for p in _PARTS}, weights)
+    heads = (persons.select("person", "technical_skills", "rest").join(overlaps, "technical_skills")
+             .join(lists, ["rest", "skills"])
+             .withColumn("head", F.array_min(F.transform("entries", lambda e: F.struct(
+                 (-score(e)).alias("minus"), e["postings"][0].alias("posting"))))))
+    read = top_n_per_group(heads, ["person"], [F.col("head.minus"), F.col("head.posting")], k)
+    entries = read.withColumn("entry", F.explode("entries")).withColumn(
+        "match_percentage", score(F.col("entry"))).withColumn("posting", F.explode("entry.postings"))
+    best = top_n_per_group(entries, ["person"], [F.col("match_percentage").desc(), F.col("posting")], k).select(
+        "person", "posting.*", "match_percentage", "matched_skills",
+        F.array_except("skills", "technical_skills").alias("missing_skills"))
     return people.select("candidate_id", "person").join(best, "person").select(
         "candidate_id", key, *shown, "match_percentage", "matched_skills", "missing_skills")
 
 
+def _best_lists(persons: DataFrame, jobs: DataFrame, k: int, weights: MatchWeights) -> DataFrame:
+    """rest, skills, entries: per kind of person and required set, the best postings beside skills.
+
+    An entry has the parts of a score and the k first postings (by key) with these parts.
+    """
+    firsts = top_n_per_group(jobs, ["profile"], [F.col("posting")], k)
+    profiles = firsts.groupBy("profile").agg(*(F.first(c).alias(c) for c in _PROFILE),
+                                             F.collect_list("posting").alias("postings"))
+    kinds = persons.select("rest", *_REST, F.explode(F.array_distinct("technical_skills")).alias("skill")).distinct()
+    sets = profiles.select("skills").distinct().select("skills", F.explode(F.array_distinct("skills")).alias("skill"))
+    met = kinds.join(sets, "skill").drop("skill").dropDuplicates(["rest", "skills"])
+    person = {"years": F.col("years_experience"), "degree": F.col("education"), "state": F.col("person_state")}
+
+    def first(postings: Column) -> Column:
+        return F.slice(F.array_sort(postings), 1, k)
+    entries = (met.join(profiles, "skills").withColumns(match_parts(person, _posting()))
+               .groupBy("rest", "skills", *_PARTS).agg(
+                   first(F.flatten(F.collect_list("postings"))).alias("postings"))
+               .withColumn("worth", weights.experience * F.col("experience") + weights.degree * F.col("degree")
+                           + weights.place * F.col("place")))
+    lists = entries.groupBy("rest", "skills").agg(
+        F.sort_array(F.collect_list(F.struct("worth", *_PARTS, "postings")), asc=False).alias("entries"))
+    # The worth of the k-th posting; rounding to a tenth of a percent may lift what is less than that below.
+    worths = F.slice(F.flatten(F.transform("entries", lambda e: F.array_repeat(e["worth"], F.size(e["postings"])))), 1, k)
+    least = F.when(F.size(worths) < k, float("-inf")).otherwise(F.array_min(worths)) - 0.0011
+    return lists.withColumn("least", least).select(
+        "rest", "skills", F.filter("entries", lambda e: e["worth"] >= F.col("least")).alias("entries"))
+
+
 def _fingerprint(columns) -> Column:
     """The fields as one text; equal for equal profiles, nulls included."""
     return F.to_json(F.struct(*columns))
