@@ -87,9 +87,9 @@ def test_increments_equal_one_refresh(spark, tmp_path):
     got, want = (sorted(map(str, spark.read.parquet(p).select(*columns).collect()))
                  for p in (f"{base}/processed", processed))
     assert got == want
-    assert spark.read.parquet(f"{base}/raw").count() == spark.read.parquet(f"{base}/keys").count()
-    keys = spark.read.parquet(f"{base}/keys")
-    assert "description" not in keys.columns  # all that a later batch reads
+    keys = spark.read.parquet(f"{base}/keys/keys")  # all that a later batch reads
+    assert spark.read.parquet(f"{base}/raw").count() == keys.where("kind = 'key'").count()
+    assert set(keys.columns) == {"kind", "digest", "named", "batch", "bucket"}
 
 
 def test_ingest_replay_gives_the_same_table(spark, tmp_path):

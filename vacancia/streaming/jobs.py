@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators.merge import fresh_rows
+from ..operators.keys import add_norm_columns
+from ..operators.merge import fresh_rows_by_index, merge_index
 from ..sources.readers import path_exists
 
 
@@ -19,23 +20,32 @@ def read_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
 
 
 def incremental_ingest(stream: DataFrame, table: str, checkpoint: str, order: str = "seq",
-                       id_col: str = "id"):
+                       id_col: str = "id", index: str | None = None):
     """Append the rows of each batch that the table does not hold yet.
 
-    Each batch has its own folder, named by the batch number: a batch that is
-    replayed after a failure replaces its own folder and sees only the batches
-    before it, so the table comes out the same.
+    What the table holds is looked up in an index of its keys (by default beside the
+    table), so the cost of a batch does not grow with the rows stored before; a
+    table without an index gets one when the first batch comes. Each batch has its own
+    folders, named by the batch number: a batch that is replayed after a failure
+    replaces its own folders and sees only the batches before it, so the table
+    comes out the same.
     """
+    index = index or f"{table.rstrip('/')}-keys"
+
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if path_exists(spark, table):
-            stored = StructType([*batch.schema.fields, StructField("batch", IntegerType())])
-            known = (spark.read.schema(stored).parquet(table)
-                     .where(F.col("batch") < number).drop("batch"))
-        else:
-            known = spark.createDataFrame([], batch.schema)
-        rows = fresh_rows(known, batch, order, id_col)
+        keys = merge_index(spark, index, id_col)
+        stored = StructType([*batch.schema.fields, StructField("batch", IntegerType())])
+
+        def index_rows(rows: DataFrame, n: int) -> None:
+            named = rows if id_col in rows.columns else rows.withColumn(id_col, F.lit(None).cast("string"))
+            keys.add(add_norm_columns(named), n)
+        if path_exists(spark, table) and not path_exists(spark, index):
+            before = spark.read.schema(stored).parquet(table).where(F.col("batch") < number)
+            index_rows(before.drop("batch"), -1)
+        rows = fresh_rows_by_index(keys, batch, number, order, id_col)
         rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        index_rows(spark.read.schema(batch.schema).parquet(f"{table}/batch={number}"), number)
 
     return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
