@@ -177,24 +177,41 @@ def test_new_content(spark):
     assert rows(got, "first_row", "copies") == [(0, 50), (3, 25)]
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
-def test_exact_percentiles(spark, buckets):
+@pytest.mark.parametrize("parts", [1, 2, 64])
+def test_exact_percentiles(spark, parts):
     pick = random.Random(3)
     data = [("a", float(pick.choice([5, pick.gauss(0, 100)]))) for _ in range(1001)]
     data += [("b", 7.0)] * 500 + [("b", float(i)) for i in range(8)] + [("c", 1.5)]
     data += [("a", None), (None, 3.0), ("a", float("nan"))]
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r.k: r.p for r in quantiles.exact_percentiles(df, "v", probs, ["k"], buckets).collect()}
+    got = {r.k: r.p for r in quantiles.exact_percentiles(df, "v", probs, ["k"], parts).collect()}
     assert set(got) == {"a", "b", "c"}
     for key, points in got.items():
         want = np.quantile([v for k, v in data if k == key and v is not None and v == v], probs)
         assert np.allclose(points, want, rtol=1e-12, atol=1e-9)
-    whole = quantiles.exact_percentiles(df, "v", probs, buckets=buckets).first()[0]
+    whole = quantiles.exact_percentiles(df, "v", probs, parts=parts).first()[0]
     assert np.allclose(whole, np.quantile([v for _, v in data if v is not None and v == v], probs))
     assert quantiles.median(df.where("k = 'none'"), "v").first()[0] is None
 
 
+def test_a_hot_group_is_spread_over_ranges(spark):
+    """Nine of ten rows, all distinct, are one group: no range holds much more than its share, and ranks are right."""
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+                               ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    table = quantiles.ranges(quantiles.value_weights(df, "v", ["k"]), ["k"], ["v"], 20)
+    assert table.groupBy("_part").count().agg(F.max("count")).first()[0] < 3 * n / 20
+    placed = quantiles.positions(df, ["k"], "v", 20)
+    want = placed.groupBy("k").agg(F.count("*").alias("n"), F.max("total").alias("t"), F.min("position").alias("a"),
+                                   F.max("position").alias("b"), F.count_distinct("position").alias("d")).collect()
+    assert len(want) == 8 and all((r.t, r.a, r.b, r.d) == (r.n, 0, r.n - 1, r.n) for r in want)
+    hot = placed.where("k = 'hot'").orderBy("position").select("v").collect()
+    assert all(a.v < b.v for a, b in zip(hot, hot[1:]))
+    got = {r.k: r.p for r in quantiles.exact_percentiles(df, "v", [0.1, 0.5, 0.99], ["k"], 20).collect()}
+    assert np.allclose(got["hot"], np.quantile([r.v for r in hot], [0.1, 0.5, 0.99]))
+
+
 def test_stats_on_constant_and_small_groups(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("a", 1.0, 4.0), ("b", 2.0, 1.0)],
                                "k string, v double, w double")

@@ -24,7 +24,7 @@ from ..functions.rules import (cost_tier, degree_default, encode_label, first_co
                                role_category, years_from_title)
 from ..sources.schema import MODEL_REGISTRY
 from ..sources.workspace import materialize
-from .quantiles import join_group_table, median, value_weights, values_at_ranks
+from .quantiles import median, positions
 
 BASE_FEATURES = ("is_remote", "education_encoded", "col_tier", "years_experience")
 
@@ -105,19 +105,20 @@ def shuffled_folds(key: str, folds: int = 5, seed: int = 42) -> Column:
 
 
 def contiguous_folds(df: DataFrame, by: str, order: str, folds: int = 5) -> DataFrame:
-    """Fold 0..folds-1 by position in the numeric order of each group, sizes
-    equal to within one row. Only the fold borders are looked up; no group is
-    sorted in one task."""
-    def starts(total: Column):
-        for k in range(1, folds):
-            rank = F.lit(k) * F.floor(total / folds) + F.least(F.lit(k), total % folds)
-            yield [(rank, 1.0)]
-
-    borders = values_at_ranks(value_weights(df, order, [by]), starts, folds - 1, [by])
-    fold = F.size(F.filter("p", lambda b: b <= F.col(order)))
-    # A group without borders (one row) is all fold 0.
-    return (join_group_table(df, borders, [by], order, "left")
-            .withColumn("fold", F.when(F.col("p").isNull(), 0).otherwise(fold)).drop("p"))
+    """Fold 0..folds-1 by position in the order of each group, sizes equal to within one row.
+
+    Positions come from sorted ranges and their counts: no group is sorted in one
+    task and nothing is joined on the group alone. Rows without group or order are in
+    fold 0 and do not count. The rows are stored when this is called.
+    """
+    known = F.col(by).isNotNull() & F.col(order).isNotNull()
+    rows = positions(df.where(known), [by], order)
+    least, larger = F.floor(F.col("total") / folds), F.col("total") % folds
+    border = larger * (least + 1)  # the first folds have one row more
+    fold = F.when(F.col("position") < border, F.floor(F.col("position") / (least + 1))).otherwise(
+        larger + F.floor((F.col("position") - border) / least))
+    return (rows.withColumn("fold", fold.cast("int")).drop("position", "total")
+            .unionByName(df.where(~known).withColumn("fold", F.lit(0))))
 
 
 # --- models -------------------------------------------------------------------

@@ -1,16 +1,20 @@
-"""Exact percentiles that no single task has to hold.
-
-Spark's `percentile` keeps every distinct value of a group in one task. Here
-equal values are counted first (combined before the shuffle), the distinct
-values are cut into about equal buckets by an approximate sketch of fixed size,
-and only the buckets that hold a wanted rank are ordered. The result is exact:
-the sketch decides where values are sorted, not which value is returned.
+"""Exact percentiles and positions that no single task has to hold.
+
+Spark's `percentile` keeps every distinct value of a group in one task, and a window
+over a group sorts it in one. Here equal values are counted first (combined
+before the shuffle) and sorted over the cluster by group and value; Spark's range
+partitioning cuts the sorted rows into even ranges wherever groups begin and end. Only row
+counts per (range, group) are summed up along a group: they say which ranges hold a
+wanted rank, and only these are looked at. The more data, the more ranges: a
+group of any size is spread over as many tasks as it needs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.workspace import materialize
+
 
 def value_weights(df: DataFrame, value: str, by=()) -> DataFrame:
     """(by..., v, n): rows per distinct non-null value; null groups dropped."""
@@ -34,26 +38,40 @@ def join_group_table(rows: DataFrame, table: DataFrame, by, spread: str, how: st
     return salted.join(repeated, [*by, "_salt"], how).drop("_salt")
 
 
-def _bucketed(weights: DataFrame, by, buckets: int) -> DataFrame:
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx("v", points, 100 * buckets).alias("cuts")
-    if by:
-        table = join_group_table(weights, weights.groupBy(*by).agg(cuts), by, "v")
-    else:
-        table = weights.withColumn("cuts", weights.agg(cuts).scalar())
-    return table.withColumn("bucket", _bucket(0, buckets - 1)).drop("cuts")
+def ranges(rows: DataFrame, by, order, parts: int | None = None) -> DataFrame:
+    """The rows stored in sorted ranges: `_part` and `_at` ascend with group and order.
+
+    They are sorted and stored when this is called, since a second sort might cut them elsewhere.
+    """
+    keys = [*by, *order]
+    placed = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    return materialize(placed.sortWithinPartitions(*keys).withColumns({
+        "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+
 
+def range_sizes(rows: DataFrame, by, n: Column) -> DataFrame:
+    """Per (range, group): size, first `_at`, below (rows of the group in earlier ranges), total of the group."""
+    sizes = rows.groupBy("_part", *by).agg(F.sum(n).alias("size"), F.min("_at").alias("_first"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    return (sizes.withColumn("below", F.sum("size").over(upto) - F.col("size"))
+            .withColumn("total", F.sum("size").over(group)))
 
-def _bucket(low: int, high: int) -> Column:
-    """Number of cuts below v, found by halving: a few comparisons per value."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(F.get("cuts", middle) < F.col("v"), _bucket(middle + 1, high)).otherwise(
-        _bucket(low, middle))
 
+def positions(rows: DataFrame, by, order, parts: int | None = None) -> DataFrame:
+    """The rows with `position` (0-based, gapless in their group by order) and `total` of the group.
 
-def exact_percentiles(df: DataFrame, value: str, probs, by=(), buckets: int = 64,
+    Groups and order must not be null. Rows of equal order stand side by side.
+    """
+    by, salt = list(by), "_salt"
+    rows = ranges(rows.withColumn(salt, F.monotonically_increasing_id()), by, [order, salt], parts)
+    sizes = range_sizes(rows, by, F.lit(1).cast("bigint"))
+    return (rows.join(sizes, ["_part", *by])
+            .withColumn("position", F.col("_at") - F.col("_first") + F.col("below"))
+            .drop(salt, "_part", "_at", "_first", "size", "below"))
+
+
+def exact_percentiles(df: DataFrame, value: str, probs, by=(), parts: int | None = None,
                       approx: bool = False) -> DataFrame:
     """One row per group with `p` (array of percentiles, linear interpolation)."""
     by, probs = list(by), [float(p) for p in probs]
@@ -62,48 +80,43 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), buckets: int = 64
         for key in by:
             rows = rows.where(F.col(key).isNotNull())
         return rows.groupBy(*by).agg(F.percentile_approx(value, probs, 10000).alias("p"))
-    return percentiles_of_weights(value_weights(df, value, by), probs, by, buckets)
+    return percentiles_of_weights(value_weights(df, value, by), probs, by, parts)
 
 
-def percentiles_of_weights(weights: DataFrame, probs, by=(), buckets: int = 64) -> DataFrame:
+def percentiles_of_weights(weights: DataFrame, probs, by=(), parts: int | None = None) -> DataFrame:
     def wanted(total: Column):
         for p in probs:
             at = (total - 1) * F.lit(p)
             yield [(F.floor(at), 1 - (at - F.floor(at))), (F.ceil(at), at - F.floor(at))]
 
-    return values_at_ranks(weights, wanted, len(probs), by, buckets)
+    return values_at_ranks(weights, wanted, len(probs), by, parts)
 
 
-def values_at_ranks(weights: DataFrame, wanted, count: int, by=(), buckets: int = 64) -> DataFrame:
+def values_at_ranks(weights: DataFrame, wanted, count: int, by=(), parts: int | None = None) -> DataFrame:
     """One row per group with `p`: `count` values read at 0-based ranks.
 
     `wanted(total)` yields, for each value, the (rank, share) pairs it is mixed
-    from: one pair, or a lower and a higher rank.
+    from: one pair, or a lower and a higher rank. The weights are sorted and stored
+    when this is called.
     """
     by = list(by)
-    table = _bucketed(weights, by, buckets)
-
-    # Rows below each bucket: at most `buckets` rows per group.
-    sizes = table.groupBy(*by, "bucket").agg(F.sum("n").alias("size"))
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = (sizes.withColumn("below", F.sum("size").over(upto) - F.col("size"))
-             .withColumn("total", F.sum("size").over(group)))
+    table = ranges(weights, by, ["v"], parts)
+    sizes = range_sizes(table, by, F.col("n"))
 
-    # Wanted ranks, kept with the bucket that holds them.
+    # Wanted ranks, kept with the range that holds them.
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), rank.cast("bigint").alias("rank"),
                                F.lit(share).cast("double").alias("share"))
                       for i, pairs in enumerate(wanted(F.col("total")))
                       for rank, share in pairs])
     here = F.filter(ranks, lambda r: (r["rank"] >= F.col("below")) &
                     (r["rank"] < F.col("below") + F.col("size")))
-    targets = (sizes.select(*by, "bucket", "below", here.alias("ranks"))
+    targets = (sizes.select(*by, "_part", "below", here.alias("ranks"))
                .where(F.size("ranks") > 0))
 
-    # Order only those buckets and read the values at the ranks.
-    ordered = (Window.partitionBy(*by, "bucket").orderBy("v")
+    # Look at those ranges alone and read the values at the ranks.
+    ordered = (Window.partitionBy(*by, "_part").orderBy("v")
                .rowsBetween(Window.unboundedPreceding, 0))
-    placed = (table.join(targets, [*by, "bucket"])
+    placed = (table.join(targets, [*by, "_part"])
               .withColumn("end", F.col("below") + F.sum("n").over(ordered)))
     hits = placed.select(*by, "v", F.explode(F.filter("ranks", lambda r: (
         r["rank"] >= F.col("end") - F.col("n")) & (r["rank"] < F.col("end")))).alias("r"))
