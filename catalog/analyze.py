@@ -66,10 +66,9 @@ def _as_of(spark, sf):
  union all select seq, 14 from jobs where date_posted >= {_LAST_DAY} - interval 14 days
   and date_posted < {_LAST_DAY} - interval 7 days"""))
 def _(spark, sf):
-    rows, now = jobs(spark, sf), _as_of(spark, sf)
-    return rows.where(filters.within_days("date_posted", now, 30)).select(
-        "seq", F.lit(30).alias("days")).union(
-        rows.where(filters.within_days("date_posted", now, 14, skip=7)).select("seq", F.lit(14)))
+    rows, now = silver(spark, sf), _as_of(spark, sf)
+    return filters.recent_rows(rows, "date_posted", now, 30).select("seq", F.lit(30).alias("days")).union(
+        filters.recent_rows(rows, "date_posted", now, 14, skip=7).select("seq", F.lit(14)))
 
 
 @case("F5_drop_missing", on_jobs("select seq from jobs where title is not null and is_remote is not null"))
@@ -376,7 +375,7 @@ def _(spark, sf):
 @case("A22_window_volume", on_jobs(f"""select count(*) as jobs, count(distinct title) as unique_titles,
  count(*) / 30e0 as jobs_per_day from jobs where date_posted >= {_LAST_DAY} - interval 30 days"""))
 def _(spark, sf):
-    return metrics.window_volume(jobs(spark, sf), _as_of(spark, sf))
+    return metrics.window_volume(silver(spark, sf), _as_of(spark, sf))
 
 
 _SETS = {"A": _SPEC_SQL.replace("and education_level = 'Master''s'", "").replace(

@@ -12,6 +12,7 @@ from typing import Callable, NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacancia.functions import fixed_values as V
+from vacancia.operators.filters import MONTH
 from vacancia.plans.enrich import enrich
 from vacancia.sources.readers import path_exists
 from vacancia.sources.workspace import new_path
@@ -125,7 +126,8 @@ def silver(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_silver(spark: SparkSession, sf: str) -> str:
-    path = write_table(enriched(spark, sf).drop("description"), new_path(spark, "silver"))
+    rows = enriched(spark, sf).drop("description").withColumn(MONTH, F.date_format("date_posted", "yyyy-MM"))
+    path = write_table(rows, new_path(spark, "silver"), [MONTH])
     _SILVER[(spark.sparkContext.applicationId, sf)] = path
     return path
 

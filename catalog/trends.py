@@ -143,7 +143,7 @@ def _(spark, sf):
  cross join (select count(*) as n from jobs where date_posted >= {_LAST} - interval 7 days) m
  group by t.title, m.n"""))
 def _(spark, sf):
-    return trends.growth_metrics(jobs(spark, sf), _as_of(spark, sf))
+    return trends.growth_metrics(silver(spark, sf), _as_of(spark, sf))
 
 
 _HISTORY = f"""past as (select title, day, cast(sum(n) over w as bigint) as cumulative,

@@ -357,3 +357,21 @@ def test_matches_equal_scoring_all_rows(spark):
         assert {(r.candidate_id, -r.match_percentage, r.seq, r.title, tuple(r.matched_skills)) for r in got} == want
         assert len(got) == len(want) and all(not set(r.missing_skills) & set(r.matched_skills) for r in got)
     assert matching.match_candidates(candidates, postings.limit(0)).collect() == []
+
+
+def test_recent_rows_read_their_months_alone(spark, tmp_path):
+    """The bound on the month comes from a scalar that is only known at run time, and changes no row."""
+    rows = spark.range(0, 900).select((F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))).alias("date_posted"),
+                                      F.col("id").alias("seq"))
+    rows.withColumn(filters.MONTH, F.date_format("date_posted", "yyyy-MM")).write.partitionBy(filters.MONTH).parquet(
+        str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    as_of = rows.agg(F.max("date_posted")).scalar()
+    for days, skip in ((7, 0), (14, 7), (31, 1), (60, 30)):
+        got = filters.recent_rows(stored, "date_posted", as_of, days, skip)
+        want = filters.recent_rows(rows, "date_posted", as_of, days, skip)
+        assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in want.collect()) != []
+        got.write.format("noop").mode("overwrite").save()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        bounds = plan[plan.index("PartitionFilters"):]
+        assert "posted_month" in bounds[:300] and "ubquery" in bounds[:600]

@@ -59,11 +59,33 @@ def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
     return df.where(reduce(and_, spec.tests(), F.lit(True)))
 
 
-def within_days(posted, as_of: Column, days: int, skip: int = 0) -> Column:
-    """posted in [as_of - days, as_of - skip); no upper end without skip."""
+MONTH = "posted_month"  # the partition column of the processed table, yyyy-MM
+
+
+def within_days(posted, as_of: Column, days: int, skip: int = 0, month: str | None = None) -> Column:
+    """posted in [as_of - days, as_of - skip); no upper end without skip.
+
+    `month` names a partition column with the month of the date: bounds on it, a day
+    wider than the dates' (time zones), let the scan leave out other months, also
+    where `as_of` is only known when the query runs.
+    """
     at = col(posted)
-    recent = at >= as_of - F.expr(f"INTERVAL {days} DAYS")
-    return recent & (at < as_of - F.expr(f"INTERVAL {skip} DAYS")) if skip else recent
+
+    def before(n: int) -> Column:
+        return as_of - F.expr(f"INTERVAL {n} DAYS")
+    recent = at >= before(days)
+    if skip:
+        recent = recent & (at < before(skip))
+    if month:
+        recent = recent & (F.col(month) >= F.date_format(before(days + 1), "yyyy-MM"))
+        if skip:
+            recent = recent & (F.col(month) <= F.date_format(before(skip - 1), "yyyy-MM"))
+    return recent
+
+
+def recent_rows(df: DataFrame, posted, as_of: Column, days: int, skip: int = 0) -> DataFrame:
+    """Rows of the last days; only their months are read from a table that is stored by month."""
+    return df.where(within_days(posted, as_of, days, skip, MONTH if MONTH in df.columns else None))
 
 
 def drop_missing(df: DataFrame, columns) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.fixed_values import SKILL_PATTERNS
 from ..functions.pay import percent, week_start
 from ..functions.rules import prefixed
 from ..functions.text import keyword_flags
-from .filters import FilterSpec, within_days
+from .filters import FilterSpec, recent_rows
 from .quantiles import median
 
 
@@ -136,7 +136,7 @@ def flag_column_share(df: DataFrame, prefix: str = "skill_", k: int | None = 15)
 def window_volume(df: DataFrame, as_of, days: int = 30, posted="date_posted",
                   title="title") -> DataFrame:
     """Rows, distinct titles and rows per day of the last days."""
-    return df.where(within_days(posted, as_of, days)).agg(
+    return recent_rows(df, posted, as_of, days).agg(
         F.count("*").alias("jobs"), F.count_distinct(title).alias("unique_titles"),
         (F.count("*") / days).alias("jobs_per_day"))
 

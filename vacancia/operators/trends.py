@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import OTHER_ROLE
 from ..functions.pay import percent
-from .filters import drop_missing, within_days
+from .filters import drop_missing, recent_rows, within_days
 from .metrics import (daily_counts, flag_totals, period_counts, top_counts)
 
 
@@ -70,7 +70,7 @@ def wow_change(flags: DataFrame, names, as_of: Column, posted="date_posted",
     """
     current = F.coalesce(within_days(posted, as_of, 7), F.lit(False))
     previous = F.coalesce(within_days(posted, as_of, 14, skip=7), F.lit(False))
-    recent = flags.where(within_days(posted, as_of, 14)).withColumns(
+    recent = recent_rows(flags, posted, as_of, 14).withColumns(
         {"_current": current, "_previous": previous})  # worked out once, not once per skill
     sums = flag_totals(recent, names, {"cur": F.col("_current"), "prev": F.col("_previous")})
     sums = sums.where((F.col("cur_rows") > 0) & (F.col("prev_rows") > 0))
@@ -105,7 +105,7 @@ def growth_metrics(df: DataFrame, as_of: Column, key: str = "title", k: int = 8,
                    posted="date_posted") -> DataFrame:
     """Share of the last days per top key, whole and per day."""
     rows = drop_missing(df, [posted])
-    recent = rows.where(within_days(posted, as_of, days))
+    recent = recent_rows(rows, posted, as_of, days)
     total = recent.agg(F.count("*")).scalar()
     counts = recent.groupBy(key).agg(F.count("*").alias("recent"))
     share = percent(F.coalesce("recent", F.lit(0)), total)
