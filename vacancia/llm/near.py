@@ -1,9 +1,10 @@
 """Jaccard join on word shingles by an LSH forest, verified exactly.
 
-1. *Forest.* Each distinct text gets minhashes, some per tree. The values of a
-   tree, in order, are a path in that tree's trie; texts sharing a prefix meet.
-   Prefixes start at full length and are shortened until texts at exactly the
-   threshold meet in some tree with the target probability.
+1. *Prefixes.* Each distinct text gets minhashes, some per tree; texts that share the
+   first values of a tree, in order, meet. How many values that is follows from the
+   threshold, the number of trees and the target recall alone: from full length it is
+   shortened until texts at exactly the threshold meet in some tree with that
+   probability. No trie is built or walked: texts meet on a hash of the prefix.
 2. *Candidates.* Texts that meet are compared by their minhashes. Everything
    that may reach the threshold is joined up to clusters; a cluster holds every
    pair that any tree proposed, each text once, however many trees found it.

@@ -2,8 +2,10 @@
 
 Each task turns a document into pre-token frequencies, has the model count the
 pieces of every distinct pre-token once while it is remembered, joins the two
-by pre-token and sums frequency times pieces. No id is ever made, nothing is
-shuffled, and memory is bounded by a run of texts plus the remembered counts.
+by pre-token and sums frequency times pieces. The pieces of one pre-token are made
+to be counted; those of a text never exist together. The join is one of dictionaries in
+the task, not of tables: nothing is shuffled, and memory is bounded by a run of texts
+plus the remembered counts.
 """
 
 from __future__ import annotations
