@@ -515,6 +515,22 @@ def test_token_operators_on_odd_rows(odd, none):
     assert bpe.decode(nothing, WORDS).first().decoded is None
 
 
+@pytest.mark.parametrize("common", [0, 3, token_counts.COMMON])
+def test_token_counts_through_either_join(spark, common):
+    texts = [*strange_texts(60), "the " * 500 + "x" * 5000, "=" * 70_000, "x" * 5000, "=" * 70_000, "", None]
+    df = spark.createDataFrame([(i // 2 or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = token_counts.count_tokens(df.withColumn("row", F.lit(1)).repartition(5), WORDS, common=common, limit=500)
+    want = [(i // 2 or None, len((t or "").encode()), len(ids), len(ids) > 500)
+            for i, t in enumerate(texts) for ids in [library_ids(WORDS, t)]]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+
+def test_pieces_are_counted_once_per_pretoken(spark):
+    words = spark.createDataFrame([("the",), ("the",), ("a" * 40,), ("",), ("the",)], "word string")
+    rows = {r.key: (r.texts, r.pieces) for r in token_counts.pieces_of(words.where("word <> ''"), WORDS).collect()}
+    assert rows["the"] == (3, 1) and len(rows) == 2 and all(len(k) <= 64 for k in rows)
+
+
 def check_packing(rows, ids_of):
     """ids_of: (doc_id, text) pairs; every id once, windows gapless and full."""
     windows = defaultdict(list)

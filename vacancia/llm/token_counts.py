@@ -1,32 +1,38 @@
-"""Token counts without token ids.
-
-Each task turns a document into pre-token frequencies, has the model count the
-pieces of every distinct pre-token once while it is remembered, joins the two
-by pre-token and sums frequency times pieces. The pieces of one pre-token are made
-to be counted; those of a text never exist together. The join is one of dictionaries in
-the task, not of tables: nothing is shuffled, and memory is bounded by a run of texts
-plus the remembered counts.
+"""Token counts without the token ids of any text.
+
+Three tables: the pre-token frequencies of every document, stored once; the
+distinct pre-tokens with the number of pieces the model cuts each into, asked
+once for the whole table; and their join, summed per document. The model's
+pieces of one pre-token are made to be counted; those of a text never are.
+
+Pre-tokens are as unequal as words: a few stand in most documents. The most
+frequent ones (COMMON at most, by a key of at most 64 bytes) are joined by broadcast,
+so they meet the documents where those lie; any other holds less than one
+COMMONth of all rows, so the shuffled join has no hot key.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from functools import lru_cache
-from operator import mul
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .pretokens import Learned, Pretokenizer
+from vacancia.sources.workspace import materialize
+
+from .pretokens import Pretokenizer
 from .tables import vocabulary_file
 from .words import slices
 
+COMMON = 65_536  # pre-tokens joined by broadcast: at most 64 bytes and a number each
+
 
 @lru_cache(maxsize=1)
-def known_counts(vocabulary: str) -> tuple[Pretokenizer, Learned]:
-    """Of the worker process: later tasks go on with what earlier ones learned."""
-    cutter = Pretokenizer(vocabulary_file(vocabulary))
-    return cutter, Learned(piece_counter(cutter))
+def cutter_of(vocabulary: str) -> Pretokenizer:
+    """Of the worker process, so that later tasks do not read the file again."""
+    return Pretokenizer(vocabulary_file(vocabulary))
 
 
 def piece_counter(cutter: Pretokenizer):
@@ -38,31 +44,78 @@ def piece_counter(cutter: Pretokenizer):
     return learn
 
 
-def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                 limit: int = 2048) -> DataFrame:
-    """One row per input row: the id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+def pretoken_frequencies(df: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n_bytes, words, times): the distinct pre-tokens of each text and how often each stands there.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Null and repeated ids are
-    kept as they are. Other columns are left out, whatever their names.
-    An empty table gives an empty result.
+    `row` tells rows with equal ids apart; it is fixed once the table is stored.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+                     F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        cutter, pieces = known_counts(vocabulary)
+        cutter = cutter_of(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes, totals = [], []
+            texts = batch.column(2).to_pylist()
             for part in slices(texts):
-                frequencies = [Counter(cutter(t)) for t in texts[part]]
-                totals += [sum(map(mul, f.values(), n))
-                           for f, n in zip(frequencies, pieces.lookup(frequencies))]
-                sizes += [len((t or "").encode("utf-8")) for t in texts[part]]
+                found = [Counter(cutter(t)) for t in texts[part]]
+                ends = pa.array(accumulate(map(len, found), initial=0), pa.int32())
+                words = pa.array(chain.from_iterable(found), pa.string())
+                times = pa.array(chain.from_iterable(f.values() for f in found), pa.int64())
+                size = pa.array([len((t or "").encode("utf-8")) for t in texts[part]], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[part], batch.column(1)[part], size,
+                     pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, times)],
+                    ["row", "id", "n_bytes", "words", "times"])
+
+    return rows.mapInArrow(
+        run, f"row long, id {id_type}, n_bytes long, words array<string>, times array<long>")
+
+
+def _key(word: str):
+    """The pre-token, or the digest of one beyond 32 bytes: 64 bytes at most."""
+    return F.when(F.octet_length(word) > 32, F.sha2(F.col(word).cast("binary"), 256)).otherwise(F.col(word))
+
+
+def pieces_of(words: DataFrame, vocabulary: str) -> DataFrame:
+    """(key, texts, pieces) of the distinct pre-tokens in column `word`; texts: rows that hold it."""
+    distinct = words.groupBy("word").agg(F.count("*").alias("texts"))
+    keyed = distinct.select(_key("word").alias("key"), "texts", "word")
+
+    def run(batches):
+        count = piece_counter(cutter_of(vocabulary))
+        for batch in batches:
+            pieces = pa.array(map(count, batch.column(2).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
-                ["id", "n_bytes", "n_tokens"])
+                [batch.column(0), batch.column(1), pieces], ["key", "texts", "pieces"])
+
+    return keyed.mapInArrow(run, "key string, texts long, pieces long")
+
 
-    counted = rows.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long")
+def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
+                 limit: int = 2048, common: int = COMMON) -> DataFrame:
+    """One row per input row: the id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+
+    A null text counts as empty: 0 bytes, 0 tokens. Null and repeated ids are
+    kept as they are. Other columns are left out, whatever their names.
+    An empty table gives an empty result. The frequencies and the distinct
+    pre-tokens are written to the shared folder when this is called; `common`
+    moves work between the two joins, not results.
+    """
+    stored = materialize(pretoken_frequencies(df, vocabulary, id_col, text_col), "token-frequencies")
+    pieces = materialize(pieces_of(stored.select(F.explode("words").alias("word")), vocabulary),
+                         "token-pieces").select("key", "texts", "pieces")
+    text = ["row", "id", "n_bytes"]
+    rows = stored.select(*text, F.explode(F.arrays_zip("words", "times")).alias("w")).select(
+        *text, F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    rows = rows.select(*text, _key("word").alias("key"), "times")
+    frequent = F.broadcast(pieces.orderBy(F.desc("texts"), "key").limit(common).select("key", "pieces"))
+    rest = rows.join(frequent, "key", "left_anti").join(
+        pieces.select("key", "pieces").hint("merge"), "key")
+    tokens = (F.col("times") * F.col("pieces")).alias("n")
+    parts = (rows.join(frequent, "key").select(*text, tokens)
+             .unionAll(rest.select(*text, tokens))
+             .unionAll(stored.select(*text, F.lit(0).cast("long"))))
+    counted = parts.groupBy(*text).agg(F.sum("n").alias("n_tokens"))
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
                           (F.col("n_tokens") > limit).alias("over_limit"))
