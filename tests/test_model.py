@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,27 @@ def test_folds(prepared):
 def test_compare_models(prepared):
     out = model.compare_models(prepared, ["SQL"], n_skills=1, sizes=SIZES, log_target=True, cap_years=5.0)
     assert out.count() == 6 and out.where("train_r2 > 0.5").count() > 0
+
+
+def test_linear_scores_from_sums_equal_those_of_the_fits(prepared):
+    data = model.role_data(prepared, "Data Engineer", ["SQL", "Git", "R"], "seq", 5, 42)
+    linear = model.estimators(SIZES)["Linear Regression"]
+    got = model.gram_scores(model.gram_sums(data), 5)
+    for k, (test, train) in enumerate(got):
+        fitted = linear.fit(data.where(F.col("fold") != k))
+        assert abs(test - model.score(fitted.transform(data.where(F.col("fold") == k)))["r2"]) < 1e-9
+        assert abs(train - model.score(fitted.transform(data.where(F.col("fold") != k)))["r2"]) < 1e-9
+    assert model.least_squares(linear) and not model.least_squares(linear.copy({linear.regParam: 0.1}))
+
+
+def test_fits_from_sums_without_spread():
+    rows = np.array([[1.0, 3, 5, 7], [1, 3, 6, 7], [1, 3, 7, 7]])
+    gram = rows.T @ rows
+    assert np.allclose(model.gram_fit(gram), [7, 0, 0]) and model.gram_r2(gram, model.gram_fit(gram)) == 1.0
+    with pytest.raises(ValueError):
+        model.gram_fit(np.zeros((3, 3)))
+    with pytest.raises(ValueError):
+        model.gram_scores({}, 5)
+    doubled = np.array([[1.0, x, 2 * x, 3 * x + 1] for x in range(5)])
+    fit = model.gram_fit(doubled.T @ doubled)
+    assert np.allclose(doubled[:, :3] @ fit, doubled[:, 3])

@@ -11,10 +11,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from statistics import StatisticsError, fmean, pstdev
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -161,9 +163,80 @@ def score(predicted: DataFrame, label: str = "label") -> dict[str, float]:
     return {"r2": r2, "mae": row["mae"], "rmse": row["mse"] ** 0.5, "n": row["n"]}
 
 
+def least_squares(estimator) -> bool:
+    """Whether the sums of products say all about the fit: squared error, an intercept, no penalty, no weights."""
+    return (isinstance(estimator, LinearRegression) and estimator.getRegParam() == 0
+            and estimator.getFitIntercept() and estimator.getLoss() == "squaredError"
+            and not estimator.isDefined("weightCol") and estimator.getFeaturesCol() == "features")
+
+
+def gram_sums(data: DataFrame, label: str = "label") -> dict[int, np.ndarray]:
+    """Fold -> matrix of the sums of products of (1, features, label), from one aggregate over the rows.
+
+    (features + 2) squared numbers per fold come to the driver.
+    """
+    width = data.schema["features"].metadata["ml_attr"]["num_attrs"]
+    rows = data.select("fold", vector_to_array("features").alias("v"), F.col(label).cast("double").alias("y"))
+    rows = rows.select("fold", F.lit(1.0).alias("z0"), *[F.get("v", i).alias(f"z{i + 1}") for i in range(width)],
+                       F.col("y").alias(f"z{width + 1}"))
+    pairs = [(i, j) for i in range(width + 2) for j in range(i, width + 2)]
+    sums = rows.groupBy("fold").agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    out = {}
+    for row in sums.collect():
+        gram = np.zeros((width + 2, width + 2))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = row[f"s{i}_{j}"]
+        out[row["fold"]] = gram
+    return out
+
+
+def gram_fit(gram: np.ndarray) -> np.ndarray:
+    """Intercept and coefficients of least squares; 0 for a constant feature, the shortest among equal fits."""
+    n, sums, squares = gram[0, 0], gram[0, 1:], np.diag(gram)[1:]
+    if not n:
+        raise ValueError("no rows to fit")
+    centered = gram[1:, 1:] - np.outer(sums, sums) / n
+    spread = np.sqrt(np.maximum(np.diag(centered), 0))[:-1]
+    varies = spread ** 2 > 1e-12 * squares[:-1]
+    coefficients = np.zeros(len(spread))
+    if varies.any():
+        scale = spread[varies]
+        matrix = centered[:-1, :-1][np.ix_(varies, varies)] / np.outer(scale, scale)
+        solved = np.linalg.lstsq(matrix, centered[:-1, -1][varies] / scale, rcond=1e-10)[0]
+        coefficients[varies] = solved / scale
+    return np.concatenate(([(sums[-1] - coefficients @ sums[:-1]) / n], coefficients))
+
+
+def gram_r2(gram: np.ndarray, fit: np.ndarray) -> float:
+    """r2 of a fit on the rows that the sums stand for."""
+    n, weights = gram[0, 0], np.concatenate((fit, [-1.0]))
+    if not n:
+        return float("nan")
+    error = max(weights @ gram @ weights, 0.0) / n
+    variance = gram[-1, -1] / n - (gram[0, -1] / n) ** 2
+    if variance <= 1e-14 * gram[-1, -1] / n:
+        return float(error <= 1e-14 * gram[-1, -1] / n)
+    return float(1.0 - error / variance)
+
+
+def gram_scores(grams: dict[int, np.ndarray], folds: int) -> list[tuple[float, float]]:
+    """(test r2, train r2) per fold; what trains a fold's fit is the total less its part."""
+    if not grams:
+        raise ValueError("no rows to fit")
+    total, out = sum(grams.values()), []
+    for k in range(folds):
+        part = grams.get(k, np.zeros_like(total))
+        fit = gram_fit(total - part)
+        out.append((gram_r2(part, fit), gram_r2(total - part, fit)))
+    return out
+
+
 def cross_validate(estimator, data: DataFrame, folds: int = 5, parallelism: int = 4,
                    train_scores: bool = False) -> dict:
-    """Mean and population std of the test r2 over the `fold` column."""
+    """Mean and population std of the test r2 over the `fold` column.
+
+    A plain linear regression is validated from sums of products alone.
+    """
     def run(k: int):
         fitted = estimator.fit(data.where(F.col("fold") != k))
         test = score(fitted.transform(data.where(F.col("fold") == k)))["r2"]
@@ -171,8 +244,11 @@ def cross_validate(estimator, data: DataFrame, folds: int = 5, parallelism: int
                  if train_scores else None)
         return test, train
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(run, range(folds)))
+    if least_squares(estimator):
+        results = gram_scores(gram_sums(data, estimator.getLabelCol()), folds)
+    else:
+        with ThreadPoolExecutor(parallelism) as pool:
+            results = list(pool.map(run, range(folds)))
     tests = [t for t, _ in results if t == t]
     out = {"mean_r2": fmean(tests), "std_r2": pstdev(tests)}
     if train_scores:
@@ -199,10 +275,15 @@ def select_top_skills(df: DataFrame, skills, n: int | None = 10,
 
 def role_data(prepared: DataFrame, role: str, skills, key: str, folds: int, seed: int,
               shuffled: bool = False, only=None):
-    """label, fold and features of one role; folds by position unless they are to be shuffled."""
+    """label, fold and features of one role; folds by position unless they are to be shuffled.
+
+    Rows that have a fold keep it.
+    """
     rows = prepared.where(F.col("role_category") == role).withColumn("label", F.col("average_salary"))
-    rows = (rows.withColumn("fold", shuffled_folds(key, folds, seed)) if shuffled
-            else contiguous_folds(rows, "role_category", key, folds))
+    if shuffled:
+        rows = rows.withColumn("fold", shuffled_folds(key, folds, seed))
+    elif "fold" not in prepared.columns:
+        rows = contiguous_folds(rows, "role_category", key, folds)
     return build_features(rows, skills, keep=["label", "fold"], only=only)
 
 
@@ -267,17 +348,21 @@ def train_per_role(prepared: DataFrame, path: str, skills=tuple(V.SKILL_PATTERNS
     `prepared` should be a stored table (see `prepared_table`). A role whose
     data do not do has a registry row with the problem as its status and no
     path. Fits of a few roles and folds are submitted at the same time, so
-    small roles do not leave executors idle. `models` (name -> estimator of
+    small roles do not leave executors idle; the folds of all roles are laid out
+    in one go and stored by role. `models` (name -> estimator of
     label and features) replaces the three built-in ones, `only` names the
     features to use.
     """
     spark = prepared.sparkSession
+    roles = trainable_roles(prepared, min_rows)
+    placed = materialize(contiguous_folds(prepared.where(F.col("role_category").isin(roles)).drop("fold"),
+                                          "role_category", key, folds), "folds", ["role_category"])
 
     def train(role: str):
         rows = prepared.where(F.col("role_category") == role)
         ranked = select_top_skills(rows, skills, None, sizes)
         top = ranked[:n_skills]
-        data = role_data(prepared, role, top, key, folds, sizes.seed, only=only)
+        data = role_data(placed, role, top, key, folds, sizes.seed, only=only)
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             best, fitted, fit, cv = train_best(data, models or estimators(sizes), folds, parallelism)
@@ -290,7 +375,7 @@ def train_per_role(prepared: DataFrame, path: str, skills=tuple(V.SKILL_PATTERNS
                 [c[:3] for c in cv], target, "trained")
 
     records = [result or (role, *[None] * 10, problem) for role, result, problem in
-               _each_role(train, trainable_roles(prepared, min_rows), roles_at_once)]
+               _each_role(train, roles, roles_at_once)]
     registry = spark.createDataFrame(records, MODEL_REGISTRY)
     registry.coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
     return load_registry(spark, path)
