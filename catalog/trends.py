@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacancia.operators import forecast, metrics, model, trends
+from vacancia.operators.summaries import Summaries
+from vacancia.sources.workspace import materialize, new_path
 
 from .analyze import _as_of, _flags, _q, _round, _top
-from .jobs import FLAGGED, SILVER, SKILLS, case, jobs, on_jobs, on_silver, silver, table, unpivot_skills
+from .jobs import CASES, FLAGGED, SILVER, SKILLS, case, jobs, on_jobs, on_silver, silver, table, unpivot_skills
 
 _WEEKLY = """weekly as (select cast(date_trunc('week', date_posted) as date) as week, role_category,
  count(*) as count from silver where role_category <> 'Other' group by 1, 2),
@@ -211,3 +213,64 @@ def _(spark, sf):
  cast(cast('0x' || substr(md5('42-' || seq), 1, 8) as bigint) % 5 as integer) as fold from silver"""))
 def _(spark, sf):
     return silver(spark, sf).select("seq", model.shuffled_folds("seq").alias("fold"))
+
+
+_KEPT: dict = {}
+_BORDER = "timestamp_ntz '1995-01-01'"
+
+
+def _summaries(spark, sf):
+    """Summaries of all postings, kept in two batches: the early years, then the rest and rows without a date."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        kept = Summaries(spark, new_path(spark, "summaries"))
+        rows = materialize(silver(spark, sf).select(
+            "date_posted", *kept.dimensions, "company", kept.value), "postings")
+        early = F.coalesce(F.expr(f"date_posted < {_BORDER}"), F.lit(False))
+        for number, part in enumerate((early, ~early)):
+            kept.add(rows.where(part), number)
+        _KEPT[key] = kept
+    return _KEPT[key]
+
+
+@case("W2_role_mix_of_summaries", CASES["W2_weekly_role_mix"].sql)
+def _(spark, sf):
+    return _round(trends.role_mix_of(_summaries(spark, sf).period_counts("role_category", "week")), 6, "percentage")
+
+
+@case("W5_mix_of_summaries", CASES["W5_cumulative_mix"].sql)
+def _(spark, sf):
+    counts = _summaries(spark, sf).period_counts("education_level").where("day >= date '1998-01-01'")
+    return _round(trends.cumulative_mix_of(counts), 6, "percentage")
+
+
+@case("W7_daily_share_of_summaries", CASES["W7_daily_share"].sql)
+def _(spark, sf):
+    return trends.daily_share_of(_summaries(spark, sf).period_counts("title", missing=True))
+
+
+@case("A6_week_counts_of_summaries", CASES["A6_week_role_counts"].sql)
+def _(spark, sf):
+    return _summaries(spark, sf).period_counts("role_category", "week")
+
+
+@case("A7_daily_counts_of_summaries", on_silver("""select cast(date_posted as date) as day, count(*) as count
+ from silver where date_posted is not null group by 1"""))
+def _(spark, sf):
+    return _summaries(spark, sf).daily_counts()
+
+
+@case("A5_mean_pay_of_summaries", on_silver("""select role_category, round(avg(average_salary), 4) as mean from silver
+ where role_category is not null group by role_category"""))
+def _(spark, sf):
+    return _round(_summaries(spark, sf).group_mean("role_category"), 4, "mean")
+
+
+@case("A21_distinct_of_sketches")
+def _(spark, sf):
+    return _summaries(spark, sf).distinct_counts()
+
+
+@case("A13_percentiles_of_sketches")
+def _(spark, sf):
+    return _summaries(spark, sf).percentiles("role_category")

@@ -34,8 +34,12 @@ def share_within(df: DataFrame, group: str, value: str = "count", name="percenta
 def weekly_role_mix(df: DataFrame, key: str = "role_category", posted="date_posted",
                     other: str = OTHER_ROLE) -> DataFrame:
     """Weekly shares of the roles, the catch-all left out of the total."""
-    weekly = period_counts(df, key, posted, "week").where(F.col(key) != other)
-    return share_within(densify(weekly, "week", key), "week")
+    return role_mix_of(period_counts(df, key, posted, "week"), key, other)
+
+
+def role_mix_of(weekly: DataFrame, key: str = "role_category", other: str = OTHER_ROLE) -> DataFrame:
+    """`weekly_role_mix` of counts per (week, key)."""
+    return share_within(densify(weekly.where(F.col(key) != other), "week", key), "week")
 
 
 def cumulative(df: DataFrame, order: str, value: str = "count", by=(), name="cum_count"):
@@ -53,7 +57,11 @@ def cumulative_mix(df: DataFrame, key: str = "education_level", posted="date_pos
     """
     rows = drop_missing(df, [posted, key])
     rows = rows if start is None else rows.where(F.col(posted) >= start)
-    counts = period_counts(rows, key, posted, "day")
+    return cumulative_mix_of(period_counts(rows, key, posted, "day"), key, dense)
+
+
+def cumulative_mix_of(counts: DataFrame, key: str = "education_level", dense: bool = False) -> DataFrame:
+    """`cumulative_mix` of counts per (day, key)."""
     totals = counts.groupBy("day").agg(F.sum("count").alias("total"))
     if dense:
         counts = densify(counts, "day", key)
@@ -92,7 +100,12 @@ def daily_share(df: DataFrame, key: str = "title", k: int = 8, posted="date_post
     keys, their days and the totals.
     """
     rows = drop_missing(df, [posted])
-    counts = rows.groupBy(F.to_date(posted).alias("day"), key).agg(F.count("*").alias("count"))
+    return daily_share_of(rows.groupBy(F.to_date(posted).alias("day"), key).agg(F.count("*").alias("count")),
+                          key, k)
+
+
+def daily_share_of(counts: DataFrame, key: str = "title", k: int = 8) -> DataFrame:
+    """`daily_share` of counts per (day, key), missing keys included."""
     known = counts.where(F.col(key).isNotNull())
     top = (known.groupBy(key).agg(F.sum("count").alias("n")).orderBy(F.desc("n"), key)
            .limit(k).select(key))
