@@ -20,7 +20,7 @@ from itertools import accumulate, chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vacancia.sources.workspace import materialize
+from vacancia.sources.workspace import new_path
 
 from .pretokens import Pretokenizer
 from .tables import vocabulary_file
@@ -72,6 +72,13 @@ def pretoken_frequencies(df: DataFrame, vocabulary: str, id_col: str, text_col:
         run, f"row long, id {id_type}, n_bytes long, words array<string>, times array<long>")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written densely to the shared folder and read back."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _key(word: str):
     """The pre-token, or the digest of one beyond 32 bytes: 64 bytes at most."""
     return F.when(F.octet_length(word) > 32, F.sha2(F.col(word).cast("binary"), 256)).otherwise(F.col(word))
@@ -102,20 +109,19 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     pre-tokens are written to the shared folder when this is called; `common`
     moves work between the two joins, not results.
     """
-    stored = materialize(pretoken_frequencies(df, vocabulary, id_col, text_col), "token-frequencies")
-    pieces = materialize(pieces_of(stored.select(F.explode("words").alias("word")), vocabulary),
-                         "token-pieces").select("key", "texts", "pieces")
-    text = ["row", "id", "n_bytes"]
-    rows = stored.select(*text, F.explode(F.arrays_zip("words", "times")).alias("w")).select(
-        *text, F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    rows = rows.select(*text, _key("word").alias("key"), "times")
+    texts = _stored(pretoken_frequencies(df, vocabulary, id_col, text_col), "token-frequencies")
+    pieces = _stored(pieces_of(texts.select(F.explode("words").alias("word")), vocabulary), "token-pieces")
+    # Only the row number goes through the joins; id and size come back at the end.
+    rows = texts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
+        "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    rows = rows.select("row", _key("word").alias("key"), "times")
     frequent = F.broadcast(pieces.orderBy(F.desc("texts"), "key").limit(common).select("key", "pieces"))
     rest = rows.join(frequent, "key", "left_anti").join(
         pieces.select("key", "pieces").hint("merge"), "key")
     tokens = (F.col("times") * F.col("pieces")).alias("n")
-    parts = (rows.join(frequent, "key").select(*text, tokens)
-             .unionAll(rest.select(*text, tokens))
-             .unionAll(stored.select(*text, F.lit(0).cast("long"))))
-    counted = parts.groupBy(*text).agg(F.sum("n").alias("n_tokens"))
+    parts = rows.join(frequent, "key").select("row", tokens).unionAll(rest.select("row", tokens))
+    sums = parts.groupBy("row").agg(F.sum("n").alias("n"))
+    counted = texts.select("row", "id", "n_bytes").join(sums, "row", "left").withColumn(
+        "n_tokens", F.coalesce("n", F.lit(0).cast("long")))
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
                           (F.col("n_tokens") > limit).alias("over_limit"))
