@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
+from vacancia.operators import metrics
+from vacancia.operators.summaries import Summaries
 from vacancia.plans.refresh import refresh, refresh_increment
 from vacancia.sources import readers, workspace, writers
 from vacancia.sources.schema import RAW_POSTINGS
@@ -77,12 +79,26 @@ def test_refresh_twice(spark, tmp_path):
         104.0, ["SQL"], 5, "TX")
 
 
+def test_refresh_fails_where_a_source_gave_nothing(spark, tmp_path):
+    new = postings(spark, 5).withColumns({"search_term": F.lit("a"), "search_location": F.lit("x")})
+    pairs = spark.createDataFrame([("a", "x"), ("b", "x")], "search_term string, search_location string")
+    with pytest.raises(ValueError, match=r"\(b, x\)"):
+        refresh(spark, [], new, str(tmp_path), datetime(2026, 1, 1), expected=pairs)
+    assert not list(tmp_path.iterdir())
+    raw, _ = refresh(spark, [], new, str(tmp_path), datetime(2026, 1, 1), expected=pairs.limit(1))
+    assert readers.read_snapshot(spark, raw, "20260101_000000").count() == 5
+
+
 def test_increments_equal_one_refresh(spark, tmp_path):
     base, (first, second) = str(tmp_path / "i"), (postings(spark, 3), postings(spark, 20, 2))
     whole = first.unionByName(second.where("seq > 2"))
     _, processed = refresh(spark, [], whole, str(tmp_path / "w"), datetime(2026, 1, 1))
+    summaries = Summaries(spark, str(tmp_path / "summaries"))
     for number, rows in ((0, first), (1, second), (1, second), (2, second)):  # batch 1 is replayed
-        refresh_increment(spark, base, rows, number)
+        refresh_increment(spark, base, rows, number, summaries=summaries)
+    stored = spark.read.parquet(processed)
+    assert sorted(map(str, summaries.period_counts("title").collect())) == sorted(
+        map(str, metrics.period_counts(stored, "title").collect()))
     columns = ["seq", "title", "average_salary", "skills", "years_experience_required", "posted_month"]
     got, want = (sorted(map(str, spark.read.parquet(p).select(*columns).collect()))
                  for p in (f"{base}/processed", processed))
