@@ -135,6 +135,20 @@ def _(spark, sf):
     return _round(_round(out, 4, "avg_salary"), 6, "pct_of_total")
 
 
+_JUNIOR_SQL = "(years_experience_required <= 2)"
+
+
+@case("A2_kpis_by_experience", on_silver(f"""select count(*) filter ({_JUNIOR_SQL}) as jobs,
+ round(100e0 * count(*) filter ({_JUNIOR_SQL}) / count(*), 6) as pct_of_total,
+ count(distinct company) filter ({_JUNIOR_SQL}) as unique_companies,
+ round(avg(average_salary) filter ({_JUNIOR_SQL}), 4) as avg_salary,
+ round(100e0 * count(*) filter ({_JUNIOR_SQL} and is_remote) / count(*) filter ({_JUNIOR_SQL}), 6) as remote_pct
+ from silver"""))
+def _(spark, sf):
+    out = metrics.kpis(silver(spark, sf), FilterSpec(experience="Entry Level (0-2 yrs)"))
+    return _round(_round(out, 4, "avg_salary"), 6, "pct_of_total", "remote_pct")
+
+
 for _name, _column, _k in (("location", "location", 10), ("company", "company", 10),
                            ("title", "title", 15)):
     @case(f"A3_top_{_name}_share", on_jobs(f"""select {_column}, count,
