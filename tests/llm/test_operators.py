@@ -425,6 +425,82 @@ def test_prefixes_are_as_long_as_the_recall_allows():
         assert d == near.DEPTH or 1 - (1 - t ** (d + 1)) ** near.TREES < near.RECALL
 
 
+def near_threshold(rng, pairs, words, least, most):
+    """Pairs of texts of `words` words, with words of the second exchanged; their likeness is drawn from [least, most]."""
+    texts = []
+    while len(texts) < 2 * pairs:
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
+        other = list(base)
+        for k in range(rng.randint(1, 6)):
+            other[rng.randrange(words)] = f"n{rng.randrange(10 ** 6)}"
+        a, b = (frozenset(tuple(t[i:i + 5]) for i in range(words - 4)) for t in (base, other))
+        if least <= len(a & b) / len(a | b) <= most:
+            texts += [" ".join(base), " ".join(other)]
+    return texts
+
+
+def met_by_tries(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    shortest = near.prefix_length(near.THRESHOLD)
+    forest = near.forest(rows, "text", near.TREES, near.DEPTH, 5)
+    return near.proposals(near.tries(forest, near.TREES, near.DEPTH, shortest), near.TREES, near.DEPTH, shortest,
+                          near.THRESHOLD, near.RECALL)
+
+
+def test_recall_of_links_just_above_the_threshold(spark):
+    texts = near_threshold(random.Random(5), 400, 150, 0.8, 0.85)
+    links = brute_links(texts)
+    got = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    found = sum(r.links for r in got.collect())
+    wanted = sum(len(x) for x in links.values())
+    print(f"recall of {wanted // 2} links between 0.80 and 0.85: {found / wanted:.4f}")
+    assert found <= wanted and found / wanted >= 0.99
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    rng = random.Random(6)
+    shortest = near.prefix_length(near.THRESHOLD)
+    _, level, reached = met_by_tries(spark, near_threshold(rng, 60, 400, 0.95, 1.0))
+    assert shortest < level < near.DEPTH and reached >= near.RECALL  # alike: longer prefixes do
+    _, level, _ = met_by_tries(spark, near_threshold(rng, 60, 150, 0.8, 0.85))
+    assert level == shortest
+    links, level, reached = met_by_tries(spark, [f"text {i} of its own words {i * 7}" for i in range(30)])
+    assert links.count() == 0 and level == shortest and reached == 0  # nothing met: no evidence
+
+
+def test_every_pair_of_the_tries_is_met_once(spark):
+    """Against a plain loop: pairs by the longest prefix they share in any tree."""
+    rng = random.Random(7)
+    texts = sorted(set(near_threshold(rng, 40, 120, 0.8, 1.0)))
+    values, some = near.minhashes(texts, near.TREES * near.DEPTH)
+    labels = values.astype(np.uint8).reshape(len(texts), near.TREES, near.DEPTH)
+    wanted = Counter()
+    for a in range(len(texts)):
+        for b in range(a):
+            equal = labels[a] == labels[b]
+            if equal.mean() >= near.THRESHOLD - near.MARGIN:
+                wanted[max(next((d for d in range(near.DEPTH) if not row[d]), near.DEPTH) for row in equal)] += 1
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    shortest = 4
+    found = near.tries(near.forest(rows, "text", near.TREES, near.DEPTH, 5), near.TREES, near.DEPTH, shortest)
+    for level in range(near.DEPTH, shortest - 1, -1):
+        met = found.mapInArrow(lambda batches: near._meeting(batches, level, near.TREES, near.DEPTH,
+                                                             near.THRESHOLD - near.MARGIN),
+                               "a binary, b binary, same int, pairs double")
+        assert round(sum(r.pairs for r in met.where("same is not null").collect()), 6) == wanted[level]
+
+
+def test_estimate_of_recall():
+    n = near.TREES * near.DEPTH
+    alike, at = np.zeros(n + 1), np.zeros(n + 1)
+    alike[n], at[round(near.THRESHOLD * n)] = 10, 10
+    for seen in (alike, at):
+        by_level = [near.estimated_recall(seen, d, near.TREES, near.THRESHOLD) for d in range(near.DEPTH, 0, -1)]
+        assert by_level == sorted(by_level) and 0 < by_level[0] < by_level[-1] <= 1
+    assert near.estimated_recall(at, 6, near.TREES, 0.8) == pytest.approx(near.meeting(0.8, 6, near.TREES))
+    assert near.estimated_recall(np.zeros(n + 1), 4, near.TREES, 0.8) == 0
+
+
 # op5
 
 def test_language_on_held_out_rows(spark):

@@ -1,14 +1,16 @@
 """Jaccard join on word shingles by an LSH forest, verified exactly.
 
-1. *Prefixes.* Each distinct text gets minhashes, some per tree; texts that share the
-   first values of a tree, in order, meet. How many values that is follows from the
-   threshold, the number of trees and the target recall alone: from full length it is
-   shortened until texts at exactly the threshold meet in some tree with that
-   probability. No trie is built or walked: texts meet on a hash of the prefix.
-2. *Candidates.* Texts that meet are compared by their minhashes. Everything
-   that may reach the threshold is joined up to clusters; a cluster holds every
+1. *Tries.* Each distinct text has a label per tree: the minhashes of that tree in order.
+   The labels of a tree, sorted, are its prefix trie: what shares a prefix stands together.
+2. *Shortening.* Texts meet at the longest prefix that they share. The tries are walked
+   level by level, from whole labels to shorter ones; each pair is met once, at its deepest
+   level in any tree, and compared by all its minhashes. After each level the recall is
+   estimated from the likeness of what was met so far; the prefixes are shortened until it
+   reaches the target, at the latest to the length where texts at exactly the threshold
+   meet with that probability.
+3. *Clusters.* Everything that may reach the threshold is joined up; a cluster holds every
    pair that any tree proposed, each text once, however many trees found it.
-3. *Verification.* Inside a cluster all pairs get their exact Jaccard likeness,
+4. *Verification.* Inside a cluster all pairs get their exact Jaccard likeness,
    by products of text-by-shingle matrices.
 
 A prefix or a cluster of any size is dealt out as pairs of chunks, so a task
@@ -19,6 +21,7 @@ spanning forest of their links. Equal texts are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +31,42 @@ from .tables import cut, fresh
 from .words import SHINGLE_WORDS, mix, shingle_sets, shingles, slices
 
 THRESHOLD = 0.8
-TREES, DEPTH, RECALL = 16, 6, 0.9995
-MARGIN = 0.25  # of estimated likeness below the threshold: five standard errors of 64 minhashes
+TREES, DEPTH, RECALL = 16, 8, 0.9995
+MARGIN = 0.25  # of estimated likeness below the threshold: seven standard errors of 128 minhashes
+DOUBT = 0.25  # links at the very threshold that the estimate of recall supposes, as a share of those met
 _U = np.uint64
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH,
                   recall: float = RECALL) -> int:
-    """Shorten the prefix from `depth` until a pair at the threshold meets with the target recall."""
-    while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
+    """Where shortening ends at the latest: a pair at the threshold meets with the target recall."""
+    while depth > 1 and meeting(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def meeting(likeness: float | np.ndarray, level: int, trees: int):
+    """How likely texts of that likeness share `level` values in some tree."""
+    return 1 - (1 - likeness ** level) ** trees
+
+
+def estimated_recall(seen: np.ndarray, level: int, trees: int, threshold: float, doubt: float = DOUBT) -> float:
+    """The share of all links that prefixes of `level` values meet, from the pairs met so far.
+
+    seen[k] counts the met pairs of k equal minhashes. Each stands for one over its chance to be
+    met, taken at its likeness less a standard error, but not below the threshold; `doubt` times as
+    many are supposed at the threshold itself. Pairs that are surely less alike are left out.
+    """
+    likeness = np.arange(len(seen)) / (len(seen) - 1)
+    lower = likeness - np.sqrt(likeness * (1 - likeness) / (len(seen) - 1))
+    links = np.where(likeness + (likeness - lower) >= threshold, seen, 0)
+    if not links.sum():
+        return 0.0
+    met = links.sum() * (1 + doubt)
+    at_threshold = doubt * links.sum() / meeting(threshold, level, trees)
+    return float(met / ((links / meeting(np.maximum(lower, threshold), level, trees)).sum() + at_threshold))
+
+
 def node(text: str) -> Column:
     """What equal texts share: the md5 of the text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
@@ -59,30 +85,37 @@ def minhashes(texts: list, n: int, width: int = SHINGLE_WORDS) -> tuple[np.ndarr
 
 
 def forest(df: DataFrame, text: str, trees: int, depth: int, width: int) -> DataFrame:
-    """node, size, paths (a hash of each tree's prefix), marks (16 bits of each minhash) per distinct text with words."""
+    """node, size, marks (8 bits of each minhash: the labels, tree after tree) per distinct text with words."""
     rows = df.select(node(text).alias("node"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in slices(texts, 1 << 20):
-                marks, some = minhashes(texts[part], trees * depth, width)
+                values, some = minhashes(texts[part], trees * depth, width)
                 if not len(some):
                     continue
-                paths = np.zeros((len(some), trees), dtype=np.uint64) + np.arange(
-                    1, trees + 1, dtype=np.uint64)
-                for d in range(depth):
-                    paths = mix(paths * _U(0x9E3779B97F4A7C15) + marks[:, d::depth].astype(np.uint64))
-                where = pa.array(some + part.start)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(where),
+                    batch.column(0).take(pa.array(some + part.start)),
                     pa.array([len(texts[part.start + i]) for i in some], pa.int64()),
-                    pa.array(paths.view(np.int64).tolist(), pa.list_(pa.int64())),
-                    pa.array([r.tobytes() for r in marks.astype(np.uint16)], pa.binary())],
-                    ["node", "size", "paths", "marks"])
+                    pa.array([r.tobytes() for r in values.astype(np.uint8)], pa.binary())],
+                    ["node", "size", "marks"])
+
+    found = rows.mapInArrow(run, "node binary, size long, marks binary")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "marks")])
+
+
+def tries(texts: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
+    """The labels of all trees, sorted within tasks; a task holds whole subtries below `shortest` values.
 
-    found = rows.mapInArrow(run, "node binary, size long, paths array<long>, marks binary")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "paths", "marks")])
+    Columns path (the subtrie), i, j, chunk (see `in_blocks`), label, node, marks.
+    """
+    label = F.substring("marks", F.col("tree") * depth + 1, F.lit(depth))
+    paths = (texts.select("node", "marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+             .select("node", "tree", F.xxhash64("tree", F.substring(label, 1, shortest)).alias("path")))
+    return cut(in_blocks(paths, "path", 1024).join(texts.select("node", "marks"), "node")
+               .select("path", "i", "j", "chunk", label.alias("label"), "node", "marks")
+               .repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "label", "node"))
 
 
 def in_blocks(members: DataFrame, group: str, rows: int, size: int | None = None) -> DataFrame:
@@ -156,33 +189,81 @@ def _nodes(column) -> tuple[list[bytes], np.ndarray]:
     return names.tolist(), place
 
 
-def _meeting(batches, marks: int, least: float):
-    """Links of texts that meet below a prefix and whose minhashes agree well enough, as stars."""
+def _meeting(batches, level: int, trees: int, depth: int, least: float):
+    """Pairs that share `level` values of a tree, in no tree more, and whose minhashes agree well enough.
+
+    Links as stars (a, b), and how many pairs have how many equal minhashes (same, pairs); a
+    pair that meets in several trees counts as one.
+    """
+    n = trees * depth
     for table in whole_runs(batches, ["path", "i", "j"], 20_000):
-        starts = run_starts(table, ["path", "i", "j"])
-        ends = np.repeat(np.append(starts[1:], table.num_rows), np.diff(np.append(starts, table.num_rows)))
-        sign = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint16).reshape(-1, marks)
+        rows = table.num_rows
+        top = np.zeros((rows, 8), np.uint8)
+        top[:, :depth] = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(-1, depth)
+        labels = top.view(">u8")[:, 0].astype(np.uint64)
+        block = np.zeros(rows, dtype=bool)
+        block[run_starts(table, ["path", "i", "j"])] = True
+
+        def run_ends(length: int) -> np.ndarray:
+            head = labels >> _U(64 - 8 * length)
+            first = block.copy()
+            first[1:] |= head[1:] != head[:-1]
+            starts = np.append(np.flatnonzero(first), rows)
+            return np.repeat(starts[1:], np.diff(starts))
+
+        end = run_ends(level)
+        partner = run_ends(level + 1) if level < depth else np.arange(rows) + 1
+        sign = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, n)
         chunk, i, j = (table.column(c).to_numpy() for c in ("chunk", "i", "j"))
         names, who = _nodes(table.column("node"))
-        first, second = [], []
-        here, step = np.arange(table.num_rows), 1
+        first, second, seen = [], [], np.zeros(n + 1)
+        here, step = np.arange(rows), 0
         while len(here):
-            here = here[here + step < ends[here]]
-            for at in range(0, len(here), 1 << 16):
-                a = here[at:at + (1 << 16)]
-                a = a[(i[a] == j[a]) | (chunk[a] != chunk[a + step])]
-                b = a + step
-                close = (sign[a] == sign[b]).sum(axis=1) >= least * marks
+            here = here[partner[here] + step < end[here]]
+            for at in range(0, len(here), 1 << 15):
+                a = here[at:at + (1 << 15)]
+                b = partner[a] + step
+                apart = (i[a] == j[a]) | (chunk[a] != chunk[b])
+                a, b = a[apart], b[apart]
+                equal = sign[a] == sign[b]
+                same = equal.sum(axis=1)
+                close = np.flatnonzero(same >= least * n)
+                shared = np.logical_and.accumulate(
+                    equal[close].reshape(-1, trees, depth), axis=2).sum(axis=2)
+                new = shared.max(axis=1, initial=0) == level
+                close, shared = close[new], shared[new]
+                seen += np.bincount(same[close], 1 / (shared == level).sum(axis=1), minlength=n + 1)
                 first.append(who[a[close]])
                 second.append(who[b[close]])
             step += 1
-        if not first:
+        if not seen.any():
             continue
         label = leaders(len(names), np.concatenate(first), np.concatenate(second))
-        out = np.flatnonzero(label != np.arange(len(names)))
+        out, counts = np.flatnonzero(label != np.arange(len(names))), np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([names[x] for x in out], pa.binary()),
-             pa.array([names[x] for x in label[out]], pa.binary())], ["a", "b"])
+            [pa.array([names[x] for x in out] + [None] * len(counts), pa.binary()),
+             pa.array([names[x] for x in label[out]] + [None] * len(counts), pa.binary()),
+             pa.array([None] * len(out) + counts.tolist(), pa.int32()),
+             pa.array([None] * len(out) + seen[counts].tolist(), pa.float64())], ["a", "b", "same", "pairs"])
+
+
+def proposals(found: DataFrame, trees: int, depth: int, shortest: int, threshold: float,
+              recall: float) -> tuple[DataFrame, int, float]:
+    """Links a, b of the sorted tries, the level that the prefixes were shortened to, the recall estimated there.
+
+    One job per level; what reaches the driver is a count per number of equal minhashes.
+    """
+    links, seen = [], np.zeros(trees * depth + 1)
+    for level in range(depth, shortest - 1, -1):
+        met = cut(found.mapInArrow(partial(_meeting, level=level, trees=trees, depth=depth, least=threshold - MARGIN),
+                                   "a binary, b binary, same int, pairs double"))
+        links.append(met.where("a is not null").select("a", "b"))
+        for r in met.where("same is not null").groupBy("same").agg(F.sum("pairs").alias("pairs")).collect():
+            seen[r["same"]] += r["pairs"]
+        reached = estimated_recall(seen, level, trees, threshold)
+        if reached >= recall:
+            break
+    return reduce(DataFrame.unionByName, links), level, reached
 
 
 def shared_shingles(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -277,15 +358,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count for copies and get the ids of their class and group, null if none is
     known. Repeated rows are rows of their own. Other columns are left out.
     """
-    depth = prefix_length(threshold, trees, recall=recall)
+    shortest = prefix_length(threshold, trees, DEPTH, recall)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = cut(forest(rows, "text", trees, depth, width))
-
-    paths = texts.select("node", F.explode("paths").alias("path"))
-    met = (in_blocks(paths, "path", 1024).join(texts.select("node", "marks"), "node")
-           .repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "node"))
-    marks, least = trees * depth, threshold - MARGIN
-    proposed = met.mapInArrow(lambda batches: _meeting(batches, marks, least), "a binary, b binary")
+    texts = cut(forest(rows, "text", trees, DEPTH, width))
+    proposed, _, _ = proposals(tries(texts, trees, DEPTH, shortest), trees, DEPTH, shortest, threshold, recall)
     clusters = components(proposed).withColumnRenamed("root", "cluster")
 
     members = cut(in_blocks(clusters.join(texts.select("node", "size"), "node"), "cluster", 256, 8 << 20))
