@@ -1,10 +1,13 @@
 """The pipeline: each stage against its own rule, and as a whole."""
 
+import base64
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vacancia.llm import near, pseudonyms
+from vacancia.llm import language, near, pseudonyms
 from vacancia.llm.tables import read
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +43,23 @@ def test_rejected_documents_go(spark):
     assert kept.count() == docs.count() and kept.columns == docs.columns
 
 
+def test_texts_in_no_learned_language_go_and_short_clean_ones_stay(spark):
+    docs = read(spark, SF, "documents")
+    clean = [r.text for r in docs.where("length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    rng = np.random.default_rng(4)
+    odd = [language.in_no_language(t[:1000].lower(), kind, rng).decode("utf-8", "replace")
+           for t in clean for kind in range(3)]
+    odd += [base64.b64encode(rng.bytes(600)).decode() for _ in range(20)]
+    short = [t[:n] for t in clean for n in (20, 60, 150)]
+    rows = ([(20_000 + i, t, None, "odd", len(t)) for i, t in enumerate(odd)]
+            + [(30_000 + i, t, None, "short", len(t)) for i, t in enumerate(short)])
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF)
+    n = {r["source"]: r["count"] for r in kept.groupBy("source").count().collect()}
+    print(f"odd texts kept: {n.get('odd', 0)} of {len(odd)}")
+    assert n["short"] == len(short) and n.get("odd", 0) <= 0.1 * len(odd)
+    assert kept.where("doc_id < 20000").count() == docs.count()
+
+
 def test_nothing_to_learn_from_is_an_error(spark):
     docs = read(spark, SF, "documents").withColumn("lang", F.lit(None).cast("string"))
     with pytest.raises(ValueError, match="to learn from"):

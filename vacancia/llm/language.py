@@ -5,6 +5,9 @@ keeps its largest response, and a softmax layer reads these. On bytes a filter
 is a table, so a response is a sum of table rows; pairs of neighbouring bytes
 share one lookup. Training is plain numpy with Adam on a bounded sample of
 labelled windows; prediction covers every window of every text.
+
+With `noise` the network learns one more class, texts in none of the languages: crops with
+shuffled bytes, with exchanged letters, or moved to another script. Its label is `und`.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from .words import slices
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
+CERTAIN, ODDS = 0.9, 1000.0  # the noise class needs this score, and these odds when each 100 letters count as one trial
 _PAD = 32
 _REACH = max(WIDTHS) - 1  # padding behind a window, so that every byte starts a filter
 
@@ -28,6 +32,7 @@ class ByteNetwork:
     def __init__(self, labels: list[str], filters: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.labels, self.filters = labels, filters
+        self.noise = None  # which label is the noise class
         self.tables = [rng.normal(0, 0.1, (w, 256, filters)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(filters * len(WIDTHS), np.float32)
         self.dense = rng.normal(0, 0.1, (filters * len(WIDTHS), len(labels))).astype(np.float32)
@@ -121,10 +126,28 @@ def predict_texts(model: ByteNetwork, texts: list[str]) -> tuple[list[str], list
     at = np.concatenate(([0], np.cumsum(n)[:-1]))
     total = np.add.reduceat(model.log_probabilities(x) * weight, at, axis=0)
     p = np.exp(_log_softmax(total / np.add.reduceat(weight, at, axis=0)))
-    best = p.argmax(axis=1)
+    ranked = p.copy()
+    if model.noise is not None:
+        own = p[:, model.noise]
+        odds = np.log(np.maximum(own, 1e-9) / np.maximum(1 - own, 1e-9))
+        sure = (own >= CERTAIN) & (odds * np.add.reduceat(letters, at) / 100 >= np.log(ODDS))
+        ranked[~sure, model.noise] = -1
+    best = ranked.argmax(axis=1)
     return [model.labels[b] for b in best], p[np.arange(len(p)), best].astype(float).tolist()
 
 
+def in_no_language(crop: str, kind: int, rng: np.random.Generator) -> bytes:
+    """A lower-case crop made foreign: bytes shuffled (0), a to z exchanged (1), letters moved to another script (2)."""
+    if kind == 0:
+        return rng.permutation(np.frombuffer(crop.encode("utf-8", "surrogatepass"), np.uint8)).tobytes()
+    if kind == 1:
+        names = list(range(ord("a"), ord("z") + 1))
+        return crop.translate(dict(zip(names, rng.permutation(names).tolist()))).encode("utf-8", "surrogatepass")
+    block = int(rng.integers(0x370, 0xD000))
+    moved = {ord(c): block + int(rng.integers(0, 64)) for c in sorted(set(crop)) if c.isalpha()}
+    return crop.translate(moved).encode("utf-8", "surrogatepass")
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -136,7 +159,7 @@ def held_out(id_col: str) -> Column:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
         texts_per_label: int = 1000, crops_per_text: int = 4,
-        most_labels: int = 1000) -> ByteNetwork | None:
+        most_labels: int = 1000, noise: bool = False) -> ByteNetwork | None:
     """Train on at most `texts_per_label` texts of each label, `crops_per_text` crops of each.
 
     The texts are those of the smallest hashes (of id and text) among the rows with text and
@@ -144,7 +167,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     cut. Labels are counted first; only rows whose hash lies below about twice
     the wanted share of their label are ranked, so no task gets a whole label.
     Crops spread over the whole text; some are shortened, so that short texts
-    are known too. None if no row has a label; more than `most_labels` labels
+    are known too. With `noise` there are up to three more crops per text of the
+    average label, made foreign in one of three ways. None if no row has a label; more than `most_labels` labels
     are an error, so tables of one row per label may be broadcast.
     """
     known = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
@@ -183,14 +207,19 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
             if rng.random() < 0.5:
                 part = part[:int(rng.integers(8, WINDOW + 1))]
             if has_letter(part):
-                texts.append(part.lower().encode("utf-8", "surrogatepass")[:WINDOW])
+                part = part.lower()
+                texts.append(part.encode("utf-8", "surrogatepass")[:WINDOW])
                 y.append(labels.index(label))
+                if noise and rng.random() < 3 / len(labels):
+                    texts.append(in_no_language(part, int(rng.integers(3)), rng)[:WINDOW])
+                    y.append(len(labels))
     if not texts:
         return None
     x = np.full((len(texts), WINDOW + _REACH), _PAD, np.uint8)
     for i, t in enumerate(texts):
         x[i, :len(t)] = np.frombuffer(t, np.uint8)
-    model = ByteNetwork(labels)
+    model = ByteNetwork([*labels, UNKNOWN] if noise else labels)
+    model.noise = len(labels) if noise else None
     model.train(x, np.array(y))
     return model
 
@@ -200,7 +229,9 @@ def predict(df: DataFrame, model: ByteNetwork | None, text_col: str = "text",
     """All columns, and the predicted label and its score (0 to 1) of every whole text.
 
     A null text or one without letters is `und` with score 0; so is every text
-    when there was nothing to learn from. Columns named like the results are
+    when there was nothing to learn from. A model with a noise class says `und` where that
+    class is certain, which takes the more of a score the fewer letters there are; else the
+    likeliest language. Columns named like the results are
     replaced.
     """
     rows = df.drop(label, score)
