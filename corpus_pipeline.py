@@ -11,13 +11,14 @@ from vacancia.sources.workspace import new_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters go on; null texts and texts without letters are rejected.
+    """Documents in a learned language go on.
 
-    The network labels every text with letters, so its score rejects none. An
-    error if there are such texts but no labelled one to learn from.
+    Null texts, texts without letters and those that the network puts into its noise class
+    (in no language that it learned) are rejected. An error if there are texts with letters
+    but no labelled one to learn from.
     """
     label, score = fresh(docs.columns, "lang_pred", "score")
-    model = language.fit(docs)
+    model = language.fit(docs, noise=True)
     if model is None and not docs.where(F.col("text").rlike(r"\p{L}")).isEmpty():
         raise ValueError("no document with a language to learn from")
     seen = language.predict(docs, model, label=label, score=score)
