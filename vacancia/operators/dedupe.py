@@ -12,6 +12,8 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.workspace import materialize
+
 # Spark limits before the shuffle up to this rank (its documented default).
 _PRE_SHUFFLE_LIMIT = 1000
 _SALTS = 64
@@ -54,3 +56,29 @@ def dedupe_first(df: DataFrame, keys, order, null_keys: str = "collapse") -> Dat
     known = reduce(or_, [F.col(k).isNotNull() for k in keys])
     unknown = reduce(and_, [F.col(k).isNull() for k in keys])
     return top_n_per_group(df.where(known), keys, order, 1).unionByName(df.where(unknown))
+
+
+def told_apart(df: DataFrame, order: str, *by: str) -> bool:
+    """Whether the order has a value in each row, and each but once (per `by`); one grouped count."""
+    return df.groupBy(order, *by).count().where((F.col("count") > 1) | F.col(order).isNull()).isEmpty()
+
+
+def pick(df: DataFrame, chosen: DataFrame, order: str) -> DataFrame:
+    """Rows whose order value is one of the chosen.
+
+    As a condition Spark moves it below the joins that bring long columns: those are
+    then joined to the chosen rows alone, and neither sorted nor shuffled after.
+    """
+    return df.where(F.col(order).isin(chosen.select(order)))
+
+
+def dedupe_by_keys(df: DataFrame, keys, order: str, wide: DataFrame | None = None) -> DataFrame:
+    """`dedupe_first` for rows with long columns: keys and order alone decide, then the rows are picked.
+
+    `wide` is a cheaper plan for the same rows, if there is one. Where the order
+    does not tell rows apart, they are ranked whole.
+    """
+    if not told_apart(df, order):
+        return dedupe_first(df, keys, [order])
+    firsts = df.groupBy(*keys).agg(F.min(order).alias(order))
+    return pick(df if wide is None else wide, materialize(firsts.select(order), "first-keys"), order)
