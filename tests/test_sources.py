@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType
 
-from vacancia.operators import metrics
+from vacancia.operators import dedupe, merge, metrics
 from vacancia.operators.summaries import Summaries
 from vacancia.plans.refresh import refresh, refresh_increment
 from vacancia.sources import readers, workspace, writers
@@ -142,3 +142,35 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
     assert arrive([2, 3], 10) == [1, 2, 3]
     assert arrive([4], 20) == [1, 2, 3, 4]
     assert arrive([5], 1) == [1, 2, 3, 4]  # older than the watermark
+
+
+def _long(spark, path, rows):
+    spark.createDataFrame(rows, "seq long, id string, title string, company string, location string, job_url string"
+                          ).write.parquet(f"{path}/rows")
+    spark.range(0, 40).select(F.col("id").alias("doc"), F.lit("python, 3 years").alias("description")).write.parquet(
+        f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts").hint("merge")
+    return spark.read.parquet(f"{path}/rows").join(texts, F.col("seq") % 40 == F.col("doc")).drop("doc")
+
+
+def test_texts_are_joined_to_the_rows_that_stay(spark, tmp_path):
+    """Neither a merge nor processing sorts or shuffles a text: both pick rows below the join that brings it."""
+    rows = [(i, f"i{i % 150}", f"t{i % 7}", None, "x" if i % 3 else None, f"https://a.b/{i % 90}") for i in range(200)]
+    new = _long(spark, tmp_path, rows)
+    merged = merge.merge_by_keys(new.limit(0), new)
+    assert sorted(merged.collect()) == sorted(merge.merge_new(new.limit(0), new).collect())
+    firsts = dedupe.dedupe_by_keys(new, ["title", "company", "location"], "seq")
+    assert sorted(firsts.collect(), key=str) == sorted(
+        dedupe.dedupe_first(new, ["title", "company", "location"], ["seq"]).collect(), key=str)
+    for plan in (merged, firsts):
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert (next(i for i, line in enumerate(lines) if "Join Inner" in line)
+                < next(i for i, line in enumerate(lines) if "Join LeftSemi" in line))
+        assert not any("Window" in line for line in lines)
+
+
+def test_rows_an_order_does_not_tell_apart_are_merged_whole(spark):
+    rows = [(1, "a", "t", None, None, None), (1, "b", "t", None, None, None), (None, "c", "u", None, None, None)]
+    df = spark.createDataFrame(rows, "seq long, id string, title string, company string, location string, job_url string")
+    assert merge.merge_by_keys(df.limit(0), df).count() == merge.merge_new(df.limit(0), df).count() == 2
+    assert dedupe.dedupe_by_keys(df, ["title"], "seq").count() == 2
