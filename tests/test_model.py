@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vacancia.functions import rules
 from vacancia.operators import model
+from vacancia.operators.quantiles import value_weights
+from vacancia.plans.enrich import add_categories
 
 SIZES = model.ModelSizes(forest_trees=3, forest_depth=3, boosting_rounds=2, boosting_depth=2,
                          skill_trees=5, skill_depth=3)
@@ -150,3 +153,25 @@ def test_fits_from_sums_without_spread():
     doubled = np.array([[1.0, x, 2 * x, 3 * x + 1] for x in range(5)])
     fit = model.gram_fit(doubled.T @ doubled)
     assert np.allclose(doubled[:, :3] @ fit, doubled[:, 3])
+
+
+def test_titles_are_lower_cased_once(spark):
+    """Long ladders of words read a column that is in lower case, and no filter works them out again."""
+    df = spark.createDataFrame([("Senior x", 4.0, "Austin, TX", "Full_Time", 1.0), ("t", None, None, None, 2.0)],
+                               "title string, n double, location string, job_type string, v double")
+    for rows in (model.resolve_experience(df, column="n"), add_categories(df).drop("state", "job_type_norm")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("lower(title") == 1 and plan.lower().count("lower(location") <= 1
+    weights = value_weights(df.withColumn("v", rules.years_from_title("title")), "v")
+    assert weights.collect() == [(5.0, 1)]
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("CASE" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
+
+
+def test_prepared_rows_keep_what_models_read(spark, prepared):
+    wide = prepared.withColumn("description", F.lit("long"))
+    narrow = model.prepared_table(wide, "seq")
+    assert set(narrow.columns) == set(prepared.columns) - {"title"}
+    both = [{r.seq: r.asDict() for r in rows.drop("title", "description").collect()}
+            for rows in (narrow, model.prepared_table(wide))]
+    assert both[0] == both[1] and len(both[0]) == 362
