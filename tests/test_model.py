@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from vacancia.functions import rules
-from vacancia.operators import model
+from vacancia.operators import model, profiles
 from vacancia.operators.quantiles import value_weights
 from vacancia.plans.enrich import add_categories
 
@@ -175,3 +176,67 @@ def test_prepared_rows_keep_what_models_read(spark, prepared):
     both = [{r.seq: r.asDict() for r in rows.drop("title", "description").collect()}
             for rows in (narrow, model.prepared_table(wide))]
     assert both[0] == both[1] and len(both[0]) == 362
+
+
+def _planted(spark, parts):
+    rows = spark.range(2000).repartition(parts).selectExpr(
+        "id as seq", "array_compact(array(if(id % 2 = 0, 'SQL', null), if(id % 3 = 0, 'Git', null), if(id % 5 < 2, 'R', null))) as skills",
+        "'Data Analyst' as role_category", "cast(id % 7 as double) as years_experience_required", "'PhD' as education_level",
+        "id % 11 = 0 as is_remote", "1 as col_tier", "cast(pmod(hash(id), 5) as int) as fold",
+        "50000 + 3000 * (id % 7) + if(id % 2 = 0 and id % 7 > 3, 9000, 0) + pmod(hash(id * 31), 1000) as average_salary")
+    return model.role_data(rows, "Data Analyst", ["SQL", "Git"], "seq", 5, 42), rows
+
+
+def test_boosting_and_lines_from_profiles_equal_those_from_rows(spark):
+    data, _ = _planted(spark, 3)
+    tried = model.estimators(model.ModelSizes(boosting_rounds=4, boosting_depth=3, forest_trees=4, forest_depth=4))
+    table = model.profile_table(data, tried)
+    assert table.count() < 500 and table.agg(F.sum("n")).first()[0] == 2000
+    for name in ("Linear Regression", "Gradient Boosting"):
+        by_rows, by_sums = tried[name].fit(data), profiles.fit(tried[name], table)
+        both = by_rows.transform(data).select("row", F.col("prediction").alias("p")).join(
+            by_sums.transform(data).select("row", "prediction"), "row")
+        assert both.agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0] < 1e-4
+        assert abs(profiles.r2(by_sums, table) - model.score(by_rows.transform(data))["r2"]) < 1e-9
+    by_rows = model.cross_validate(tried["Gradient Boosting"], data, train_scores=True)
+    by_sums = model.cross_validate(tried["Gradient Boosting"], data, train_scores=True, table=table)
+    assert all(abs(by_rows[k] - by_sums[k]) < 1e-9 for k in by_rows)
+
+
+def test_a_forest_is_the_same_however_rows_are_partitioned(spark, tmp_path):
+    """Bags are drawn by key, row by row, so neither tasks nor their order matter."""
+    forest = model.estimators(model.ModelSizes(forest_trees=4, forest_depth=4))["Random Forest"]
+    fitted = []
+    for parts in (1, 7):
+        data, rows = _planted(spark, parts)
+        table = model.profile_table(data, {"Random Forest": forest})
+        fitted.append((profiles.fit(forest, table), model.select_top_skills(rows, ["SQL", "Git", "R"], None, SIZES)))
+    (a, first), (b, second) = fitted
+    assert first == second and first[0] == "SQL"
+    assert np.allclose(a.featureImportances.toArray(), b.featureImportances.toArray())
+    assert a.getNumTrees == 4 and len({t.toDebugString.split("\n", 1)[1] for t in a.trees}) > 1
+    r2 = profiles.r2(a, table)
+    assert abs(r2 - model.score(a.transform(data))["r2"]) < 1e-9
+    assert abs(r2 - model.score(forest.fit(data).transform(data))["r2"]) < 0.02
+    a.write().overwrite().save(str(tmp_path))
+    again = RandomForestRegressionModel.load(str(tmp_path))
+    assert again.getNumTrees == 4 and abs(profiles.r2(again, table) - r2) < 1e-12
+
+
+def test_bags_are_poisson(spark):
+    data = spark.range(100_000).selectExpr("id as row", "1 as g", "1.0 as label")
+    one = profiles.profiles(data.withColumn("g", F.col("row")), ["g"], trees=3)
+    counts = {r[0]: r[1] for r in one.groupBy("w1").count().collect()}
+    for n, chance in enumerate((0.3679, 0.3679, 0.1839, 0.0613)):
+        assert abs(counts[n] / 100_000 - chance) < 0.006
+    assert abs(one.stat.corr("w0", "w1")) < 0.02
+
+
+def test_what_profiles_do_not_say_is_learned_from_rows():
+    tried = model.estimators(SIZES)
+    assert all(map(profiles.from_sums, tried.values()))
+    forest, boosted = tried["Random Forest"], tried["Gradient Boosting"]
+    assert not profiles.from_sums(forest.copy({forest.subsamplingRate: 0.5}))
+    assert not profiles.from_sums(forest.copy({forest.featureSubsetStrategy: "onethird"}))
+    assert not profiles.from_sums(boosted.copy({boosted.lossType: "absolute"}))
+    assert not profiles.from_sums(boosted.copy({boosted.minInstancesPerNode: 2})) and not profiles.from_sums(object())
