@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
+from catalog import CASES, trends
 from vacancia.functions import rules
 from vacancia.operators import model, profiles
 from vacancia.operators.quantiles import value_weights
@@ -240,3 +241,12 @@ def test_what_profiles_do_not_say_is_learned_from_rows():
     assert not profiles.from_sums(forest.copy({forest.featureSubsetStrategy: "onethird"}))
     assert not profiles.from_sums(boosted.copy({boosted.lossType: "absolute"}))
     assert not profiles.from_sums(boosted.copy({boosted.minInstancesPerNode: 2})) and not profiles.from_sums(object())
+
+
+def test_folds_of_the_query_sort_key_and_role_alone(prepared, monkeypatch):
+    """W11 stores its rows in order, so it must not carry the other columns along."""
+    seen, folds = [], model.contiguous_folds
+    monkeypatch.setattr(trends, "silver", lambda spark, sf: prepared)
+    monkeypatch.setattr(model, "contiguous_folds", lambda df, *by: seen.append(df.columns) or folds(df, *by))
+    out = CASES["W11_contiguous_folds"].run(prepared.sparkSession, "")
+    assert seen == [["seq", "role_category"]] and out.count() == prepared.count()
