@@ -1,5 +1,6 @@
 """Readers, writers, the refresh job and streaming."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -89,6 +90,28 @@ def test_refresh_fails_where_a_source_gave_nothing(spark, tmp_path):
     assert readers.read_snapshot(spark, raw, "20260101_000000").count() == 5
 
 
+def left_behind(spark, run):
+    """Folders that stay where intermediate tables go, and whether shuffle files are cleaned up outside."""
+    key, folder = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", workspace.shared_folder(spark)
+    before, setting = set(os.listdir(folder)), spark.conf.get(key, None)
+    run()
+    assert spark.conf.get(key, None) == setting
+    return set(os.listdir(folder)) - before
+
+
+def test_increments_leave_no_intermediate_table(spark, tmp_path):
+    for number in (0, 1):
+        assert not left_behind(spark, lambda: refresh_increment(spark, str(tmp_path), postings(spark, 20), number))
+    assert spark.read.parquet(f"{tmp_path}/raw").count() == 5
+
+
+def test_parts_are_picked_once_each(spark):
+    df, chosen = spark.range(100).withColumnRenamed("id", "seq"), spark.range(10, 60).withColumnRenamed("id", "seq")
+    parts = [[r.seq for r in p.collect()] for p in dedupe.pick_parts(df, chosen, "seq", rows=5, most=3)]
+    assert len(parts) == 3 and all(parts)
+    assert sorted(sum(parts, [])) == list(range(10, 60))
+
+
 def test_increments_equal_one_refresh(spark, tmp_path):
     base, (first, second) = str(tmp_path / "i"), (postings(spark, 3), postings(spark, 20, 2))
     whole = first.unionByName(second.where("seq > 2"))
