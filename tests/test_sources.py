@@ -99,6 +99,17 @@ def left_behind(spark, run):
     return set(os.listdir(folder)) - before
 
 
+def test_refresh_in_parts_leaves_no_intermediate_table(spark, tmp_path, monkeypatch):
+    new = postings(spark, 60).withColumn("title", F.concat(F.lit("Title "), F.col("seq") % 6))
+    new = new.withColumn("id", F.col("seq").cast("string")).withColumn("job_url", F.concat("job_url", "id"))
+    monkeypatch.setattr(dedupe.pick_parts, "__defaults__", (2, 3))  # 6 rows, 2 of them a part
+    paths = []
+    assert not left_behind(spark, lambda: paths.extend(refresh(spark, [], new, str(tmp_path), datetime(2026, 1, 1))))
+    assert [r.seq for r in spark.read.parquet(paths[1]).orderBy("seq").collect()] == [0, 1, 2, 3, 4, 5]
+    files = [f for p in paths for _, _, names in os.walk(p) for f in names if f.endswith(".parquet")]
+    assert files and all(".zstd." in f for f in files)
+
+
 def test_increments_leave_no_intermediate_table(spark, tmp_path):
     for number in (0, 1):
         assert not left_behind(spark, lambda: refresh_increment(spark, str(tmp_path), postings(spark, 20), number))
