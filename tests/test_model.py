@@ -1,5 +1,6 @@
 """Pay models on planted data."""
 
+import inspect
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from catalog import CASES, trends
-from vacancia.functions import rules
+from vacancia.functions import fixed_values as V, rules
 from vacancia.operators import model, profiles
 from vacancia.operators.quantiles import value_weights
 from vacancia.plans.enrich import add_categories
@@ -224,6 +225,46 @@ def test_a_forest_is_the_same_however_rows_are_partitioned(spark, tmp_path):
     assert again.getNumTrees == 4 and abs(profiles.r2(again, table) - r2) < 1e-12
 
 
+def test_a_forest_on_few_rows_is_the_same_however_they_are_partitioned(spark):
+    """Few rows are dealt out by key, and all trees of the forest grow together from them."""
+    tried = {"Random Forest": model.estimators(model.ModelSizes(forest_trees=4, forest_depth=4))["Random Forest"]}
+    assert model.reads_rows(tried["Random Forest"], 2000) and not model.reads_rows(tried["Random Forest"])
+    assert not model.reads_rows(tried["Random Forest"], 200_000)
+    fitted = []
+    for parts in (1, 7):
+        data, _ = _planted(spark, parts)
+        data = model._keep_rows(data, tried, 2000)
+        assert model.profile_table(data, tried, rows=2000) is None
+        fitted.append(model.train_best(data, tried, rows=2000))
+    (_, a, metrics, cv), (_, b, *_) = fitted
+    assert np.allclose(a.featureImportances.toArray(), b.featureImportances.toArray())
+    _, _, by_profiles, by_profiles_cv = model.train_best(data, tried)
+    assert abs(metrics["r2"] - by_profiles["r2"]) < 0.02 and abs(cv[0][1] - by_profiles_cv[0][1]) < 0.02
+    # Other models still learn from profiles, which then hold no bags.
+    table = model.profile_table(data, tried | {"Linear": model.estimators()["Linear Regression"]}, rows=2000)
+    assert profiles.holds_sums(table, model.estimators()["Gradient Boosting"])
+    assert not profiles.holds_sums(table, tried["Random Forest"])
+
+
+def test_registered_training_has_the_full_sizes(spark, monkeypatch):
+    asked = inspect.signature(model.train_per_role)
+
+    def trained(*args, **named):
+        call = asked.bind(*args, **named)
+        call.apply_defaults()
+        assert call.arguments["sizes"] == model.ModelSizes() and call.arguments["models"] is None
+        assert call.arguments["n_skills"] == 10 and call.arguments["folds"] == 5
+        assert call.arguments["skills"] == tuple(V.SKILL_PATTERNS) and call.arguments["only"] is None
+        sizes = call.arguments["sizes"]
+        assert (sizes.forest_trees, sizes.boosting_rounds, sizes.skill_trees) == (100, 100, 50)
+        raise InterruptedError
+
+    monkeypatch.setattr(model, "train_per_role", trained)
+    for name in ("M5_train_per_role",):
+        with pytest.raises(InterruptedError):
+            CASES[name].run(spark, "/root/testdata/sf0.001")
+
+
 def test_bags_are_poisson(spark):
     data = spark.range(100_000).selectExpr("id as row", "1 as g", "1.0 as label")
     one = profiles.profiles(data.withColumn("g", F.col("row")), ["g"], trees=3)
