@@ -260,7 +260,7 @@ def test_registered_training_has_the_full_sizes(spark, monkeypatch):
         raise InterruptedError
 
     monkeypatch.setattr(model, "train_per_role", trained)
-    for name in ("M5_train_per_role",):
+    for name in ("M4_train_best", "M5_train_per_role"):
         with pytest.raises(InterruptedError):
             CASES[name].run(spark, "/root/testdata/sf0.001")
 
